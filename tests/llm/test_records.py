@@ -1,0 +1,96 @@
+"""Chat formatting, WARC, token files and secret scans against plain versions."""
+
+import public_tokenizers
+import pytest
+
+from guardframe.llm import chat_format, queries, secrets, token_files, warc
+from guardframe.llm.common import new_path, table
+from tests.llm import brute
+
+
+def test_chats(spark, sf):
+    rows = [tuple(r) for r in table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").collect()] + queries.PLANTED
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op1_chat_formatting(spark, sf).collect()}
+    assert got == brute.chats(rows)
+
+
+def test_chat_edges(spark):
+    schema = "turn long, conv_id long, text string, role string, segment string, loss int"
+    rows = [(0, 1, "", "user", "x", 1), (1, 1, None, "assistant", "x", 1), (1, 1, "b </turn>\n### User: \\", "odd: role\n", "x", 1), (0, 2, "é\\\\###", None, "x", 1), (0, 2, "é\\\\###", None, "x", 1), (0, None, "z" * 200_000, "assistant", "", 1)]
+    segments = chat_format.format_chats(spark.createDataFrame(rows, schema))
+    got = {r.conv_id: r for r in chat_format.read_chats(segments).collect()}
+    want = brute.chats([(r[1], r[0], r[3], r[2]) for r in rows])
+    assert {k: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for k, r in got.items()} == want
+    assert got[None].n_violations == 1 and got[2].n_violations == 2
+    assert chat_format.read_chats(chat_format.format_chats(spark.createDataFrame([], schema))).count() == 0
+
+
+def test_warc(spark, sf):
+    rows = [tuple(r) for r in table(spark, sf, "pages").select("page_id", "html").collect()]
+    got = {r.page_id: tuple(r)[1:] for r in queries.op2_warc(spark, sf).collect()}
+    assert got == brute.warc(rows)
+
+
+def test_warc_edges(spark):
+    rows = [(5, None, "a\r\nb", 1), (3, "", None, 1), (9, "x" * 300_000, "http://a/ b", 1), (2, "x" * 300_000, "u", 1), (7, "\r\n\r\nWARC/1.1\r\n", "u", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, url string, digest int")
+    got = warc.round_trip(pages).collect()
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == brute.warc([(r[0], r[1]) for r in rows])
+    big = {r.page_id: r.record_type for r in warc.round_trip(pages, min_revisit=1).collect()}
+    assert big[5] == big[3] == "response" and big[9] == "revisit"
+    assert warc.round_trip(pages.filter("false")).count() == 0
+    import io
+
+    bad = warc.record(1, "u", b"abc", None)
+    with pytest.raises(Exception):
+        [warc.parse(p) for _, p in warc.Members(io.BytesIO(bad[:-9]))]
+
+
+def test_tokens(spark, sf):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, sf, "documents")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op9_token_id_output(spark, sf).collect()}
+    assert got == brute.tokens([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], Tokenizer.from_file(path))
+
+
+def test_token_edges(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(4, None, 1), (1, "", 1), (2, "  two  spaces \n x\u00a0y \u2003 z ", 2), (3, "<|endoftext|> it's 12 a<|endoftext|>b", 3), (8, "\U0001f600 " * 5000, 1), (9, " lead", 1), (10, "a \x1c b\x85 c", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part int")
+    out = new_path(spark, "t")
+    token_files.write_tokens(token_files.encode(docs, path), out)
+    files = token_files.read_tokens(spark, out)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.checksums(files).collect()} == brute.tokens([r[:2] for r in rows], Tokenizer.from_file(path))
+    found = token_files.lookup(spark, out, [3])
+    assert [r.doc_id for r in found.collect()] == [3]
+    assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString() or "EqualTo(doc_id,3)" in found._jdf.queryExecution().toString()
+    assert token_files.round_trip(docs.filter("false"), path).count() == 0
+    same = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string")
+    assert token_files.round_trip(same, path).count() == 3
+
+
+def test_secrets(spark, sf):
+    docs = {r.doc_id: r.text for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
+    for r in queries.op10_secret_scans(spark, sf).collect():
+        base = brute.secrets(docs[r.doc_id])
+        assert r.base_sha256 == brute.sha(",".join(base)) and set(base) <= set(r.spans.split(",") if r.spans else [])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b.startswith(k) for b in base) for k in ("assign", "access", "hex"))
+
+
+def test_secret_edges(spark):
+    key = "Zk39dLqPw0Ahs7Tn2XcVb81Q"
+    rows = [(1, f"x {key} y", "a", 1), (2, f"{key}", "b", 1), (3, None, None, 1), (4, "", "c", 1), (None, "to\u017fen=abcdefgh \u212aey token = token:abcdefgh1", "d", 1), (5, "AKIA" + "B2" * 8 + " sEcReT: 'abcdefgh=' " + "0" * 40, "e", 1), (6, "k https://me:hunter22@host/ " * 2000, "f", 1)]
+    rows += [(10 + i, "see Qq39dLqPw0Ahs7Tn2XcVb81Z example", f"s{i}", 1) for i in range(4)] + [(1, f"x {key} y", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, spans int")
+    got = secrets.report(secrets.scan(docs)).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert by[1].spans == "random:2:26" and by[2].spans == "random:0:24"  # held by two owners
+    assert by[10].spans == "" and by[3].spans == "" and by[6].spans.count("url_login") == 2000
+    for doc, text, _, _ in rows:
+        assert by[doc].base_sha256 == brute.sha(",".join(brute.secrets(text)))
+    assert secrets.scan(docs.filter("false")).count() == 0
