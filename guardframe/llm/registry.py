@@ -7,6 +7,10 @@ from guardframe.llm import queries as q
 QUERIES = {
     "op1_chat_formatting": q.op1_chat_formatting,
     "op2_warc": q.op2_warc,
+    "op3_ngram_jaccard_join": q.op3_ngram_jaccard_join,
+    "op4_quality_rules": q.op4_quality_rules,
+    "op5_toxicity": q.op5_toxicity,
+    "op8_benchmark_decontamination": q.op8_benchmark_decontamination,
     "op9_token_id_output": q.op9_token_id_output,
     "op10_secret_scans": q.op10_secret_scans,
 }

@@ -56,3 +56,73 @@ def secrets(text):
             if len(m[2]) >= {"assign": 8, "access": 12, "hex": 32}[kind]:
                 spans.append((m.start(), k, m.end(), kind))
     return [f"{kind}:{a}:{b}" for a, _, b, kind in sorted(spans)]
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def components(ids, links):
+    up = {i: i for i in ids}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {i: top(i) for i in ids}
+
+
+def jaccard(rows):
+    sets = {}
+    for doc, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+        sets[doc] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
+    ids = sorted(sets, key=lambda d: len(sets[d]))
+    links = []
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if 10 * len(sets[a]) < 9 * len(sets[b]):
+                break
+            both = len(sets[a] & sets[b])
+            if sets[a] and 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+                links.append((a, b))
+    top = components(ids, links)
+    return {d: (len(sets[d]), top[d]) for d in ids}
+
+
+def statistics(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    at = {}
+    for i in range(len(w) - 7):
+        at.setdefault(tuple(w[i : i + 8]), []).append(i)
+    hit = {i + k for v in at.values() if len(v) > 1 for i in v for k in range(8)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(hit)
+
+
+def decontaminate(docs, items):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    windows = {}
+    for item, text in items:
+        w = split(text)
+        for i in range(max(len(w) - 9, min(len(w), 1))):
+            windows.setdefault(tuple(w[i : i + 10]), set()).add(item)
+    out = {}
+    for doc, text in docs:
+        w, hit, got = split(text), set(), set()
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if x := windows.get(tuple(w[i : i + n])):
+                    hit |= set(range(i, i + n))
+                    got |= x
+        out[doc] = (len(w), len(hit), len(got), sha(",".join(sorted(map(str, got)))), bool(hit))
+    return out
