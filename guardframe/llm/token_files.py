@@ -10,14 +10,18 @@ kept; repeated rows are all kept; an empty table gives an empty file set; other
 
 Encoding memo: a single space between two non-space characters always starts a new pre-token of
 byte-level BPE, so a text may be cut in front of such spaces and each distinct piece be encoded
-once by the library.  The memo is cleared at ``MEMO`` pieces, so memory doesn't grow with the data.
+once by the library.  At ``MEMO`` pieces only those of the last few texts that came twice are kept,
+so memory doesn't grow with the data.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,45 +31,108 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from guardframe.llm.common import new_path
 
 END = 0
-MEMO = 300_000
+MEMO = 900_000
+MARKS = ".,;:!?|*%&$#()"
 FILES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()),
     T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()),
     T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
 ])
-DOUBLE = re.compile(r"\s\s|^\s|\s$")
+DOUBLE = ("  ", "\n\n", " \n", "\n ")
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each worker process: its memo serves all tasks that run there."""
+    return Encoder(path)
+
+
+class Memo(dict):
+    """Pieces and their ids; an unknown piece gives an empty array that is filled in afterwards."""
+
+    def __init__(self):
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, piece: str) -> bytearray:
+        self[piece] = self.new[piece] = bytearray()
+        return self.new[piece]
+
+    def take(self) -> dict[str, bytearray]:
+        new, self.new = self.new, {}
+        return new
+
+
 class Encoder:
-    """Text to little-endian 32-bit ids, with a memo of pieces."""
+    """Text to little-endian 32-bit ids, with a memo of the pieces that come again."""
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.memo = Tokenizer.from_file(path), memo, {}
-
-    def pieces(self, text: str) -> list[str]:
-        """The text cut at certain pre-token borders; all but the first begin with their space."""
-        plain = "  " not in text and not DOUBLE.search(text)
-        first, *rest = text.split(" ") if plain else CUT.split(text)
-        return [first, *[" " + x for x in rest]]
+        self.tokenizer, self.limit, self.memo = Tokenizer.from_file(path), memo, Memo()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.width[i] = len(token)  # a character of a token stands for a byte
+
+    def pieces(self, text: str) -> tuple[str, list[str]]:
+        """The text cut at certain pre-token borders.
+
+        Pieces after the first begin with a line end, or with a space that is left out.
+        """
+        if not any(two in text for two in DOUBLE) and text.replace("\n", "").isprintable() and text[:1] not in "\n " and text[-1:] not in "\n ":
+            first, *rest = text.replace("\n", " \n").split(" ")  # no other white space is printable
+        else:
+            first, *rest = CUT.split(text)
+        return first, rest
+
+    def together(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece with its space, from one call over all of them joined."""
+        full = [p if p[0] == "\n" else " " + p for p in pieces]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(full)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(p.encode()) for p in full])
+        at = [0, *(4 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def learn(self, new: list[str]) -> list[bytes]:
+        """The ids of pieces.  Letters and the marks after them are separate pre-tokens."""
+        memo, split, want = self.memo, [], {}
+        for p in new:
+            core = p.rstrip(MARKS)
+            if core != p and core.isalpha():
+                split.append((p, core, p[len(core) :]))
+                p = core
+            if not memo.get(p):
+                want[p] = b""
+        keys = list(want)
+        for i in range(0, len(keys), 4000):
+            part = keys[i : i + 4000]
+            want.update(zip(part, self.together(part), strict=True))
+        tails = list({t for _, _, t in split})
+        tails = dict(zip(tails, self.tokenizer.encode_batch_fast(tails, add_special_tokens=False), strict=True))
+        tails = {t: np.array(e.ids, "<u4").tobytes() for t, e in tails.items()}
+        ended = {p: bytes(memo.get(core) or want[core]) + tails[t] for p, core, t in split}
+        return [ended.get(p) or want[p] for p in new]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
+        firsts, rests = zip(*map(self.pieces, texts), strict=True)
+        heads = self.tokenizer.encode_batch_fast(list(firsts), add_special_tokens=False)
         memo = self.memo
-        new = list({p for pieces in cut for p in pieces if p not in memo})
-        if len(memo) + len(new) > self.limit:
+        parts = [list(map(memo.__getitem__, rest)) for rest in rests]
+        new = memo.take()
+        for p, ids in zip(new, self.learn(list(new)), strict=True):
+            new[p][:] = ids  # the parts above hold this very object
+            memo[p] = ids
+        out = [np.array(h.ids, "<u4").tobytes() + b"".join(part) for h, part in zip(heads, parts, strict=True)]
+        if len(memo) > self.limit:  # what came twice just now stays
+            kept = {p: memo[p] for p, n in Counter(chain.from_iterable(rests)).items() if n > 1}
             memo.clear()
-            new = list({p for pieces in cut for p in pieces})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, pieces)) for pieces in cut]
+            memo.update(kept)
+        return out
 
 
-def chunks(texts: list[str | None], size: int = 2 << 20) -> Iterator[list[str]]:
+def chunks(texts: list[str | None], size: int = 1 << 20) -> Iterator[list[str]]:
     """Lists of texts of about ``size`` characters."""
     part, held = [], 0
     for t in texts:
@@ -86,11 +153,11 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start, encoder = TaskContext.get().partitionId(), 0, Encoder(tokenizer)
+        part, start, library = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in batches:
             ids, at = batch.column("doc_id"), 0
             for texts in chunks(batch.column("text").to_pylist()):
-                made = [x + end for x in encoder.encode(texts)]
+                made = [x + end for x in library.encode(texts)]
                 n = np.array([len(x) // 4 for x in made], "int64")
                 stop = np.cumsum(n)
                 values = pa.array(np.frombuffer(b"".join(made), "<i4"))

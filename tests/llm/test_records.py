@@ -59,7 +59,7 @@ def test_token_edges(spark):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = [(4, None, 1), (1, "", 1), (2, "  two  spaces \n x\u00a0y \u2003 z ", 2), (3, "<|endoftext|> it's 12 a<|endoftext|>b", 3), (8, "\U0001f600 " * 5000, 1), (9, " lead", 1), (10, "a \x1c b\x85 c", 1)]
+    rows = [(4, None, 1), (1, "", 1), (2, "  two  spaces \n x\u00a0y \u2003 z ", 2), (3, "<|endoftext|> it's 12 a<|endoftext|>b", 3), (8, "\U0001f600 " * 5000, 1), (9, " lead", 1), (10, "a \x1c b\x85 c", 1), (11, "x wort. wort.), mot!!! l'été? n't. wort 3km. ((a (a", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, part int")
     out = new_path(spark, "t")
     token_files.write_tokens(token_files.encode(docs, path), out)
