@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from guardframe.llm import chat_format, decontaminate, jaccard, quality, secrets, token_files, toxicity, warc
+from guardframe.llm import chat_format, decontaminate, jaccard, pieces, quality, secrets, substrings, token_files, toxicity, warc
 from guardframe.llm.common import materialize, table
 
 #: A conversation that quotes the template's own control strings.
@@ -49,3 +49,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(*decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Ids of every document, and of the text decoded from them its length and checksum."""
+    model = model or public_tokenizers.path("piece_bpe_32k.model")
+    encoded, name = pieces.encode(table(spark, sf_dir, "documents"), model)
+    return pieces.summary(encoded, name, model)
+
+
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(substrings.repeated(table(spark, sf_dir, "documents")))

@@ -10,6 +10,8 @@ QUERIES = {
     "op3_ngram_jaccard_join": q.op3_ngram_jaccard_join,
     "op4_quality_rules": q.op4_quality_rules,
     "op5_toxicity": q.op5_toxicity,
+    "op6_suffix_array_dedup": q.op6_suffix_array_dedup,
+    "op7_sentencepiece": q.op7_sentencepiece,
     "op8_benchmark_decontamination": q.op8_benchmark_decontamination,
     "op9_token_id_output": q.op9_token_id_output,
     "op10_secret_scans": q.op10_secret_scans,

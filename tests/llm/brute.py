@@ -126,3 +126,19 @@ def decontaminate(docs, items):
                     got |= x
         out[doc] = (len(w), len(hit), len(got), sha(",".join(sorted(map(str, got)))), bool(hit))
     return out
+
+
+def substrings(rows, length=100):
+    seen, out = set(), {}
+    for doc, text in sorted(rows):
+        raw = (text or "").encode()
+        hit = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            w = raw[i : i + length]
+            if w in seen:
+                hit[i : i + length] = b"\x01" * length
+            else:
+                seen.add(w)
+        spans = sum(1 for i, h in enumerate(hit) if h and (i == 0 or not hit[i - 1]))
+        out[doc] = (len(raw), sum(hit), spans, sha(bytes(b for b, h in zip(raw, hit, strict=True) if not h)))
+    return out
