@@ -1 +1 @@
-
+"""Column expressions and row-wise transforms."""

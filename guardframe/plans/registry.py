@@ -1,11 +1,203 @@
-"""All queries of the engine with their reference SQL."""
+"""All queries of the engine, each with reference SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from guardframe.functions import catalog, detect as dt, normalize as nz, text as tx
+from guardframe.functions.detect import DetectOptions
+from guardframe.functions.errors import injection_error, leak_error
+from guardframe.functions.harden import HardenOptions, block, harden
+from guardframe.functions.leak import LeakOptions, effective_size, fragments, leak_columns, sanitize_object, small_size
+from guardframe.operators import conversations as cv
+from guardframe.operators.messages import parts_text
+from guardframe.plans import planted as pl, sql
+from guardframe.plans.planted import quote
+from guardframe.sources.tables import read
+from guardframe.streaming import chunks as ch
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def register(name: str, oracle: str | None, query) -> None:
+    QUERIES[name] = query
+    if oracle:
+        ORACLES[name] = oracle
+
+
+# normalization steps
+STEPS = {
+    "norm_homoglyph": (nz.fold_homoglyphs, sql.homoglyphs), "norm_invisible": (nz.strip_invisible, sql.STEPS["strip_invisible"]), "norm_ws": (tx.collapse, sql.collapse),
+    "norm_join": (nz.join_letters, sql.join_letters), "norm_lower": (F.lower, sql.STEPS["normalize_case"]), "norm_leet": (nz.decode_leet, sql.leet),
+    "norm_typo": (lambda c: nz.words_replaced(c, nz.TYPOS), sql.typos), "norm_phonetic": (lambda c: nz.words_replaced(c, nz.PHONETICS), sql.phonetics),
+    "norm_trim": (tx.trim, sql.trim), "norm_full": (nz.normalize, sql.normalize), "norm_off": (lambda c: nz.normalize(c, False), lambda x: sql.normalize(x, enabled=False)),
+    "norm_partial": (lambda c: nz.normalize(c, {"decode_leetspeak": False, "collapse_whitespace": False}), lambda x: sql.normalize(x, ("decode_leetspeak", "collapse_whitespace"))),
+}
+for _name, (_step, _sql) in STEPS.items():
+    register(_name, f"SELECT doc_id, {_sql('text')} AS norm FROM ({pl.planted_sql()})", lambda spark, sf, step=_step: pl.planted(spark, sf).select("doc_id", step(F.col("text")).alias("norm")))
+
+# gates
+GATES = {"prefilter": (dt.prefilter, sql.prefilter), "token_bag": (dt.token_bag, sql.token_bag), "structure": (dt.suspicious_structure, sql.structure), "low_risk_gate": (dt.low_risk_gate, sql.gate)}
+for _name, (_step, _sql) in GATES.items():
+    register(_name, f"SELECT doc_id, {_sql('text')} AS value FROM ({pl.planted_sql()})", lambda spark, sf, step=_step: pl.planted(spark, sf).select("doc_id", step(F.col("text")).alias("value")))
+
+# detection with options
+XYZZY = catalog.custom("custom", "xyzzy", "high")
+DETECTIONS = {
+    "detect_default": (DetectOptions(), {}), "detect_low": (DetectOptions(threshold="low"), {"threshold": "low"}), "detect_high": (DetectOptions(threshold="high"), {"threshold": "high"}),
+    "detect_critical": (DetectOptions(threshold="critical"), {"threshold": "critical"}),
+    "detect_exclude": (DetectOptions(exclude=("instruction_override", "tool_hijacking")), {"exclude": ("instruction_override", "tool_hijacking")}),
+    "detect_allow": (DetectOptions(allow=("Exact Safe Phrase", "")), {"allow": ("exact safe phrase",)}),
+    "detect_custom": (DetectOptions(custom=(XYZZY, catalog.custom("encoding_attack", "opens the gate", "critical"))), {"more": (XYZZY, catalog.custom("encoding_attack", "opens the gate", "critical"))}),
+    "detect_raw": (DetectOptions(normalization=False), {"enabled": False}), "detect_max_len": (DetectOptions(max_input_length=30), {"limit": 30}),
+    "detect_no_phonetics": (DetectOptions(normalization={"repair_phonetics": False}), {"off": ("repair_phonetics",)}),
+}
+for _name, (_options, _args) in DETECTIONS.items():
+    register(_name, sql.detect(pl.planted_sql(), **_args), lambda spark, sf, o=_options: dt.detect_columns(pl.planted(spark, sf), "text", o).select("doc_id", *dt.flat(F.col("detection"))))
+register("detect_tail", sql.detect(pl.planted_sql(True)), lambda spark, sf: dt.detect_columns(pl.planted(spark, sf, True)).select("doc_id", *dt.flat(F.col("detection"))))
+
+
+def rule_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """How many texts each category's first rule hits, over matches of the low threshold."""
+    found = dt.detect_columns(pl.planted(spark, sf), "text", DetectOptions(threshold="low"))
+    each = found.select(F.explode("detection.matches").alias("m")).select(F.concat("m.category", F.lit("|"), "m.pattern").alias("rule"))
+    return each.groupBy("rule").agg(F.count("*").alias("hits"))
+
+
+register("rule_hits", f"SELECT rule, count(*) AS hits FROM (SELECT unnest(string_split(matches, ';')) AS rule FROM ({sql.detect(pl.planted_sql(), threshold='low')}) WHERE detected) GROUP BY rule", rule_hits)
+
+
+def secondary(rows: DataFrame) -> DataFrame:
+    """Example of a second look: texts of documents with an even id are let go."""
+    return rows.withColumn("override", F.when(F.col("doc_id") % 2 == 0, dt.neutral()))
+
+
+register("detect_secondary", f"SELECT doc_id, detected AND doc_id % 2 <> 0 AS detected, CASE WHEN doc_id % 2 = 0 THEN 'none' ELSE risk END AS risk FROM ({sql.detect(pl.planted_sql())})",
+         lambda spark, sf: dt.detect_columns(pl.planted(spark, sf), "text", DetectOptions(secondary=secondary)).select("doc_id", "detection.detected", "detection.risk"))
+
+
+def nfkc_detect(spark: SparkSession, sf: str) -> DataFrame:
+    """Attacks in full-width letters; SQL has no NFKC."""
+    plain, wide = "".join(map(chr, range(33, 127))), "".join(map(chr, range(0xFF01, 0xFF5F)))
+    rows = pl.planted(spark, sf).withColumn("text", F.translate("text", plain, wide))
+    return dt.detect_columns(rows).select("doc_id", *dt.flat(F.col("detection")))
+
+
+register("nfkc_detect", None, nfkc_detect)
+
+
+# leaks
+def leaks(spark: SparkSession, sf: str, options: LeakOptions | None = None) -> DataFrame:
+    return leak_columns(pl.pairs(spark, sf), "output", "prompt", options)
+
+
+def set_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pl.pairs(spark, sf).withColumns({"ot": tx.tokens(F.col("output")), "pt": tx.tokens(F.col("prompt"))})
+    n = effective_size(F.col("pt"), 4)
+    rows = rows.withColumns({"og": tx.ngrams(F.col("ot"), n), "pg": tx.ngrams(F.col("pt"), n)})
+    ratio = F.when(F.size("pg") > 0, F.size(F.array_intersect("og", "pg")) / F.size("pg")).otherwise(F.lit(0.0))
+    return rows.select("doc_id", F.size("ot").alias("n_tokens"), F.size("og").alias("n_ngrams"), F.round(tx.jaccard(F.col("ot"), F.col("pt")), 9).alias("word_overlap"), F.round(ratio, 9).alias("ngram_overlap"))
+
+
+_leak = sql.leak(pl.PAIRS_SQL, "doc_id, output")
+_set_sizes_sql = sql.leak(pl.PAIRS_SQL, "doc_id, output, len(ot) AS n_tokens, len(og) AS n_ngrams")
+register("set_overlaps", _set_sizes_sql + "SELECT doc_id, n_tokens, n_ngrams, round(overlap, 9) AS word_overlap, round(ratio, 9) AS ngram_overlap FROM leaks", set_sizes)
+register("tokens", f"SELECT doc_id, array_to_string({sql.tokens('text')}, ' ') AS words FROM documents", lambda spark, sf: pl.documents(spark, sf).select("doc_id", F.array_join(tx.tokens(F.col("text")), " ").alias("words")))
+
+
+def all_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pl.pairs(spark, sf).withColumns({"ot": tx.tokens(F.col("output")), "pt": tx.tokens(F.col("prompt"))})
+    rows = rows.withColumn("n", effective_size(F.col("pt"), 4)).withColumn("s", small_size(F.col("n")))
+    rows = rows.withColumns({"pg": tx.ngrams(F.col("pt"), F.col("n")), "sg": F.when((F.col("s") >= 2) & (F.size("pt") >= F.col("s")), tx.ngrams(F.col("pt"), F.col("s"))).otherwise(F.array().cast("array<string>"))})
+    return rows.select("doc_id", F.array_join(fragments(F.col("ot"), F.col("pg"), F.col("n")), "|").alias("fragments"), F.array_join(fragments(F.col("ot"), F.col("sg"), F.col("s")), "|").alias("small_fragments"))
+
+
+register("fragments", _leak + "SELECT doc_id, array_to_string(f, '|') AS fragments, array_to_string(sf, '|') AS small_fragments FROM leaks", all_fragments)
+register("leak_decision", _leak + "SELECT doc_id, leaked, round(confidence, 9) AS confidence, array_to_string(found, '|') AS fragments FROM leaks",
+         lambda spark, sf: leaks(spark, sf).select("doc_id", "leak.leaked", F.round("leak.confidence", 9).alias("confidence"), F.array_join("leak.fragments", "|").alias("fragments")))
+register("redact", _leak + "SELECT doc_id, sanitized FROM leaks", lambda spark, sf: leaks(spark, sf).select("doc_id", "leak.sanitized"))
+CUSTOM = LeakOptions(ngram_size=5, threshold=0.5, word_overlap_threshold=0.1, redaction_text="<cut $1>")
+register("redact_custom", sql.leak(pl.PAIRS_SQL, "doc_id, output", 5, 0.5, 0.1, "<cut $1>") + "SELECT doc_id, leaked, sanitized FROM leaks", lambda spark, sf: leaks(spark, sf, CUSTOM).select("doc_id", "leak.leaked", "leak.sanitized"))
+register("redact_detect_only", sql.leak(pl.PAIRS_SQL, "doc_id, output", detect_only=True) + "SELECT doc_id, leaked, sanitized FROM leaks", lambda spark, sf: leaks(spark, sf, LeakOptions(detect_only=True)).select("doc_id", "leak.leaked", "leak.sanitized"))
+
+
+def object_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pl.pairs(spark, sf).select("doc_id", "prompt", F.struct(F.col("output").alias("query"), F.struct(F.substring("output", 1, 200).alias("note"), F.col("doc_id").alias("number")).alias("inner")).alias("args"))
+    return sanitize_object(rows, "args", "prompt").select("doc_id", "had_leak", F.col("args.query").alias("query"), F.col("args.inner.note").alias("note"), F.col("args.inner.number").alias("number"))
+
+
+_note = f"SELECT doc_id, prompt, substring(output, 1, 200) AS output FROM ({pl.PAIRS_SQL})"
+register("sanitize_object", f"SELECT a.doc_id, a.leaked OR b.leaked AS had_leak, a.sanitized AS query, b.sanitized AS note, a.doc_id AS number FROM ({_leak}SELECT * FROM leaks) a JOIN ({sql.leak(_note, 'doc_id, output')}SELECT * FROM leaks) b USING (doc_id)", object_rows)
+
+# hardening and errors
+HARDENED = {"harden_append": HardenOptions(), "harden_prepend": HardenOptions(position="prepend"), "harden_skip": HardenOptions(skip_persona_anchor=True, skip_anti_extraction=True), "harden_custom": HardenOptions(custom_rules=("Answer in one line.",))}
+for _name, _options in HARDENED.items():
+    _text = f"{quote(block(_options) + chr(10) * 2)} || text" if _options.position == "prepend" else f"text || {quote(chr(10) + block(_options))}"
+    register(_name, f"SELECT conv_id, turn, {_text} AS prompt FROM conversations WHERE role <> 'assistant'",
+             lambda spark, sf, o=_options: read(spark, sf, "conversations").filter("role <> 'assistant'").select("conv_id", "turn", harden(F.col("text"), o).alias("prompt")))
+
+
+def error_messages(spark: SparkSession, sf: str) -> DataFrame:
+    found = dt.detect_columns(pl.planted(spark, sf), out="d").filter("d.detected").select("doc_id", injection_error(F.col("d.risk"), dt.categories(F.col("d")))["message"].alias("message"))
+    leaked = leaks(spark, sf).filter("leak.leaked").select("doc_id", leak_error(F.col("leak.confidence"), F.size("leak.fragments"))["message"].alias("message"))
+    return found.unionAll(leaked)
+
+
+register("error_messages", f"""SELECT doc_id, 'Prompt injection detected (' || risk || ' risk): ' || array_to_string(list_transform(string_split(matches, ';'), lambda m: string_split(m, '|')[1]), ', ') AS message FROM ({sql.detect(pl.planted_sql())}) WHERE detected
+UNION ALL SELECT doc_id, 'System prompt leak detected (confidence: ' || floor(confidence * 100 + 0.5)::BIGINT || '%, ' || len(found) || ' fragment' || CASE WHEN len(found) = 1 THEN '' ELSE 's' END || ')' FROM ({_leak}SELECT * FROM leaks) WHERE leaked""", error_messages)
+
+
+def content(spark: SparkSession, sf: str) -> DataFrame:
+    part = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
+    parts = F.array(part("text", F.col("role")), part("image", F.col("text")), part("text", F.lit(None).cast("string")), part("text", F.substring("text", 1, 50)))
+    return read(spark, sf, "conversations").select("conv_id", "turn", parts_text(parts).alias("content"))
+
+
+register("content_text", "SELECT conv_id, turn, role || ' ' || substring(text, 1, 50) AS content FROM conversations", content)
+
+# conversations
+_verdict = f"""hit AS (SELECT * FROM ({sql.detect(f"SELECT * FROM ({pl.chats_sql()}) WHERE role = 'user' AND text <> ''", "conv_id", extra=", turn")}) WHERE detected)"""
+_cats = "array_to_string(list_transform(string_split(matches, ';'), lambda m: string_split(m, '|')[1]), '{}')"
+register("derive_prompt", "SELECT conv_id, arg_min(text, turn) AS system_prompt FROM conversations WHERE role = 'system' GROUP BY conv_id HAVING arg_min(text, turn) <> ''", lambda spark, sf: cv.prompts(read(spark, sf, "conversations")))
+register("blocked_convs", f"WITH {_verdict} SELECT conv_id, true AS blocked, 'Prompt injection detected (' || arg_min(risk, turn) || ' risk): ' || arg_min({_cats.format(', ')}, turn) AS error, count(*) AS detected FROM hit GROUP BY conv_id", lambda spark, sf: cv.verdicts(pl.chats(spark, sf)))
+register("warn_audit", f"WITH {_verdict} SELECT conv_id, turn, risk, {_cats.format(',')} AS categories, 'warn' AS reaction FROM hit", lambda spark, sf: cv.audit(pl.chats(spark, sf), cv.GuardOptions(on_detection="warn")))
+register("allowed_turns", f"WITH {_verdict}, c AS ({pl.chats_sql()}) SELECT conv_id, turn, role FROM c WHERE conv_id NOT IN (SELECT conv_id FROM hit)",
+         lambda spark, sf: (lambda rows: cv.allowed(rows, cv.verdicts(rows)).select("conv_id", "turn", "role"))(pl.chats(spark, sf)))
+_system = HardenOptions()
+register("hardened_turns", f"SELECT conv_id, turn, role, CASE WHEN role = 'system' AND text <> '' THEN text || {quote(chr(10) + block(_system))} ELSE text END AS text FROM conversations",
+         lambda spark, sf: cv.hardened(read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")))
+_said = f"""SELECT c.conv_id, c.turn, c.text AS output, p.said AS prompt FROM ({pl.chats_sql()}) c LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS said FROM conversations WHERE role = 'system' GROUP BY conv_id) p ON c.conv_id = p.conv_id
+WHERE role = 'assistant' AND c.conv_id NOT IN (SELECT conv_id FROM (WITH {_verdict} SELECT conv_id FROM hit))"""
+_message = "'System prompt leak detected (confidence: ' || floor(confidence * 100 + 0.5)::BIGINT || '%, ' || len(found) || ' fragment' || CASE WHEN len(found) = 1 THEN '' ELSE 's' END || ')'"
+register("guarded_outputs", f"""SELECT conv_id, turn, leaked, sanitized AS output, CASE WHEN leaked THEN {_message} END AS leak_message FROM ({sql.leak(_said, "conv_id, turn, output")}SELECT * FROM leaks)
+UNION ALL SELECT conv_id, turn, false, output, NULL FROM ({_said}) WHERE prompt IS NULL""", lambda spark, sf: cv.guarded_outputs(pl.chats(spark, sf)).select("conv_id", "turn", "leaked", "output", "leak_message"))
+
+
+def responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Response content and two tool calls' arguments for every document's prompt."""
+    rows = pl.pairs(spark, sf).withColumnRenamed("doc_id", "conv_id")
+    asked = rows.select("conv_id", F.col("prompt").alias("system_prompt"))
+    made = rows.select("conv_id", F.col("output").alias("content"), F.array(F.concat(F.lit('{"query": "'), F.substring("output", 1, 150), F.lit('"}')), F.lit("{}")).alias("tool_arguments"))
+    out = cv.guarded_responses(made, asked)
+    return out.select("conv_id", "content", "content_leaked", F.array_join("tool_arguments", "|").alias("arguments"), "arguments_leaked")
+
+
+_args = f"""SELECT doc_id, prompt, '{{"query": "' || substring(output, 1, 150) || '"}}' AS output FROM ({pl.PAIRS_SQL})"""
+register("guarded_responses", f"SELECT a.doc_id AS conv_id, a.sanitized AS content, a.leaked AS content_leaked, b.sanitized || '|{{}}' AS arguments, b.leaked AS arguments_leaked FROM ({_leak}SELECT * FROM leaks) a JOIN ({sql.leak(_args, 'doc_id, output')}SELECT * FROM leaks) b USING (doc_id)", responses)
+
+# streams
+register("chunk_string", "SELECT doc_id, k::INT AS piece_no, substring(text, k * 64 + 1, 64) AS piece FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 63) // 64)) AS k FROM documents)",
+         lambda spark, sf: ch.chunk_string(pl.documents(spark, sf)).select("doc_id", "piece_no", "piece"))
+register("stream_chunked", "SELECT doc_id, k::INT AS chunk_no, substring(text, greatest(0, k * 1000 - 64) + 1, k * 1000 + 1000 - greatest(0, k * 1000 - 64)) AS chunk FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 999) // 1000)) AS k FROM documents)",
+         lambda spark, sf: ch.chunked(pl.documents(spark, sf), size=1000).select("doc_id", "chunk_no", "chunk"))
+register("stream_buffer", "SELECT conv_id AS stream_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+         lambda spark, sf: ch.buffered(read(spark, sf, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("delta"))))
+_piece = f"SELECT doc_id, k::INT AS chunk_no, prompt, substring(output, greatest(0, k * 300 - 64) + 1, k * 300 + 300 - greatest(0, k * 300 - 64)) AS output FROM (SELECT *, unnest(range(0, (length(output) + 299) // 300)) AS k FROM ({pl.PAIRS_SQL}))"
+register("stream_sanitized", sql.leak(_piece, "doc_id, chunk_no, output") + "SELECT doc_id, chunk_no, leaked, sanitized AS output FROM leaks",
+         lambda spark, sf: ch.sanitized_chunks(pl.pairs(spark, sf), "prompt", "output", 300).select("doc_id", "chunk_no", "leaked", F.col("output")))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
