@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from guardframe.functions import catalog
 from guardframe.functions.jsregex import required_literal, translate
 from guardframe.functions.normalize import Normalization, steps
-from guardframe.functions.text import tokens, utf16_prefix
+from guardframe.functions.text import settled, tokens, utf16_prefix
 
 SCAN_LIMIT = 8192
 INPUT_LIMIT = 1024 * 1024
@@ -98,7 +98,7 @@ def detect_columns(df: DataFrame, text_col: str = "text", options: DetectOptions
     critical = F.array(*(F.lit(g.risk == "critical") for g in groups)) if groups else F.array().cast("array<boolean>")
     last = F.array_min(F.transform("_gf_hits", lambda m, i: F.when(m.isNotNull() & F.get(critical, i), i)))
     rows = rows.withColumn("_gf_last", F.coalesce(last, F.lit(len(groups))))
-    rows = rows.withColumn("_gf_matches", F.filter("_gf_hits", lambda m, i: m.isNotNull() & (i <= F.col("_gf_last"))))
+    rows = rows.withColumn("_gf_matches", settled(F.filter("_gf_hits", lambda m, i: m.isNotNull() & (i <= F.col("_gf_last")))))
     found = F.size("_gf_matches") > 0
     if phrases := [p for p in o.allow if p]:
         bounded = F.lower(utf16_prefix(text, o.max_input_length))

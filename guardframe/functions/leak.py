@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from guardframe.functions.text import jaccard, ngrams, tokens, utf16_prefix
+from guardframe.functions.text import jaccard, ngrams, settled, tokens, utf16_prefix
 
 OUTPUT_LIMIT = 1024 * 1024
 REDACTED = "[REDACTED]"
@@ -90,7 +90,7 @@ def leak_columns(df: DataFrame, output_col: str, prompt_col: str, options: LeakO
     confidence = F.when(f > 0, F.least(F.lit(1.0), ratio * 2 + more)).when(overlap >= w, F.least(F.lit(1.0), overlap * 2)).otherwise(F.lit(0.0))
     rows = rows.withColumn("_gf_conf", F.when(F.size(pt) >= 2, confidence).otherwise(F.lit(0.0)))
     leaked = ((f > 0) & (F.col("_gf_conf") >= o.threshold)) | (f >= 2) | ((sf >= 3) & (overlap >= w)) | ((overlap >= w * 1.5) & (sf >= 1))
-    rows = rows.withColumn("_gf_leaked", F.coalesce((F.size(pt) >= 2) & leaked, F.lit(False)))
+    rows = rows.withColumn("_gf_leaked", settled(F.coalesce((F.size(pt) >= 2) & leaked, F.lit(False))))
     rows = rows.withColumn("_gf_all", F.when(F.col("_gf_leaked"), F.array_union("_gf_f", "_gf_sf")).otherwise(none))
     text = F.col("_gf_text")
     clean = text if o.detect_only else F.when(F.col("_gf_leaked"), redact(text, F.col("_gf_all"), n, o.redaction)).otherwise(text)

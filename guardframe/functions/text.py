@@ -70,3 +70,9 @@ def jaccard(a: Column, b: Column) -> Column:
     """Jaccard ratio of two arrays as sets; 0 if both are empty."""
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+
+
+def settled(value: Column) -> Column:
+    """``value``, marked so that the optimizer neither copies its expression into filters above nor
+    computes it twice.  Filters on other columns should come before."""
+    return F.when(F.spark_partition_id() >= 0, value)
