@@ -95,3 +95,26 @@ def blocks(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
         held += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def few(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Marked for broadcast if a count shows at most ``most`` rows; else joined by shuffle."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def row_key(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``df`` with a column that is unique and never null, and its name.
+
+    That is the id itself where a count shows so; else the rows are stored with numbers of their own,
+    which follow the ids (nulls first).
+    """
+    from pyspark.sql import functions as F
+
+    sizes = df.agg(F.count("*").alias("n"), F.count(id_col).alias("ids")).first()
+    if sizes["n"] == sizes["ids"] == df.select(id_col).distinct().count():
+        return df, id_col
+    name = free_name(df.columns, "_gf_row")
+    ordered = df.repartitionByRange(id_col, F.xxhash64("text")).sortWithinPartitions(id_col, "text")
+    return materialize(ordered.withColumn(name, F.monotonically_increasing_id()), "rows"), name

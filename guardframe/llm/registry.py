@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from guardframe.llm import queries as q
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_chat_formatting": q.op1_chat_formatting,
     "op2_warc": q.op2_warc,
     "op3_ngram_jaccard_join": q.op3_ngram_jaccard_join,
@@ -17,6 +19,8 @@ QUERIES = {
     "op10_secret_scans": q.op10_secret_scans,
 }
 ORACLES = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
 def queries() -> dict:

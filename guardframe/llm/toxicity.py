@@ -35,9 +35,9 @@ DIGITS = str.maketrans("0134578", "oieastb")
 SIGNS = str.maketrans("@$!|", "asil")
 SIGNED = re.compile(r"(?<=[^\W\d_])[@$!|]+(?=[^\W\d_])|(?<![^\s])[@$]+(?=[^\W\d_])")
 DIGITED = re.compile(r"[0-9]*[^\W\d_][^\W_]*")
-HIDDEN = re.compile("[­​-‏⁠﻿]")
+HIDDEN = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
 WORD = re.compile(r"[^\W_]+")
-OTHER_SCRIPT = re.compile("[Ͱ-ԯɑɡⅼ！-～­​-‏⁠﻿\U0001d400-\U0001d7ff]")
+OTHER_SCRIPT = re.compile("[\u0370-\u052f\u0251\u0261\u217c\uff01-\uff5e\u00ad\u200b-\u200f\u2060\ufeff\U0001d400-\U0001d7ff]")
 
 
 def fold(text: str) -> str:

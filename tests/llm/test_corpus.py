@@ -53,8 +53,9 @@ def test_parity_bound():
         x, y = np.unique(x), np.unique(y)
         h = int(np.bitwise_count(jaccard.parity(x, 9) ^ jaccard.parity(y, 9)).sum())
         assert h <= len(np.setxor1d(x, y))
-        if len(y) and 100 * len(np.intersect1d(x, y)) >= 90 * len(np.union1d(x, y)) and not np.array_equal(x, y):
-            assert set(jaccard.chunk_keys(x, 90).tolist()) & set(jaccard.chunk_keys(y, 90).tolist())
+        for percent in (80, 90):
+            if len(y) and 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y)) and not np.array_equal(x, y):
+                assert set(jaccard.chunk_keys(x, percent).tolist()) & set(jaccard.chunk_keys(y, percent).tolist())
 
 
 def test_quality(spark, sf):
