@@ -22,7 +22,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,8 @@ from guardframe.llm.common import blocks, free_name, map_arrow
 
 SPACE = "▁"
 MEMO = 400_000
-BATCH = 2 << 20
+BATCH = 3 << 20
+MARKS = ".,;:!?|*%&$#"
 NEVER = 1 << 40
 
 
@@ -60,6 +63,8 @@ class Model:
         long = [self.text[i] for i in self.plain if len(self.text[i]) > 1]
         self.spaces_lead = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in long)
         self.lines_alone = not any("\n" in p for p in long)
+        crossed = {b for p in long for a, b in zip(p, p[1:], strict=False) if a != SPACE and a not in MARKS}
+        self.cut = cutter("".join(m for m in MARKS if m not in crossed), self.lines_alone)
         self.merges = self._merges()
         if self.merges:
             self._order()
@@ -166,11 +171,16 @@ class Model:
         text = SPACE + text.replace(" ", SPACE)
         if not self.spaces_lead:
             return [text]
-        return (LINED if self.lines_alone else PARTED).findall(text)
+        return self.cut.findall(text)
 
 
-LINED = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
-PARTED = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+def cutter(marks: str, lines: bool) -> re.Pattern:
+    """Parts: space marks with what follows, up to the next space mark, up to a line end if no piece has
+    one, and up to one of ``marks``, which no piece joins to a character before."""
+    stop = SPACE + "\n" * lines
+    plain = f"[^{stop}{re.escape(marks)}]+"
+    marked = f"[{re.escape(marks)}][^{stop}]*" if marks else "(?!)"
+    return re.compile(f"{SPACE}+(?:{plain}|{marked})?|{plain}|{marked}" + "|\n" * lines)
 
 
 def sort_windows(windows: np.ndarray) -> np.ndarray:
@@ -306,14 +316,14 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cut = [self.model.parts(t) if t else [] for t in texts]
-        new = list({p for parts in cut for p in parts}.difference(self.memo))
-        if len(self.memo) + len(new) > self.limit:
-            self.memo.clear()
-            new = list({p for parts in cut for p in parts})
+        new = list(set(chain.from_iterable(cut)).difference(self.memo))
         if new:
             self.learn(new)
         get = self.memo.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+        out = [b"".join(map(get, parts)) for parts in cut]
+        if len(self.memo) > self.limit:  # what came twice just now stays
+            self.memo = {p: self.memo[p] for p, n in Counter(chain.from_iterable(cut)).items() if n > 1}
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces as UTF-8, the leading space mark dropped."""
