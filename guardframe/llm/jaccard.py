@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from guardframe.llm.common import blocks, map_arrow, materialize
+from guardframe.llm.common import blocks, few, map_arrow, materialize
 from guardframe.llm.components import components
 from guardframe.llm.words import Block, Ranges, mix
 
@@ -34,8 +34,8 @@ SHINGLE = 3
 PERCENT = 90
 FOLD = 8  # 64-bit words of the folded sketch
 GROWTH = 1.25  # of the sizes in a band
+SPARE = 1.5  # chunks for each that is needed
 CENTRES = (4, 64, 0)  # centres of a bucket in each round; 0: all
-LOOKUP_ROWS = 1_000_000  # ids that may be broadcast to find texts again; more are joined by shuffle
 SALT = np.uint64(0x632BE59BD9B4E019)
 LONGS = T.ArrayType(T.LongType())
 SETS = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n", "s1", "s2")), T.StructField("sketch", LONGS), T.StructField("keys", LONGS)])
@@ -87,11 +87,22 @@ def parity(h: np.ndarray, chunks: int) -> np.ndarray:
 
 
 def chunk_keys(h: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set (sorted hashes) under which a linked set is found.
+
+    Shingles are dealt to SPARE times as many chunks as needed and XORed there.  A pair within the bound
+    d differs in d chunks at most; so of each set's chunks in one order that depends on their content
+    alone, the first d + 1 suffice (prefix filtering).  Fullest first: chunks of no or few shingles,
+    which unrelated sets share by chance, are left out.
+    """
     out = [np.empty(0, np.uint64)]
+    sums = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(h)])
     for band in bands_of(len(h), percent):
-        sketch = parity(h, chunk_count(band, percent))
-        place = (np.uint64(band) << np.uint64(40)) + np.arange(len(sketch), dtype=np.uint64)
-        out.append(mix(mix(place * SALT + np.uint64(1)) ^ sketch))
+        need = chunk_count(band, percent)
+        chunks = int(need * SPARE)
+        at = np.searchsorted((h >> np.uint64(32)) * np.uint64(chunks) >> np.uint64(32), np.arange(chunks + 1))
+        place = (np.uint64(band) << np.uint64(40)) + np.arange(chunks, dtype=np.uint64)
+        key = mix(mix(place * SALT + np.uint64(1)) ^ sums[at[1:]] ^ sums[at[:-1]])
+        out.append(key[np.lexsort((key, -np.diff(at)))[:need]])
     return np.concatenate(out)
 
 
@@ -153,13 +164,10 @@ def shared_buckets(classes: DataFrame) -> DataFrame:
 def fetch_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """cls, set (sorted shingle hashes) for the classes of ``wanted`` (cls, first, n, s1, s2).
 
-    The text of the first document of each class is read again; ids go out by broadcast only up to
-    ``LOOKUP_ROWS`` of them.
+    The text of the first document of each class is read again.
     """
     key = F.coalesce(F.col("first"), F.lit(-(2**63)))
-    ids = wanted.select(key.alias("_gf_id")).distinct()
-    if ids.count() <= LOOKUP_ROWS:
-        ids = F.broadcast(ids)
+    ids = few(wanted.select(key.alias("_gf_id")).distinct())
     work = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_gf_id"), F.col(text_col).alias("_gf_text")).join(ids, "_gf_id", "left_semi")
     schema = T.StructType.fromDDL("n long, s1 long, s2 long, set array<long>")
 
