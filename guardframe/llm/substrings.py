@@ -29,14 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from guardframe.llm.common import blocks, map_arrow, materialize
+from guardframe.llm.common import blocks, few, map_arrow, materialize, row_key
 from guardframe.llm.words import TABLE, Ranges, mix, texts_of
 
 LENGTH = 100
 SEED = 48
-CROWD = 20_000
-CHUNK = 3 << 20  # bytes indexed at once
-LOOKUP_ROWS = 1_000_000  # ids that may be broadcast; more are joined by shuffle
+CROWD = 5_000
+CHUNK = 1 << 20  # bytes indexed at once
 LOW = np.uint64((1 << 24) - 1)
 
 
@@ -169,11 +168,6 @@ def sift(found: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """Ids for a semi join: broadcast up to ``LOOKUP_ROWS`` of them."""
-    return F.broadcast(ids) if ids.count() <= LOOKUP_ROWS else ids
-
-
 def open_contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """deal, key, start, bytes: open contexts, dealt by anchor or, if crowded, window by window."""
     lists = materialize(asked.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor", "state")).alias("asked")), "asked")
@@ -311,19 +305,10 @@ def index(contexts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """key, doc_id, text with a unique key in the order of documents; whether the key is the id."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sizes = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
-    if sizes["n"] == sizes["ids"] == docs.select("doc_id").distinct().count():
-        return docs.withColumn("key", F.col("doc_id")), True
-    ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.withColumn("key", F.monotonically_increasing_id()), "ordered"), False
-
-
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and ``spans``: maximal runs (start, end in bytes) that repeated windows cover."""
-    docs, _ = keyed(df, id_col, text_col)
+    docs, key = row_key(df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id")
+    docs = docs.select("doc_id", "text", F.col(key).alias("key"))
     sifted = materialize(sift(find_anchors(docs.select("key", "text"))), "anchors")
     contexts = open_contexts(docs.select("key", "text"), sifted.filter("state > 0"))
     opened = materialize(index(contexts), "repeats")
