@@ -16,6 +16,7 @@ so memory doesn't grow with the data.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from guardframe.llm.common import new_path
 
 END = 0
+LATIN = "\u0250"
 MEMO = 900_000
 MARKS = ".,;:!?|*%&$#()"
 FILES = T.StructType([
@@ -67,13 +69,21 @@ class Encoder:
     """Text to little-endian 32-bit ids, with a memo of the pieces that come again."""
 
     def __init__(self, path: str, memo: int = MEMO):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer, self.limit, self.memo = Tokenizer.from_file(path), memo, Memo()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.width[i] = len(token)  # a character of a token stands for a byte
+        # the same merges over words that are byte characters already, parted by spaces
+        plain = json.loads(self.tokenizer.to_str())["model"]
+        self.merger = Tokenizer(models.BPE(vocab=plain["vocab"], merges=[tuple(m) for m in plain["merges"]], cache_capacity=0))
+        self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        shown = [b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)]  # bytes that stand for themselves
+        chars = dict(zip(shown, map(chr, shown), strict=True)) | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        self.space, chars[10] = chars[32], " " + chars[32]
+        self.chars = str.maketrans({chr(b): c for b, c in chars.items()})
 
     def pieces(self, text: str) -> tuple[str, list[str]]:
         """The text cut at certain pre-token borders.
@@ -95,25 +105,40 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
+    def words(self, cores: list[str]) -> list[bytes]:
+        """As ``together``, for pieces of Latin letters alone: each is one pre-token with its space."""
+        joined = "\n".join(cores).encode()
+        text = self.space + joined.decode("latin-1").translate(self.chars)
+        ids = np.array(self.merger.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(c.encode()) + 1 for c in cores])
+        at = [0, *(4 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
     def learn(self, new: list[str]) -> list[bytes]:
         """The ids of pieces.  Letters and the marks after them are separate pre-tokens."""
-        memo, split, want = self.memo, [], {}
+        memo, latin, others, split, tails = self.memo, {}, {}, [], set()
         for p in new:
             core = p.rstrip(MARKS)
-            if core != p and core.isalpha():
-                split.append((p, core, p[len(core) :]))
-                p = core
-            if not memo.get(p):
-                want[p] = b""
-        keys = list(want)
-        for i in range(0, len(keys), 4000):
-            part = keys[i : i + 4000]
-            want.update(zip(part, self.together(part), strict=True))
-        tails = list({t for _, _, t in split})
-        tails = dict(zip(tails, self.tokenizer.encode_batch_fast(tails, add_special_tokens=False), strict=True))
-        tails = {t: np.array(e.ids, "<u4").tobytes() for t, e in tails.items()}
-        ended = {p: bytes(memo.get(core) or want[core]) + tails[t] for p, core, t in split}
-        return [ended.get(p) or want[p] for p in new]
+            if not core.isalpha():
+                others[p] = None
+                continue
+            if core is not p and core != p:
+                split.append((p, core))
+                tails.add(p[len(core) :])
+                if memo.get(core):
+                    continue
+            (latin if core.isascii() or max(core) < LATIN else others)[core] = None
+        ids: dict[str, bytes] = {}
+        for keys, ids_of in ((list(latin), self.words), (list(others), self.together)):
+            for i in range(0, len(keys), 4000):
+                part = keys[i : i + 4000]
+                ids.update(zip(part, ids_of(part), strict=True))
+        ends = dict(zip(tails, self.tokenizer.encode_batch_fast(list(tails), add_special_tokens=False), strict=True))
+        ends = {t: np.array(e.ids, "<u4").tobytes() for t, e in ends.items()}
+        for p, core in split:
+            ids[p] = (ids.get(core) or bytes(memo[core])) + ends[p[len(core) :]]
+        return list(map(ids.__getitem__, new))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         firsts, rests = zip(*map(self.pieces, texts), strict=True)
