@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from guardframe.llm.common import blocks, free_name, map_arrow
 
 SPACE = "▁"
-MEMO = 400_000
-BATCH = 3 << 20
+MEMO = 300_000
+INDEXED = 250_000  # characters indexed at once
+BATCH = 1 << 20
 MARKS = ".,;:!?|*%&$#"
 NEVER = 1 << 40
 
@@ -204,7 +205,7 @@ def sort_windows(windows: np.ndarray) -> np.ndarray:
 
 
 def lattice(model: Model, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (start, end, piece or -2) over the joined parts, by end, and each part's start.
+    """Edges (start, end, piece or -2) over the joined parts, and each part's start.
 
     A separator stands after each part, so no edge crosses from one into the next.
     """
@@ -237,8 +238,7 @@ def lattice(model: Model, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
     bare = np.flatnonzero(~covered & (symbols != 0))  # characters that are no piece by themselves
     start, end = np.concatenate([start, bare]), np.concatenate([end, bare + 1])
     piece = np.concatenate([piece, np.full(len(bare), -2, np.int64)])
-    order = np.argsort(end, kind="stable")
-    return start[order], end[order], piece[order], begin
+    return start, end, piece, begin
 
 
 def relax(model: Model, parts: list[str]) -> list[np.ndarray]:
@@ -252,7 +252,8 @@ def relax(model: Model, parts: list[str]) -> list[np.ndarray]:
     best = np.full(total + 1, -np.inf)
     best[begin[:-1]] = 0
     level = end - origin[start]
-    order = np.argsort(level, kind="stable")
+    # by end within the part; narrow numbers are sorted in linear time
+    order = np.argsort(level.astype(np.uint16) if len(level) and level.max() < 1 << 16 else level, kind="stable")
     start, end, piece, level = start[order], end[order], piece[order], level[order]
     steps = np.concatenate([[0], np.flatnonzero(np.diff(level)) + 1, [len(level)]])
     at_begin = np.zeros(total + 1, bool)
@@ -317,8 +318,14 @@ class Codec:
         """Little-endian 32-bit ids of each text."""
         cut = [self.model.parts(t) if t else [] for t in texts]
         new = list(set(chain.from_iterable(cut)).difference(self.memo))
-        if new:
-            self.learn(new)
+        at = 0
+        while at < len(new):
+            size, to = 0, at
+            while to < len(new) and size < INDEXED:
+                size += len(new[to]) + 1
+                to += 1
+            self.learn(new[at:to])
+            at = to
         get = self.memo.__getitem__
         out = [b"".join(map(get, parts)) for parts in cut]
         if len(self.memo) > self.limit:  # what came twice just now stays
