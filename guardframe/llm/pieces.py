@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from guardframe.llm.common import blocks, free_name, map_arrow
 
 SPACE = "▁"
-MEMO = 300_000
-INDEXED = 250_000  # characters indexed at once
+MEMO = 200_000
+INDEXED = 100_000  # characters indexed at once
 BATCH = 1 << 20
 MARKS = ".,;:!?|*%&$#"
 NEVER = 1 << 40
@@ -70,7 +70,7 @@ class Model:
         if self.merges:
             self._order()
         self.queries = self._keys([self.text[i] for i in self.plain])
-        self.cache_key, self.cache = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)
+        self.cache_key, self.cache = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
 
     def _merges(self) -> bool:
         """Whether the library merges (BPE): scores are then ranks, counted downwards."""
@@ -147,7 +147,7 @@ class Model:
         out = (a == -2) | (b == -2)
         todo = np.flatnonzero(~out)
         key = (a[todo] << 20) | b[todo]
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
         known = self.cache_key[slot] == key
         out[todo[known]] = self.cache[slot[known]]  # before new pairs take slots
         miss = np.flatnonzero(~known)
