@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from guardframe.llm import decontaminate, jaccard, pieces, secrets, toxicity
-from guardframe.llm.common import few, map_arrow, materialize, row_key, table
+from guardframe.llm.common import few, free_name, map_arrow, materialize, row_key, table
 
 SHINGLE, PERCENT = 5, 80  # near copies of the corpus: five words, similarity 0.8
 BLANK = "[SECRET]"
@@ -45,18 +45,19 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With secrets blanked: all of the base kinds, and live-looking ones of the others."""
     keyed, key = row_key(docs, "doc_id")
-    found = materialize(secrets.scan(keyed, keep=[key]).filter(F.size("spans") > 0).select(key, F.col("spans").alias("_gf_spans")), "secrets")
+    held = free_name(keyed.columns, "_gf_spans")
+    found = materialize(secrets.scan(keyed, keep=[key]).filter(F.size("spans") > 0).select(key, F.col("spans").alias(held)), "secrets")
     both = keyed.join(few(found, 100_000), key, "left")
     columns = docs.columns
 
     def blank(batch: pa.RecordBatch):
         texts = batch.column("text").to_pylist()
-        for i, spans in enumerate(batch.column("_gf_spans").to_pylist()):
+        for i, spans in enumerate(batch.column(held).to_pylist()):
             for a, b in reversed(secrets.merged((s["start"], s["end"]) for s in spans or ())):
                 texts[i] = texts[i][:a] + BLANK + texts[i][b:]
         yield {c: batch.column(c) for c in columns} | {"text": texts}
 
-    return with_sizes(map_arrow(both.select(*columns, "_gf_spans"), blank, docs.schema))
+    return with_sizes(map_arrow(both.select(*columns, held), blank, docs.schema))
 
 
 def stage_sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from guardframe.llm.common import map_arrow, materialize
+from guardframe.llm.common import free_name, map_arrow, materialize
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -92,28 +92,29 @@ def scan(df: DataFrame, text_col: str = "text", repo_col: str = "source", owner_
     Each span has kind, start, end (code points, end exclusive), hash and base.
     """
     keep = keep or ["doc_id"]
-    work = df.select(*keep, F.col(text_col).alias("_gf_text"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("_gf_repo"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_gf_owner"))
-    out = T.StructType([f for f in work.schema if f.name != "_gf_text"] + [T.StructField("_gf_spans", T.ArrayType(T.StructType.fromDDL("kind string, start int, end int, hash string, base boolean")))])
+    # inner names, none of which is a kept column's
+    text_in, repo, owner, held, row, span, digest, wide_in, shared_in = (free_name(keep, f"_gf_{n}") for n in ("text", "repo", "owner", "spans", "row", "span", "hash", "wide", "shared"))
+    named = lambda col, name: F.coalesce(F.col(col).cast("string"), F.lit("")).alias(name)
+    work = df.select(*keep, F.col(text_col).alias(text_in), named(repo_col, repo), named(owner_col, owner))
+    out = T.StructType([f for f in work.schema if f.name != text_in] + [T.StructField(held, T.ArrayType(T.StructType.fromDDL("kind string, start int, end int, hash string, base boolean")))])
 
     def find_all(batch: pa.RecordBatch):
         spans = []
-        for text in batch.column("_gf_text").to_pylist():
+        for text in batch.column(text_in).to_pylist():
             got = find(text) if text else []
             spans.append([{"kind": k, "start": a, "end": b, "hash": hashlib.sha256(v.encode()).hexdigest(), "base": base} for k, a, b, v, base in got])
-        yield {n: batch.column(n) for n in out.names if n != "_gf_spans"} | {"_gf_spans": spans}
-
-    rows = materialize(map_arrow(work, find_all, out).withColumn("_gf_row", F.monotonically_increasing_id()), "candidates")
-    each = rows.filter(F.size("_gf_spans") > 0).select("_gf_row", "_gf_repo", "_gf_owner", F.explode("_gf_spans").alias("_gf_span"))
-    pairs = each.groupBy(F.col("_gf_span.hash").alias("_gf_hash"), "_gf_repo", "_gf_owner").agg(F.count("*").alias("_gf_n"))
-    spread = pairs.groupBy("_gf_hash").agg(F.countDistinct("_gf_owner").alias("_gf_owners"), F.countDistinct("_gf_repo").alias("_gf_repos"))
-    wide = materialize(spread.filter((F.col("_gf_owners") > owners) | (F.col("_gf_repos") > owners)).select("_gf_hash"), "shared")
-    marked = each.withColumn("_gf_hash", F.col("_gf_span.hash")).join(wide.withColumn("_gf_wide", F.lit(True)), "_gf_hash", "left")
-    hit = marked.filter("_gf_wide").groupBy("_gf_row").agg(F.collect_set("_gf_hash").alias("_gf_shared"))
-    both = rows.join(hit, "_gf_row", "left")
-    shared = F.coalesce("_gf_shared", F.array().cast("array<string>"))
-    both = both.withColumn("shared", shared)
-    spans = F.expr("filter(_gf_spans, s -> s.base OR NOT array_contains(shared, s.hash))")
-    return both.select(*keep, spans.alias("spans"), "shared")
+        yield {n: batch.column(n) for n in out.names if n != held} | {held: spans}
+
+    rows = materialize(map_arrow(work, find_all, out).withColumn(row, F.monotonically_increasing_id()), "candidates")
+    each = rows.filter(F.size(held) > 0).select(row, repo, owner, F.explode(held).alias(span)).withColumn(digest, F.col(span)["hash"])
+    pairs = each.groupBy(digest, repo, owner).agg(F.count("*"))
+    spread = pairs.groupBy(digest).agg(F.countDistinct(owner).alias("owners"), F.countDistinct(repo).alias("repos"))
+    wide = materialize(spread.filter((F.col("owners") > owners) | (F.col("repos") > owners)).select(digest), "shared")
+    marked = each.join(wide.withColumn(wide_in, F.lit(True)), digest, "left")
+    hit = marked.filter(wide_in).groupBy(row).agg(F.collect_set(digest).alias(shared_in))
+    both = rows.join(hit, row, "left").withColumn(shared_in, F.coalesce(shared_in, F.array().cast("array<string>")))
+    spans = F.expr(f"filter({held}, s -> s.base OR NOT array_contains({shared_in}, s.hash))")
+    return both.select(*keep, spans.alias("spans"), F.col(shared_in).alias("shared"))
 
 
 def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 from guardframe.llm import decontaminate, jaccard, secrets, toxicity
 from guardframe.llm.common import materialize, row_key, table
@@ -65,6 +66,22 @@ def test_odd_rows(spark, sf):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == len(texts)
 
 
+def test_secrets_of_odd_ids(spark, sf):
+    """Repeated and null ids over several partitions, with and without a column of the inner row's name."""
+    rows = [(i % 7 or None, f"{'x ' * (i % 5)}token = abcdefgh{i:02} here" if i % 3 else f"nothing to see in text {i}, which is long enough to be cut") for i in range(60)]
+    want = sorted(f"{'x ' * (i % 5)}[SECRET] here" if i % 3 else t for i, (_, t) in enumerate(rows))
+    docs = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for frame in (docs, docs.withColumn("_gf_row", F.lit(3)), docs.withColumn("_gf_spans", F.lit(3))):
+            got = corpus_pipeline.stage_secrets(spark, frame, sf)
+            assert sorted(r.text for r in got.collect()) == want and got.columns == frame.columns
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    kept = secrets.scan(docs.withColumn("_gf_row", F.length("text")), keep=["_gf_row"])
+    assert sorted(r._gf_row for r in kept.collect()) == sorted(len(t) for _, t in rows)
+
+
 def test_near_copies_at_eighty(spark):
     rnd = random.Random(5)
     rows, doc = [], 0
