@@ -3,7 +3,8 @@
 Patterns find candidates in every whole text.  The hash of each candidate's value is counted over
 the corpus by distinct repositories and owners: values that many owners hold are copied examples,
 values of few owners are live-looking credentials.  The base kinds (assign, access, hex) are always
-reported; spans of the further kinds are added only where their value is owner-specific.
+reported; spans of the further kinds are added only where their value is owner-specific, and may
+reach over a base span that holds a part of them.
 
 Defined cases: a null text is empty and has no spans; a null repository or owner counts as one
 owner of its own name ''; repeated rows and null ids are rows like others (the work goes by an
@@ -27,12 +28,12 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of hex digits is matched whole, so shorter ones may be skipped at once
 ASSIGN_MIN, ACCESS_MIN = 8, 16
-#: Further kinds, each with a substring that every match holds.
+#: Further kinds, each with substrings one of which every match holds.
 MORE = [
-    ("private_key", "-----BEGIN ", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----.*?-----END (?:[A-Z]+ )*PRIVATE KEY-----", re.S)),
-    ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    ("url_login", "://", re.compile(r"(?<=://)[^\s:/@]{1,128}:[^\s:/@]{3,128}(?=@)")),
-    ("prefixed", "_", re.compile(r"(?:gh[pousr]|sk_live|rk_live|sk_test|glpat|xox[abprs])[_-][A-Za-z0-9_-]{16,}")),
+    ("private_key", ("-----BEGIN ",), re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----.*?-----END (?:[A-Z]+ )*PRIVATE KEY-----", re.S)),
+    ("jwt", ("eyJ",), re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    ("url_login", ("://",), re.compile(r"(?<=://)[^\s:/@]*+:[^\s:/@]{3,}+(?=@)")),
+    ("prefixed", ("ghp", "gho", "ghu", "ghs", "ghr", "sk_live", "rk_live", "sk_test", "glpat", "xox"), re.compile(r"(?:gh[pousr]|sk_live|rk_live|sk_test|glpat|xox[abprs])[_-][A-Za-z0-9_-]{16,}")),
 ]
 RANDOM = re.compile(r"[A-Za-z0-9+/_-]{24,}")
 KINDS = ("assign", "access", "hex", *(k for k, _, _ in MORE), "random")
@@ -61,6 +62,18 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
+def covered(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether one of the disjoint intervals holds all of a to b."""
+    at = bisect.bisect_right(taken, (a, math.inf))
+    return at > 0 and taken[at - 1][1] >= b
+
+
+def meets(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether one of the disjoint intervals holds a place of a to b."""
+    at = bisect.bisect_left(taken, (b,))
+    return at > 0 and taken[at - 1][1] > a
+
+
 def find(text: str) -> list[tuple[str, int, int, str, bool]]:
     """(kind, start, end, value, base) of every candidate, by start, then kind as listed."""
     found = []
@@ -70,14 +83,16 @@ def find(text: str) -> list[tuple[str, int, int, str, bool]]:
     if "AKIA" in text:
         found += [("access", m.start(), m.end(), m[0], True) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_MIN]
     found += [("hex", m.start(), m.end(), m[0], True) for m in HEX.finditer(text)]
-    taken = merged((a, b) for _, a, b, _, _ in found)
-    more = [(k, m.start(), m.end(), m[0], False) for k, part, rx in MORE if part in text for m in rx.finditer(text)]
-    more += [("random", m.start(), m.end(), m[0], False) for m in RANDOM.finditer(text) if looks_random(m[0])]
-    for x in more:
-        at = bisect.bisect_right(taken, (x[1], math.inf))
-        if (not at or taken[at - 1][1] <= x[1]) and (at == len(taken) or taken[at][0] >= x[2]):
-            found.append(x)
-            taken.insert(at, (x[1], x[2]))
+    # a candidate is left out only where spans so far hold all of it; a random one also within a further kind
+    taken, further = merged(x[1:3] for x in found), []
+    for kind, parts, rx in MORE:
+        if any(part in text for part in parts):
+            new = [(kind, m.start(), m.end(), m[0], False) for m in rx.finditer(text) if not covered(taken, *m.span())]
+            further += new
+            taken = merged([*taken, *(x[1:3] for x in new)])
+    apart = merged(x[1:3] for x in further)
+    found += further
+    found += [("random", m.start(), m.end(), m[0], False) for m in RANDOM.finditer(text) if looks_random(m[0]) and not covered(taken, *m.span()) and not meets(apart, *m.span())]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
