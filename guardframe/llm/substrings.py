@@ -36,7 +36,7 @@ LENGTH = 100
 SEED = 48
 CROWD = 5_000
 CHUNK = 1 << 20  # bytes indexed at once
-LOW = np.uint64((1 << 24) - 1)
+LOW = np.uint64((1 << 24) - 1)  # low bits of a hash, in which the place within a piece of 2**24 is packed
 
 
 def longs(*names: str) -> T.StructType:
@@ -52,6 +52,21 @@ def sliding_least(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (size - width)], x[size - width :]) if width < size else x
 
 
+def least_places(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Place of the least of each ``size`` neighbours by the hash's high bits, leftmost among equals.
+
+    The place is packed into the low bits, counted from the start of a piece; pieces overlap so far that
+    each run of neighbours lies in one of them.
+    """
+    step = int(LOW) + 2 - size
+    out = [np.empty(0, np.int64)]
+    for at in range(0, len(hashes) - size + 1, step):
+        part = hashes[at : at + step + size - 1]
+        least = sliding_least((part & ~LOW) | np.arange(len(part), dtype=np.uint64), size)
+        out.append((least & LOW).astype(np.int64) + at)
+    return np.concatenate(out)
+
+
 def anchors(column: pa.Array, length: int = LENGTH, seed: int = SEED) -> dict[str, np.ndarray]:
     """Anchors of the texts: row, anchor hash, context hash, first owned window, owned windows."""
     raw, at = texts_of(column)
@@ -61,13 +76,13 @@ def anchors(column: pa.Array, length: int = LENGTH, seed: int = SEED) -> dict[st
     ranges = Ranges(TABLE[raw])
     place = np.arange(len(raw) - seed + 1)
     hashes = ranges(place, place + seed)
-    chosen = sliding_least((hashes & ~LOW) | place.astype(np.uint64), length - seed + 1)
+    chosen = least_places(hashes, length - seed + 1)
     inside = np.zeros(len(raw) + 1, np.int32)  # window starts whose window stays in one text
     full = np.flatnonzero(np.diff(at) >= length)
     np.add.at(inside, at[full], 1)
     np.add.at(inside, at[full + 1] - length + 1, -1)
     window = np.flatnonzero(np.cumsum(inside[:-1])[: len(chosen)] > 0)
-    anchor = (chosen[window] & LOW).astype(np.int64)
+    anchor = chosen[window]
     new = np.ones(len(window), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)
     first = np.flatnonzero(new)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 from guardframe.llm import pieces, queries, substrings
@@ -21,6 +22,21 @@ def test_substrings(spark, sf):
     assert got == brute.substrings(documents(spark, sf))
 
 
+def test_anchors_beyond_the_low_bits(monkeypatch):
+    """Equal windows of one text choose one anchor, also where its places don't fit the low bits."""
+    monkeypatch.setattr(substrings, "LOW", np.uint64(255))
+    rnd = random.Random(3)
+    shared = "".join(rnd.choices("abcdefgh", k=400))
+    text = shared + "".join(rnd.choices("abcdefgh", k=3001)) + shared + "".join(rnd.choices("abcdefgh", k=90)) + shared
+    found = substrings.anchors(pa.array([text, shared]))
+    chosen = {}
+    for row, anchor, start, n in zip(found["row"], found["anchor"], found["start"], found["windows"], strict=True):
+        for i in range(start, start + n):
+            chosen.setdefault((text, shared)[row][i : i + 100], []).append(anchor)
+    assert sum(map(len, chosen.values())) == len(text) + len(shared) - 198
+    assert max(map(len, chosen.values())) == 4 and all(len(set(x)) == 1 for x in chosen.values())
+
+
 def made(seed):
     rnd = random.Random(seed)
     say = lambda n: "".join(rnd.choice(["ab", "é", "the ", "\n", "x😀"]) for _ in range(n))
