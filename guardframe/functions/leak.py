@@ -100,11 +100,13 @@ def leak_columns(df: DataFrame, output_col: str, prompt_col: str, options: LeakO
 
 
 def sanitize_object(df: DataFrame, object_col: str, prompt_col: str, options: LeakOptions | None = None, leaked_out: str = "had_leak") -> DataFrame:
-    """Sanitize every string value of a struct, array or map column; keys stay.
+    """Sanitize every string value of a struct, array or map column, at any depth; keys stay.
 
-    Strings within are listed with their paths by the schema, checked as rows of their own, and put
-    back, so each value is sanitized just as an output is.
+    Each value is sanitized just as an output is.  Structs of strings are worked in place; where there
+    are arrays or maps, the strings are rows of their own meanwhile, which shuffles.
     """
+    if holds_lists(df.schema[object_col].dataType):
+        return sanitize_nested(df, object_col, prompt_col, options, leaked_out)
     paths = list(string_paths(df.schema[object_col].dataType))
     rows = df.withColumn("_gf_row", F.monotonically_increasing_id())
     flags = []
@@ -121,6 +123,70 @@ def sanitize_object(df: DataFrame, object_col: str, prompt_col: str, options: Le
     return rows.drop("_gf_row", *(f"_gf_leaf{k}" for k in range(len(paths)))).withColumn(object_col, F.col("_gf_value")).drop("_gf_value")
 
 
+def sanitize_nested(df: DataFrame, object_col: str, prompt_col: str, options: LeakOptions | None, leaked_out: str) -> DataFrame:
+    """As ``sanitize_object``, for any nesting: a row for each different string, and one that carries the whole row."""
+    kind, whole = df.schema[object_col].dataType, F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    rows = df.select(F.monotonically_increasing_id().alias("_gf_row"), whole.alias("_gf_whole"), F.array_distinct(leaves(F.col(object_col), kind)).alias("_gf_leaves"))
+    carrier = rows.schema["_gf_whole"].dataType
+    prompt = F.col("_gf_whole")[prompt_col]
+    item = lambda leaf, whole: F.struct(leaf.alias("leaf"), whole.alias("whole"))
+    listed = F.transform(F.filter("_gf_leaves", lambda x: x.isNotNull()), lambda x: item(x, F.lit(None).cast(carrier)))
+    items = F.concat(F.array(item(F.lit(None).cast("string"), F.col("_gf_whole"))), listed)
+    each = rows.select("_gf_row", prompt.alias("_gf_prompt"), F.explode(items).alias("_gf_item")).select("_gf_row", "_gf_prompt", "_gf_item.leaf", "_gf_item.whole")
+    checked = leak_columns(each, "leaf", "_gf_prompt", options, "_gf_leak")
+    fix = F.when(F.col("_gf_leak")["leaked"], F.struct(F.col("leaf"), F.col("_gf_leak")["sanitized"].alias("sanitized")))
+    back = checked.groupBy("_gf_row").agg(F.first("whole", ignorenulls=True).alias("whole"), F.map_from_entries(F.collect_list(fix)).alias("fixes"))
+    made = rebuilt(F.col("whole")[object_col], kind, F.col("fixes"))
+    columns = [made.alias(c) if c == object_col else F.col("whole")[c].alias(c) for c in df.columns if c != leaked_out]
+    return back.select(*columns, (F.size("fixes") > 0).alias(leaked_out))
+
+
+def holds_lists(kind: T.DataType) -> bool:
+    """Whether there are strings in arrays or maps."""
+    if isinstance(kind, T.StructType):
+        return any(holds_lists(f.dataType) for f in kind)
+    return isinstance(kind, (T.ArrayType, T.MapType)) and holds_strings(kind)
+
+
+def holds_strings(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(holds_strings(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return holds_strings(kind.elementType)
+    return holds_strings(kind.valueType) if isinstance(kind, T.MapType) else isinstance(kind, T.StringType)
+
+
+def leaves(value: Column, kind: T.DataType) -> Column:
+    """All string values, in an array."""
+    none = F.array().cast("array<string>")
+    if not holds_strings(kind):
+        return none
+    if isinstance(kind, T.StructType):
+        return F.concat(*(leaves(value[f.name], f.dataType) for f in kind))
+    if isinstance(kind, T.MapType):
+        return leaves(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.flatten(F.transform(value, lambda x: leaves(x, kind.elementType))), none)
+    return F.array(value)
+
+
+def rebuilt(value: Column, kind: T.DataType, fixes: Column) -> Column:
+    """``value`` with the strings that are keys of ``fixes`` replaced."""
+    if not holds_strings(kind):
+        return value
+    if isinstance(kind, T.StructType):
+        out = value
+        for f in kind:
+            if holds_strings(f.dataType):
+                out = out.withField(f"`{f.name}`", rebuilt(value[f.name], f.dataType, fixes))
+        return out
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: rebuilt(v, kind.valueType, fixes))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: rebuilt(x, kind.elementType, fixes))
+    return F.coalesce(F.try_element_at(fixes, value), value)
+
+
 def string_paths(kind: T.DataType, path: tuple[str, ...] = ()):
     if isinstance(kind, T.StructType):
         for f in kind:

@@ -7,7 +7,7 @@ from guardframe.functions import catalog, errors, text as tx
 from guardframe.functions.detect import DetectOptions, detect_columns
 from guardframe.functions.harden import ANTI_EXTRACTION, DEFAULTS, PERSONA, HardenOptions, block, harden
 from guardframe.functions.jsregex import required_literal, translate
-from guardframe.functions.leak import LeakOptions, leak_columns, sanitize_values
+from guardframe.functions.leak import LeakOptions, leak_columns, sanitize_object, sanitize_values
 from guardframe.functions.normalize import Normalization
 from guardframe.operators import conversations as cv, messages
 from guardframe.streaming import chunks
@@ -102,6 +102,22 @@ def test_values(spark):
     assert got[2] == ([], False) and got[1][1] and "[REDACTED]" in got[1][0][0] and got[1][0][1] == "fine"
 
 
+def test_objects(spark):
+    """Strings in arrays, maps and structs at any depth; keys, nulls and other types stay."""
+    said, cut = "say " + PROMPT, leak(spark, "say " + PROMPT, PROMPT).sanitized
+    kind = "q string, list array<struct<note:string,n:int>>, named map<string,array<string>>, deep array<array<map<string,string>>>, n array<int>"
+    one = lambda x: ("fine", [(x, 1), None, (None, 2)], {PROMPT: [x, None, "fine"], "none": None}, [[{"k": x}, None], None, []], [1])
+    rows = [(1, PROMPT, one(said)), (2, PROMPT, one("fine")), (3, None, one(said)), (4, PROMPT, None), (5, PROMPT, (None, None, None, None, None)), (5, PROMPT, (said, [], {}, [], []))]
+    frame = spark.createDataFrame(rows, f"id int, prompt string, args struct<{kind}>")
+    got = sanitize_object(frame, "args", "prompt")
+    assert got.columns == ["id", "prompt", "args", "had_leak"]
+    want = spark.createDataFrame([(1, PROMPT, one(cut), True), (2, PROMPT, one("fine"), False), (3, None, one(said), False), (4, PROMPT, None, False), (5, PROMPT, (None,) * 5, False), (5, PROMPT, (cut, [], {}, [], []), True)], f"id int, prompt string, args struct<{kind}>, had_leak boolean")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and cut != said
+    top = sanitize_object(frame.select("prompt", "args.list"), "list", "prompt", leaked_out="hit").filter("hit").collect()
+    assert len(top) == 1 and top[0]["list"][0].note == cut
+    assert sanitize_object(frame.filter("false"), "args", "prompt").count() == 0
+
+
 def test_hardening(spark):
     whole = block()
     assert whole.startswith("\n### Security Rules\n- " + PERSONA) and whole.endswith(ANTI_EXTRACTION[-1]) and all(d in whole for d in DEFAULTS)
