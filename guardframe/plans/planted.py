@@ -55,6 +55,22 @@ PAIRS_SQL = f"""SELECT doc_id, substring(text, 1, {PROMPT}) AS prompt, CASE doc_
 WHEN 1 THEN substring(text, 101, 500) WHEN 2 THEN reverse(substring(text, 1, {PROMPT})) ELSE substring(text, 381, 700) END AS output FROM documents"""
 
 
+def whole_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, prompt, output without any cut: whole system prompts of the conversations; whole documents
+    as outputs, with the prompt or its second half quoted before, within or after, or not."""
+    chats = read(spark, sf, "conversations").filter("role = 'system' AND text <> ''")
+    some = chats.groupBy((F.col("conv_id") % 16).alias("part")).agg(F.min_by("text", F.struct("conv_id", "turn")).alias("said"))
+    other = chats.agg(F.min_by("text", F.struct("conv_id", "turn")).alias("other"))
+    docs = documents(spark, sf).withColumn("part", F.col("doc_id") % 16)
+    rows = docs.join(F.broadcast(some), "part", "left").crossJoin(F.broadcast(other)).withColumn("prompt", F.coalesce("said", "other"))
+    half = F.expr("substring(prompt, length(prompt) div 2 + 1)")
+    middle = F.expr("length(text) div 2")
+    first, rest = F.substring("text", F.lit(1), middle), F.substring("text", middle + 1, F.length("text"))
+    kind = F.col("doc_id") % 5
+    output = F.when(kind == 0, F.concat_ws(" ", "prompt", "text")).when(kind == 1, F.concat_ws(" ", first, "prompt", rest)).when(kind == 2, F.concat_ws(" ", "text", "prompt")).when(kind == 3, F.concat_ws(" ", first, half, rest)).otherwise(F.col("text"))
+    return rows.select("doc_id", "prompt", output.alias("output"))
+
+
 def chats(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations with attacks in some user turns and prompts quoted in some assistant turns."""
     rows = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")

@@ -88,12 +88,12 @@ register("nfkc_detect", None, nfkc_detect)
 
 
 # leaks
-def leaks(spark: SparkSession, sf: str, options: LeakOptions | None = None) -> DataFrame:
-    return leak_columns(pl.pairs(spark, sf), "output", "prompt", options)
+def leaks(spark: SparkSession, sf: str, options: LeakOptions | None = None, pairs=pl.pairs) -> DataFrame:
+    return leak_columns(pairs(spark, sf), "output", "prompt", options)
 
 
-def set_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = pl.pairs(spark, sf).withColumns({"ot": tx.tokens(F.col("output")), "pt": tx.tokens(F.col("prompt"))})
+def set_sizes(spark: SparkSession, sf: str, pairs=pl.pairs) -> DataFrame:
+    rows = pairs(spark, sf).withColumns({"ot": tx.tokens(F.col("output")), "pt": tx.tokens(F.col("prompt"))})
     n = effective_size(F.col("pt"), 4)
     rows = rows.withColumns({"og": tx.ngrams(F.col("ot"), n), "pg": tx.ngrams(F.col("pt"), n)})
     ratio = F.when(F.size("pg") > 0, F.size(F.array_intersect("og", "pg")) / F.size("pg")).otherwise(F.lit(0.0))
@@ -106,8 +106,8 @@ register("set_overlaps", _set_sizes_sql + "SELECT doc_id, n_tokens, n_ngrams, ro
 register("tokens", f"SELECT doc_id, array_to_string({sql.tokens('text')}, ' ') AS words FROM documents", lambda spark, sf: pl.documents(spark, sf).select("doc_id", F.array_join(tx.tokens(F.col("text")), " ").alias("words")))
 
 
-def all_fragments(spark: SparkSession, sf: str) -> DataFrame:
-    rows = pl.pairs(spark, sf).withColumns({"ot": tx.tokens(F.col("output")), "pt": tx.tokens(F.col("prompt"))})
+def all_fragments(spark: SparkSession, sf: str, pairs=pl.pairs) -> DataFrame:
+    rows = pairs(spark, sf).withColumns({"ot": tx.tokens(F.col("output")), "pt": tx.tokens(F.col("prompt"))})
     rows = rows.withColumn("n", effective_size(F.col("pt"), 4)).withColumn("s", small_size(F.col("n")))
     rows = rows.withColumns({"pg": tx.ngrams(F.col("pt"), F.col("n")), "sg": F.when((F.col("s") >= 2) & (F.size("pt") >= F.col("s")), tx.ngrams(F.col("pt"), F.col("s"))).otherwise(F.array().cast("array<string>"))})
     return rows.select("doc_id", F.array_join(fragments(F.col("ot"), F.col("pg"), F.col("n")), "|").alias("fragments"), F.array_join(fragments(F.col("ot"), F.col("sg"), F.col("s")), "|").alias("small_fragments"))
@@ -138,9 +138,9 @@ for _name, _options in HARDENED.items():
              lambda spark, sf, o=_options: read(spark, sf, "conversations").filter("role <> 'assistant'").select("conv_id", "turn", harden(F.col("text"), o).alias("prompt")))
 
 
-def error_messages(spark: SparkSession, sf: str) -> DataFrame:
+def error_messages(spark: SparkSession, sf: str, pairs=pl.pairs) -> DataFrame:
     found = dt.detect_columns(pl.planted(spark, sf), out="d").filter("d.detected").select("doc_id", injection_error(F.col("d.risk"), dt.categories(F.col("d")))["message"].alias("message"))
-    leaked = leaks(spark, sf).filter("leak.leaked").select("doc_id", leak_error(F.col("leak.confidence"), F.size("leak.fragments"))["message"].alias("message"))
+    leaked = leaks(spark, sf, pairs=pairs).filter("leak.leaked").select("doc_id", leak_error(F.col("leak.confidence"), F.size("leak.fragments"))["message"].alias("message"))
     return found.unionAll(leaked)
 
 
@@ -198,6 +198,46 @@ register("stream_sanitized", sql.leak(_piece, "doc_id, chunk_no, output") + "SEL
          lambda spark, sf: ch.sanitized_chunks(pl.pairs(spark, sf), "prompt", "output", 300).select("doc_id", "chunk_no", "leaked", F.col("output")))
 
 
+# leaks over whole texts: nothing is cut, and reference SQL would take too long; tests compare with a plain version
+def whole_leaks(spark: SparkSession, sf: str, options: LeakOptions | None = None) -> DataFrame:
+    return leaks(spark, sf, options, pl.whole_pairs)
+
+
+def whole_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole outputs in structs, arrays and maps of one object."""
+    o = F.col("output")
+    args = F.struct(o.alias("query"), F.array(F.struct(o.alias("note"), F.col("doc_id").alias("number"))).alias("notes"), F.create_map(F.lit("key"), F.array(o, F.lit("fine"))).alias("named"))
+    rows = sanitize_object(pl.whole_pairs(spark, sf).select("doc_id", "prompt", args.alias("args")), "args", "prompt")
+    return rows.select("doc_id", "had_leak", F.col("args.query").alias("query"), F.col("args.notes")[0]["note"].alias("note"), F.array_join(F.element_at("args.named", "key"), "|").alias("named"))
+
+
+def whole_responses(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pl.whole_pairs(spark, sf).withColumnRenamed("doc_id", "conv_id")
+    asked = rows.select("conv_id", F.col("prompt").alias("system_prompt"))
+    made = rows.select("conv_id", F.col("output").alias("content"), F.array(F.concat(F.lit('{"query": "'), F.col("output"), F.lit('"}')), F.lit("{}")).alias("tool_arguments"))
+    out = cv.guarded_responses(made, asked)
+    return out.select("conv_id", "content", "content_leaked", F.array_join("tool_arguments", "|").alias("arguments"), "arguments_leaked")
+
+
+def whole_content(spark: SparkSession, sf: str) -> DataFrame:
+    part = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
+    parts = F.array(part("text", F.col("role")), part("image", F.col("text")), part("text", F.lit(None).cast("string")), part("text", F.col("text")))
+    return read(spark, sf, "conversations").select("conv_id", "turn", parts_text(parts).alias("content"))
+
+
+register("whole_leak_decision", None, lambda spark, sf: whole_leaks(spark, sf).select("doc_id", "leak.leaked", F.round("leak.confidence", 9).alias("confidence"), F.array_join("leak.fragments", "|").alias("fragments")))
+register("whole_redact", None, lambda spark, sf: whole_leaks(spark, sf).select("doc_id", "leak.leaked", "leak.sanitized"))
+register("whole_redact_custom", None, lambda spark, sf: whole_leaks(spark, sf, CUSTOM).select("doc_id", "leak.leaked", "leak.sanitized"))
+register("whole_redact_detect_only", None, lambda spark, sf: whole_leaks(spark, sf, LeakOptions(detect_only=True)).select("doc_id", "leak.leaked", "leak.sanitized"))
+register("whole_set_overlaps", None, lambda spark, sf: set_sizes(spark, sf, pl.whole_pairs))
+register("whole_fragments", None, lambda spark, sf: all_fragments(spark, sf, pl.whole_pairs))
+register("whole_error_messages", None, lambda spark, sf: error_messages(spark, sf, pl.whole_pairs))
+register("whole_sanitize_object", None, whole_objects)
+register("whole_guarded_responses", None, whole_responses)
+register("whole_content_text", None, whole_content)
+register("whole_stream_sanitized", None, lambda spark, sf: ch.sanitized_chunks(pl.whole_pairs(spark, sf), "prompt", "output", 300).select("doc_id", "chunk_no", "leaked", F.col("output")))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
