@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine) a temporary folder is set for the session.
+    Where the setting is absent and all runs on one machine (tests), a temporary folder is set for the session.
     """
     where = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not where:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="guardframe-")
         spark.conf.set(CHECKPOINT_KEY, where)
     return where.rstrip("/")
@@ -56,18 +59,43 @@ def free_name(taken: list[str], wish: str) -> str:
     return wish
 
 
+#: What this worker process keeps between tasks: the module it belongs to, and how to let go of it.
+_KEPT: dict[str, Callable] = {}
+
+
+def kept_by(module: str, clear: Callable) -> None:
+    """Note that tasks of ``module`` keep something in this worker, which ``clear`` drops."""
+    _KEPT[module] = clear
+
+
+def only_for(module: str) -> None:
+    """Drop what tasks of other operators have kept: workers serve one stage after another."""
+    for other in [m for m in _KEPT if m != module]:
+        _KEPT.pop(other)()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, for Arrow's pool and for the C library where it can."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: T.StructType) -> DataFrame:
     """``mapInArrow`` with a function from a record batch to an iterator of dicts of arrays.
 
-    The target Arrow types come from ``schema``; ``fn`` gets one batch at a time.
+    The target Arrow types come from ``schema``; ``fn`` gets one batch at a time.  A worker keeps nothing of
+    other operators meanwhile, and gives memory back at the end of its task.
     """
-    arrow = to_arrow_schema(schema)
+    arrow, module = to_arrow_schema(schema), fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_for(module)
         for batch in batches:
             if batch.num_rows:
                 for out in fn(batch):
                     yield to_batch(out, arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from guardframe.llm.common import blocks, free_name, map_arrow
+from guardframe.llm.common import blocks, free_name, kept_by, map_arrow
 
 SPACE = "▁"
 MEMO = 200_000
@@ -366,7 +366,8 @@ class Codec:
 
 @lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
-    """One for each worker process: the tables and the memo serve all tasks that run there."""
+    """One for each worker process: the tables and the memo serve all tasks of this operator that run there."""
+    kept_by(__name__, codec.cache_clear)
     return Codec(path)
 
 
