@@ -14,10 +14,19 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let what goes to Python at once be bounded by bytes, where the session doesn't set it: ten thousand
+    rows, the bound otherwise, are gigabytes where texts are long."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables, read by Spark only (any file system it knows)."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,7 +57,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.work_path = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove work tables that ``materialize`` stored, once nothing that is still to be read depends on them."""
+    for t in tables:
+        if path := getattr(t, "work_path", None):
+            jvm = t.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def free_name(taken: list[str], wish: str) -> str:
@@ -87,6 +107,7 @@ def map_arrow(df: DataFrame, fn: Callable, schema: T.StructType) -> DataFrame:
     The target Arrow types come from ``schema``; ``fn`` gets one batch at a time.  A worker keeps nothing of
     other operators meanwhile, and gives memory back at the end of its task.
     """
+    bound_batches(df.sparkSession)
     arrow, module = to_arrow_schema(schema), fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

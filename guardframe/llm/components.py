@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from guardframe.llm.common import materialize
+from guardframe.llm.common import discard, materialize
 
 MOST_ROUNDS = 60
 
@@ -42,8 +42,9 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not mark[0]:
             break
-        now = materialize(small_star(large_star(now)), "edges")
+        before, now = now, materialize(small_star(large_star(now)), "edges")
         new = fingerprint(now)
+        discard(before)
         if new == mark:
             break
         mark = new

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by parity sketches; exact.
+"""N-gram Jaccard join by parity sketches; exact up to collisions of 64-bit hashes of shingles.
 
 A document's set are its distinct word shingles.  Documents with equal sets form a class; only one of
 them goes on.  Each class XORs its shingles' hashes into a bit sketch: a shingle flips one bit, so the
@@ -8,9 +8,13 @@ equal: classes are joined on (band, chunk, bits).  What meets is checked with a
 bits first, then with the whole sets.
 
 Buckets are worked in rounds.  First a few centres, drawn by hash, meet all other members; links make
-components; then only buckets whose members are still in several components go on, with more centres,
-until every member was a centre.  So no link between components is lost, and a group of thousands of
-near copies costs a few pairs for each member rather than all pairs.
+components; then only buckets whose members are still in several components go on, with more centres.
+So a group of thousands of near copies costs a few pairs for each member rather than all pairs.  What is
+still apart in a large bucket shares a chunk without being similar, as texts made from one template do.
+Members of such buckets meet in a last round by their rarest shingles instead (prefix filtering: of two
+similar sets the rarest n - ceil(p n) + 1 shingles of each have one in common, in any order of rarity that
+both share), where members of each bucket's largest component don't meet each other.  No link between
+components is lost.
 
 Defined cases: null and empty texts have an empty set, ``n_shingles`` 0, and are linked with nothing;
 texts of fewer words than a shingle are one shingle; repeated rows and repeated ids are rows like
@@ -26,16 +30,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from guardframe.llm.common import blocks, few, map_arrow, materialize
+from guardframe.llm.common import blocks, discard, few, map_arrow, materialize
 from guardframe.llm.components import components
-from guardframe.llm.words import Block, Ranges, mix
+from guardframe.llm.words import Block, mix, sequences
 
 SHINGLE = 3
 PERCENT = 90
 FOLD = 8  # 64-bit words of the folded sketch
 GROWTH = 1.25  # of the sizes in a band
 SPARE = 1.5  # chunks for each that is needed
-CENTRES = (4, 64, 0)  # centres of a bucket in each round; 0: all
+CENTRES = (4, 64)  # centres of a bucket in each round, before that by rarest shingles
+RARITY = 1 << 20  # cells of the histogram by which shingles are rare or common: 8 MB
 SALT = np.uint64(0x632BE59BD9B4E019)
 LONGS = T.ArrayType(T.LongType())
 SETS = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n", "s1", "s2")), T.StructField("sketch", LONGS), T.StructField("keys", LONGS)])
@@ -49,7 +54,7 @@ def shingle_hashes(block: Block, size: int = SHINGLE) -> tuple[np.ndarray, np.nd
     doc = np.repeat(np.arange(block.n), count)
     start = block.first[:-1][doc] + np.arange(at[-1]) - at[:-1][doc]
     end = np.minimum(start + size, block.first[1:][doc])
-    return Ranges(words)(start, end), at
+    return sequences(words, start, end - start, size), at
 
 
 @lru_cache(maxsize=4)
@@ -117,8 +122,9 @@ def describe(df: DataFrame, id_col: str, text_col: str, size: int, percent: int)
             for a, b in zip(at[:-1], at[1:], strict=True):
                 h = np.unique(hashes[a:b])
                 n.append(len(h))
-                s1.append(int(h.sum().view(np.int64)) if len(h) else 0)
-                s2.append(int(mix(h ^ SALT).sum().view(np.int64)) if len(h) else 0)
+                sums = checksums(h)
+                s1.append(sums[0])
+                s2.append(sums[1])
                 sketch.append(parity(h // np.uint64(3), FOLD).view(np.int64))
                 keys.append(chunk_keys(h, percent).view(np.int64))
             yield {"doc_id": part.column("doc_id"), "n": n, "s1": s1, "s2": s2, "sketch": lists(sketch), "keys": lists(keys)}
@@ -161,25 +167,68 @@ def shared_buckets(classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def fetch_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """cls, set (sorted shingle hashes) for the classes of ``wanted`` (cls, first, n, s1, s2).
-
-    The text of the first document of each class is read again.
-    """
+def class_texts(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The text of the first document of each class of ``wanted`` (cls, first, n, s1, s2), read again."""
     key = F.coalesce(F.col("first"), F.lit(-(2**63)))
     ids = few(wanted.select(key.alias("_gf_id")).distinct())
-    work = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_gf_id"), F.col(text_col).alias("_gf_text")).join(ids, "_gf_id", "left_semi")
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_gf_id"), F.col(text_col).alias("_gf_text")).join(ids, "_gf_id", "left_semi").select("_gf_text")
+
+
+def sets_of(batch: pa.RecordBatch, size: int):
+    """Lists of the sorted shingle hashes of each text, block by block."""
+    for part in blocks(batch, "_gf_text", 1 << 20):
+        hashes, at = shingle_hashes(Block(part.column("_gf_text"), lower=True), size)
+        yield [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def checksums(h: np.ndarray) -> tuple[int, int]:
+    return (int(h.sum().view(np.int64)), int(mix(h ^ SALT).sum().view(np.int64))) if len(h) else (0, 0)
+
+
+def by_class(made: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """cls and ``name`` from rows with n, s1, s2 and ``name``."""
+    return made.join(wanted.select("cls", "n", "s1", "s2"), ["n", "s1", "s2"]).groupBy("cls").agg(F.first(name).alias(name))
+
+
+def fetch_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """cls, set (sorted shingle hashes) for the classes of ``wanted``."""
     schema = T.StructType.fromDDL("n long, s1 long, s2 long, set array<long>")
 
     def run(batch: pa.RecordBatch):
-        for part in blocks(batch, "_gf_text", 1 << 20):
-            hashes, at = shingle_hashes(Block(part.column("_gf_text"), lower=True), size)
-            sets = [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            total = lambda x: int(x.sum().view(np.int64)) if len(x) else 0
-            yield {"n": [len(x) for x in sets], "s1": [total(x) for x in sets], "s2": [total(mix(x ^ SALT)) for x in sets], "set": lists([x.view(np.int64) for x in sets])}
+        for sets in sets_of(batch, size):
+            sums = [checksums(x) for x in sets]
+            yield {"n": [len(x) for x in sets], "s1": [a for a, _ in sums], "s2": [b for _, b in sums], "set": lists([x.view(np.int64) for x in sets])}
+
+    return by_class(map_arrow(class_texts(df, wanted, id_col, text_col), run, schema), wanted, "set")
+
+
+def rare_keys(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """key, cls: the rarest shingles of each class, as many as a linked set must share one of.
+
+    Rarity is told by a histogram of fixed size, so what is broadcast doesn't grow with the data.
+    """
+    texts = class_texts(df, wanted, id_col, text_col)
+
+    def count(batch: pa.RecordBatch):
+        for sets in sets_of(batch, size):
+            cell, n = np.unique((np.concatenate(sets) % np.uint64(RARITY)).astype(np.int64), return_counts=True)
+            yield {"cell": cell, "n": n}
 
-    made = map_arrow(work.select("_gf_text"), run, schema)
-    return made.join(wanted.select("cls", "n", "s1", "s2"), ["n", "s1", "s2"]).groupBy("cls").agg(F.first("set").alias("set"))
+    cells = map_arrow(texts, count, T.StructType.fromDDL("cell long, n long")).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    histogram = np.zeros(RARITY, np.int64)
+    histogram[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
+    sent = df.sparkSession.sparkContext.broadcast(histogram)
+
+    def keys(batch: pa.RecordBatch):
+        for sets in sets_of(batch, size):
+            sums, rare = [checksums(x) for x in sets], []
+            for x in sets:
+                order = np.lexsort((x, sent.value[(x % np.uint64(RARITY)).astype(np.int64)]))
+                rare.append(x[order[: len(x) - -(-percent * len(x) // 100) + 1]].view(np.int64))
+            yield {"n": [len(x) for x in sets], "s1": [a for a, _ in sums], "s2": [b for _, b in sums], "keys": lists(rare)}
+
+    made = map_arrow(texts, keys, T.StructType.fromDDL("n long, s1 long, s2 long, keys array<long>"))
+    return by_class(made, wanted, "keys").select(F.explode("keys").alias("key"), "cls")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -189,15 +238,20 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(f"100 * _gf_i >= {percent} * (size(_gf_x) + size(_gf_y) - _gf_i)").select("a", "b")
 
 
-def candidates(rows: DataFrame, percent: int, centres: int, apart: bool) -> DataFrame:
-    """Pairs a < b of a centre and a member of its bucket that the folded sketches leave possible.
+def drawn(rows: DataFrame, centres: int) -> DataFrame:
+    """``rows`` (key, cls, size of the bucket, ...) with the column ``centre``.
 
-    ``rows``: key, cls, n, sketch, root, size (of the bucket).  A bucket of at most ``centres``
-    members (or every one, for 0) has all members as centres, else they are drawn by hash.
+    A bucket of at most ``centres`` members has all of them as centres, else they are drawn by hash.
     """
     lot = F.pmod(F.xxhash64("key", "cls"), F.lit(1 << 30))
-    centre = F.lit(True) if not centres else (F.col("size") <= centres) | (lot * F.col("size") < centres * (1 << 30))
-    marked = rows.withColumn("centre", centre)
+    return rows.withColumn("centre", (F.col("size") <= centres) | (lot * F.col("size") < centres * (1 << 30)))
+
+
+def candidates(marked: DataFrame, percent: int, apart: bool) -> DataFrame:
+    """Pairs a < b of a centre and a member of its bucket that the folded sketches leave possible.
+
+    ``marked``: key, cls, n, sketch, root, centre.
+    """
     x = marked.filter("centre").select("key", *(F.col(c).alias(f"x_{c}") for c in ("cls", "n", "sketch", "root")))
     y = marked.select("key", *(F.col(c).alias(f"y_{c}") for c in ("cls", "n", "sketch", "root", "centre")))
     d = " + ".join(f"bit_count(x_sketch[{i}] ^ y_sketch[{i}])" for i in range(FOLD))
@@ -208,6 +262,19 @@ def candidates(rows: DataFrame, percent: int, centres: int, apart: bool) -> Data
     return met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
 
 
+def crowded(rows: DataFrame, least: int) -> DataFrame:
+    """key, size of the buckets of more than ``least`` members that are in several components."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most"))
+    return materialize(sizes.filter((F.col("least") != F.col("most")) & (F.col("size") > least)).select("key", "size"), "sizes")
+
+
+def but_largest(rows: DataFrame) -> DataFrame:
+    """Rows (key, cls, root) of buckets with several components, with ``centre`` false for the largest one."""
+    counts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).filter("roots > 1")
+    return rows.join(largest, "key").withColumn("centre", F.col("root") != F.col("largest")).drop("largest", "roots")
+
+
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class_id and component_id of every row of ``df``.
 
@@ -219,37 +286,57 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     classes = materialize(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
     buckets = materialize(shared_buckets(classes), "buckets")
     facts = classes.select("cls", "n", "sketch")
-    roots, edges, known = None, None, None
-    for turn, centres in enumerate(CENTRES):
-        rows = buckets if roots is None else buckets.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-        rows = rows.withColumn("root", F.col("cls") if roots is None else F.coalesce("root", "cls"))
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most"))
-        more = F.col("least") != F.col("most")
-        if turn:  # smaller buckets had all their pairs tried
-            more &= F.col("size") > CENTRES[turn - 1]
-        sizes = materialize(sizes.filter(more).select("key", "size"), "sizes")
-        if turn and not sizes.take(1):
-            break
-        left = materialize(rows.join(sizes, "key").join(facts, "cls"), "members")
-        pairs = candidates(left, percent, centres, apart=turn > 0)
-        if turn:
+    roots = edges = known = tried = sets = None
+    stored: list[DataFrame] = []
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        if roots is None:
+            return rows.withColumn("root", F.col("cls"))
+        return rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+    def work(marked: DataFrame) -> None:
+        """Check the candidates of a round and bring links and components up to date."""
+        nonlocal roots, edges, known, tried, sets
+        pairs = candidates(marked, percent, apart=tried is not None)
+        if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        tried = pairs if not turn else tried.unionByName(pairs)
+        stored.append(pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
         wanted = classes.join(ends, "cls", "left_semi").select("cls", "first", "n", "s1", "s2")
-        new = wanted if known is None else wanted.join(known, "cls", "left_anti")
-        new = materialize(new, "wanted")
+        new = materialize(wanted if known is None else wanted.join(known, "cls", "left_anti"), "wanted")
         got = materialize(fetch_sets(df, new, id_col, text_col, size), "members")
+        stored.extend((new, got))
         sets = got if known is None else sets.unionByName(got)
         known = new.select("cls") if known is None else known.union(new.select("cls"))
         found = materialize(verify(pairs, sets, percent), "links")
+        stored.append(found)
         edges = found if edges is None else edges.union(found)
         roots = components(edges)
+
+    rows = rooted(buckets)
+    for turn, centres in enumerate(CENTRES):
+        sizes = crowded(rows, CENTRES[turn - 1] if turn else 1)  # smaller buckets had all their pairs tried
+        if turn and not sizes.take(1):
+            break
+        members = materialize(rows.join(sizes, "key").join(facts, "cls"), "members")
+        work(drawn(members, centres))
+        discard(members, sizes)
+        rows = rooted(buckets)
+    left = crowded(rows, CENTRES[-1])
+    if left.take(1):
+        members = rows.join(left.select("key"), "key", "left_semi").select("cls").distinct()
+        wanted = materialize(classes.join(members, "cls", "left_semi").select("cls", "first", "n", "s1", "s2"), "wanted")
+        rare = materialize(rare_keys(df, wanted, id_col, text_col, size, percent), "rare")
+        members = materialize(but_largest(rooted(rare)).join(facts, "cls"), "members")
+        work(members)
+        discard(wanted, rare, members)
     least = classes.select("cls", "n", "s1", "s2", "first").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = materialize(least, "roots")
     smallest = materialize(least.groupBy("root").agg(F.min("first").alias("component")), "smallest")
     table = materialize(least.join(smallest, "root").select("n", "s1", "s2", "cls", "component"), "labels")
+    discard(classes, buckets, least, smallest, *stored)
     out = described.select("doc_id", "n", "s1", "s2").join(table, ["n", "s1", "s2"], "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), own.alias("component_id"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from guardframe.llm.common import blocks, map_arrow
-from guardframe.llm.words import Block, per_doc
+from guardframe.llm.words import Block, per_doc, same_ranges
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -38,24 +38,24 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = [("log_words", 0), ("word_chars", 0), ("symbols", -1), ("dup_lines", -1), ("repeat_words", -1), ("upper", 0), ("digits", 0), ("marks", 0), ("distinct", 0), ("line_words", 0)]
 
 
-def duplicates(key_doc: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """For each element, whether its (document, key) occurs more than once."""
-    order = np.lexsort((key, key_doc))
-    d, k = key_doc[order], key[order]
-    same = np.zeros(len(order) + 1, bool)
-    same[1:-1] = (d[1:] == d[:-1]) & (k[1:] == k[:-1])
-    out = np.empty(len(order), bool)
-    out[order] = same[1:] | same[:-1]
+def leaders(*keys: np.ndarray) -> np.ndarray:
+    """The place of the first element with the same keys."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     return out
 
 
-def distinct(key_doc: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
-    """The number of distinct keys of each document."""
-    order = np.lexsort((key, key_doc))
-    d, k = key_doc[order], key[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
-    return np.bincount(d[new], minlength=n)
+def by_bytes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lead: np.ndarray, doc: np.ndarray | None = None) -> np.ndarray:
+    """``lead`` as it is where the bytes are equal; else by a dictionary."""
+    size, far = end - start, np.flatnonzero(lead != np.arange(len(lead)))
+    if (size[far] == size[lead[far]]).all() and same_ranges(raw, start[far], start[lead[far]], size[far]).all():
+        return lead
+    first: dict = {}
+    data, own = raw.tobytes(), np.zeros(len(lead), int) if doc is None else doc
+    return np.array([first.setdefault((own[i], data[start[i] : end[i]]), i) for i in range(len(lead))], np.int64)
 
 
 def count_block(column: pa.Array) -> dict[str, np.ndarray]:
@@ -64,14 +64,18 @@ def count_block(column: pa.Array) -> dict[str, np.ndarray]:
     raw, at, n = b.raw, b.at, b.n
     inside = b.inside & ((raw & 0xC0) != 0x80)  # first bytes of the characters in words
     out = {"n_words": b.count, "word_chars": per_doc(inside, at), "n_symbols": per_doc(SYMBOLS[raw], at), "n_upper": per_doc(UPPER[raw], at), "n_digits": per_doc(DIGIT[raw], at), "n_marks": per_doc(MARKS[raw], at)}
-    words = b.word_hashes()
-    start, key = b.windows(WINDOW, words)
-    hit = start[duplicates(b.doc[start], key)]
+    words = by_bytes(raw, b.start, b.end, leaders(b.word_hashes()))  # equal words have equal numbers
+    start, key = b.windows(WINDOW, words.astype(np.uint64))
+    lead = leaders(b.doc[start], key)
+    if not all((words[start + j] == words[start[lead] + j]).all() for j in range(WINDOW)):
+        first: dict = {}
+        lead = np.array([first.setdefault((b.doc[i], *words[i : i + WINDOW].tolist()), k) for k, i in enumerate(start)], np.int64)
+    hit = start[np.bincount(lead, minlength=len(lead))[lead] > 1]
     cover = np.zeros(len(words) + 1, np.int32)
     np.add.at(cover, hit, 1)
     np.add.at(cover, hit + WINDOW, -1)
     out["n_repeat_words"] = per_doc(np.cumsum(cover[:-1]) > 0, b.first)
-    out["n_distinct"] = distinct(b.doc, words, n)
+    out["n_distinct"] = per_doc(leaders(b.doc, words) == np.arange(len(words)), b.first)
     # lines: from a document's start or after \n, up to the next \n or the document's end
     ends = np.flatnonzero(raw == 10)
     starts = np.concatenate([at[:-1], ends + 1])
@@ -83,7 +87,8 @@ def count_block(column: pa.Array) -> dict[str, np.ndarray]:
     starts, stops = starts[filled], stops[filled]
     doc = np.searchsorted(at, starts, side="right") - 1
     out["n_lines"] = np.bincount(doc, minlength=n)
-    out["n_dup_lines"] = out["n_lines"] - distinct(doc, b.bytes(starts, stops), n)
+    lead = by_bytes(raw, starts, stops, leaders(doc, b.bytes(starts, stops)), doc)
+    out["n_dup_lines"] = np.bincount(doc[lead != np.arange(len(doc))], minlength=n)
     return out
 
 

@@ -1,8 +1,10 @@
 """Vectorised word and window hashing over blocks of UTF-8 texts.
 
-A block holds the bytes of many documents one after another.  Hashes are polynomials modulo 2**64
-over a fixed random table, taken from prefix sums, so the hash of any byte or word range costs a few
-operations; a final mixer spreads the bits.
+A block holds the bytes of many documents one after another.  Ranges of bytes are hashed by polynomials
+modulo the prime 2**61 - 1, taken from prefix sums, so the hash of any word or line costs a few operations.
+(Modulo 2**64 there would be texts that collide whatever the base is, such as Thue-Morse words; modulo a
+prime two different ranges of n bytes collide for n of 2**61 bases at most.)  Windows of a few words are
+mixed word by word.  ``same_ranges`` compares bytes where equality must be certain.
 """
 
 from __future__ import annotations
@@ -13,28 +15,51 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
+PRIME = np.uint64(2**61 - 1)
+BASE = 0x1B3F5A7C9D2E4681
+KEPT = 1 << 21  # powers kept by a worker
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-TABLE = np.random.default_rng(20240101).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LOW31, LOW30 = np.uint64(2**31 - 1), np.uint64(2**30 - 1)
+U30, U31, U61 = np.uint64(30), np.uint64(31), np.uint64(61)
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(BASE), -1, 2**64))
-    out = []
-    for b in (BASE, inverse):
-        p = np.full(size, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+def folded(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo the prime."""
+    x = (x & PRIME) + (x >> U61)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def shifted(x: np.ndarray) -> np.ndarray:
+    """2**31 times numbers below 2**61, folded once."""
+    return ((x & LOW30) << U31) + (x >> U30)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime."""
+    a1, a0, b1, b0 = a >> U31, a & LOW31, b >> U31, b & LOW31
+    return folded(np.uint64(2) * a1 * b1 + shifted(a1 * b0 + a0 * b1) + a0 * b0)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` (or more) powers of the base and of its inverse."""
-    return _powers(1 << max(20, int(n).bit_length()))
+    return _powers(KEPT) if n <= KEPT else _powers.__wrapped__(n)
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (BASE, pow(BASE, -1, int(PRIME))):
+        p, size = np.ones(n, np.uint64), 1
+        while size < n:
+            more = min(size, n - size)
+            p[size : size + more] = times(p[:more], np.uint64(pow(base, size, int(PRIME))))
+            size += more
+        out.append(p)
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,15 +73,40 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Ranges:
-    """Hashes of ranges of a sequence of 64-bit values."""
+    """Hashes of ranges of a sequence of bytes."""
 
-    def __init__(self, values: np.ndarray):
-        self.up, self.down = powers(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.up[: len(values)], out=self.sums[1:])
+    def __init__(self, raw: np.ndarray):
+        up, self.down = powers(len(raw) + 1)
+        up, value = up[: len(raw)], raw.astype(np.uint64) + np.uint64(1)
+        high, low = (up >> U31) * value, (up & LOW31) * value  # of 40 bits
+        if len(raw) > 1 << 23:  # else their sums have 63 bits
+            term = folded(shifted(high) + low)
+            high, low = term >> U31, term & LOW31
+        self.high, self.low = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (high, low))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+        high, low = self.high[end] - self.high[start], self.low[end] - self.low[start]
+        return mix(times(folded(shifted(folded(high)) + folded(low)), self.down[start]))
+
+
+def sequences(words: np.ndarray, start: np.ndarray, count: np.ndarray | int, size: int) -> np.ndarray:
+    """Hashes of runs of ``count`` (``size`` at most) numbers from ``start``."""
+    out = mix(np.full(len(start), 0, np.uint64) + np.asarray(count).astype(np.uint64) * ODD)
+    for j in range(size):
+        here = slice(None) if np.isscalar(count) else np.flatnonzero(count > j)
+        out[here] = mix(out[here] * ODD + words[start[here] + j])
+    return out
+
+
+def same_ranges(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from places a and b are equal, for ``size`` bytes each."""
+    out = np.ones(len(a), bool)
+    if len(a):
+        at = np.cumsum(size) - size
+        offset = np.arange(int(size.sum())) - np.repeat(at, size)
+        differ = raw[np.repeat(a, size) + offset] != raw[np.repeat(b, size) + offset]
+        out[np.repeat(np.arange(len(a)), size)[differ]] = False
+    return out
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +153,7 @@ class Block:
     @property
     def bytes(self) -> Ranges:
         if self._bytes is None:
-            self._bytes = Ranges(TABLE[self.raw])
+            self._bytes = Ranges(self.raw)
         return self._bytes
 
     def word_hashes(self) -> np.ndarray:
@@ -113,7 +163,7 @@ class Block:
         """Starts (word numbers) and hashes of all windows of ``size`` words within a document."""
         last = np.repeat(self.first[1:], self.count)
         start = np.flatnonzero(np.arange(len(words)) + size <= last)
-        return start, Ranges(words)(start, start + size)
+        return start, sequences(words, start, size, size)
 
 
 def per_doc(values: np.ndarray, at: np.ndarray) -> np.ndarray:
