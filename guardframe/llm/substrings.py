@@ -7,14 +7,18 @@ The corpus is cut so that equal strings meet, without sending all of it around:
    it; their bytes are its context (``LENGTH`` to about twice that).
 2. Anchors meet by hash.  An anchor that occurs once owns no repeated window.  Of equal contexts all
    but the first repeat entirely.  Only the first of each *different* context of an anchor is open.
+   Tasks leave out what repeats within a block before anything is shuffled.
 3. The bytes of open contexts are fetched and indexed together with those of the same anchor: a suffix
    array and the Burrows-Wheeler transform's links to the suffix one byte further.  The set of
    neighbours in the array that share fewer than n bytes is turned into that for n + 1 by one step of
-   backward extension, breadth first over the whole array, and the steps stop at LENGTH.  What is not
-   separated then are the intervals of equal windows; all but the first window of each are repeated.
+   backward extension, breadth first over the whole array; the steps begin at one byte and stop at LENGTH.
+   What is not separated then are the intervals of equal windows; all but the first window of each are
+   repeated.
 
 An anchor with more than ``CROWD`` different contexts isn't indexed in one piece: its windows are dealt
-out one by one, by their own hash.
+out one by one, by their own hash, and a window's bytes tell whether it came before.  The most common
+anchors, as a sample of the documents shows them, are treated so from the start and dealt by context, so
+their rows don't meet in one task.  Which anchors these are doesn't change what is removed.
 
 Defined cases: null and empty texts have no bytes and nothing is removed; matches never cross rows;
 repeated rows or ids and null ids are documents one after another, ordered by (id, text), nulls first;
@@ -29,13 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from guardframe.llm.common import blocks, few, map_arrow, materialize, row_key
-from guardframe.llm.words import TABLE, Ranges, mix, texts_of
+from guardframe.llm.common import blocks, discard, few, map_arrow, materialize, row_key
+from guardframe.llm.words import ODD, Ranges, mix, texts_of
 
 LENGTH = 100
 SEED = 48
 CROWD = 5_000
 CHUNK = 1 << 20  # bytes indexed at once
+COMMON, PART = 2000, 16  # anchors dealt by context at most, found in one of so many documents
 LOW = np.uint64((1 << 24) - 1)  # low bits of a hash, in which the place within a piece of 2**24 is packed
 
 
@@ -67,15 +72,25 @@ def least_places(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def seeds(raw: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all strings of ``size`` (a multiple of 8) bytes, of whole words of 8 at a time."""
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view("<u8").ravel()
+    n = len(raw) - size + 1
+    out = np.full(n, SEED, np.uint64)
+    for at in range(0, size, 8):
+        out ^= words[at : at + n]
+        out *= ODD
+        out ^= out >> np.uint64(32)
+    return out
+
+
 def anchors(column: pa.Array, length: int = LENGTH, seed: int = SEED) -> dict[str, np.ndarray]:
     """Anchors of the texts: row, anchor hash, context hash, first owned window, owned windows."""
     raw, at = texts_of(column)
     none = np.empty(0, np.int64)
     if len(raw) < length:
         return {"row": none, "anchor": none, "context": none, "start": none, "windows": none}
-    ranges = Ranges(TABLE[raw])
-    place = np.arange(len(raw) - seed + 1)
-    hashes = ranges(place, place + seed)
+    hashes = seeds(raw, seed)
     chosen = least_places(hashes, length - seed + 1)
     inside = np.zeros(len(raw) + 1, np.int32)  # window starts whose window stays in one text
     full = np.flatnonzero(np.diff(at) >= length)
@@ -90,29 +105,46 @@ def anchors(column: pa.Array, length: int = LENGTH, seed: int = SEED) -> dict[st
     count = np.diff(np.append(first, len(window)))
     row = np.searchsorted(at, start, side="right") - 1
     # the anchor's place in its window tells apart equal contexts that own different windows
-    context = mix(ranges(start, start + count + length - 1) ^ (anchor[first] - start).astype(np.uint64))
+    context = mix(Ranges(raw)(start, start + count + length - 1) ^ (anchor[first] - start).astype(np.uint64))
     return {"row": row, "anchor": hashes[anchor[first]].view(np.int64), "context": context.view(np.int64), "start": start - at[row], "windows": count}
 
 
-def find_anchors(docs: DataFrame) -> DataFrame:
-    """key, anchor, context, start, windows for all anchors of docs (key, text)."""
+def find_anchors(docs: DataFrame, common: np.ndarray | None = None) -> DataFrame:
+    """key, anchor, context, start, windows, salt and state for all anchors of docs (key, text).
+
+    ``state`` 0: an equal context is earlier in the same block, so all its windows repeat; 1: to be compared;
+    2: of a common anchor.  Rows are dealt by (anchor, salt).
+    """
+    common = np.empty(0, np.int64) if common is None else common
 
     def run(batch: pa.RecordBatch):
         for part in blocks(batch, "text", 2 << 20):
             a = anchors(part.column("text"))
-            yield {"key": part.column("key").take(pa.array(a["row"])), **{c: a[c] for c in ("anchor", "context", "start", "windows")}}
+            key = part.column("key").to_numpy()[a["row"]]
+            order = np.lexsort((a["start"], key, a["context"], a["anchor"]))
+            again = np.zeros(len(order), bool)
+            again[order[1:]] = (a["anchor"][order[1:]] == a["anchor"][order[:-1]]) & (a["context"][order[1:]] == a["context"][order[:-1]])
+            hot = np.isin(a["anchor"], common)
+            yield {"key": key, **{c: a[c] for c in ("anchor", "context", "start", "windows")}, "salt": np.where(again, key, np.where(hot, a["context"], 0)), "state": np.where(again, 0, np.where(hot, 2, 1))}
+
+    ints = [T.StructField(c, T.IntegerType()) for c in ("start", "windows", "state")]
+    return map_arrow(docs, run, T.StructType([*longs("key", "anchor", "context", "salt"), *ints]))
 
-    schema = T.StructType([*longs("key", "anchor", "context"), T.StructField("start", T.IntegerType()), T.StructField("windows", T.IntegerType())])
-    return map_arrow(docs, run, schema)
+
+def common_anchors(docs: DataFrame) -> np.ndarray:
+    """Anchors that would be crowded, the most common first, as one of ``PART`` documents shows them."""
+    some = find_anchors(docs.filter(F.pmod(F.xxhash64("key"), F.lit(PART)) == 0))
+    counts = some.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") * PART > CROWD)
+    return np.array([r["anchor"] for r in counts.orderBy(F.desc("n"), "anchor").limit(COMMON).collect()], np.int64)
 
 
 def sift(found: DataFrame) -> DataFrame:
     """Repeated anchors: ``state`` 0: all windows repeat earlier ones; 1: open; 2: open, and crowded.
 
-    Rows arrive sorted by (anchor, context, key, start), so a task streams; it holds at most a batch
+    Rows arrive sorted by (anchor, salt, context, key, start), so a task streams; it holds at most a batch
     and the ``CROWD`` first contexts of one anchor.
     """
-    rows = found.repartition("anchor").sortWithinPartitions("anchor", "context", "key", "start")
+    rows = found.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "context", "key", "start")
     schema = T.StructType([*longs("key", "anchor"), T.StructField("start", T.IntegerType()), T.StructField("windows", T.IntegerType()), T.StructField("state", T.IntegerType())])
     names = ["key", "anchor", "start", "windows"]
 
@@ -121,7 +153,7 @@ def sift(found: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("key", "anchor") else pa.int32()) for n, c in zip(schema.names, made, strict=True)], names=schema.names)
 
     def run(batches):
-        last = None  # anchor, context of the last row
+        last = None  # anchor, salt, context of the last row
         held: list[list] = []  # first rows of the contexts of the last anchor
         size, total = 0, 0  # contexts held; rows of that anchor
 
@@ -132,19 +164,26 @@ def sift(found: DataFrame) -> DataFrame:
             return []
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchor, context = batch.column("anchor").to_numpy(), batch.column("context").to_numpy()
+            state = batch.column("state").to_numpy()
             columns = [batch.column(n).to_numpy() for n in names]
+            if (state == 0).any():
+                yield out([c[state == 0] for c in columns], 0)
+            anchor, salt, context, state, *columns = (c[state > 0] for c in (*(batch.column(n).to_numpy() for n in ("anchor", "salt", "context")), state, *columns))
+            if not len(anchor):
+                continue
             new_anchor, new_context = np.ones(len(anchor), bool), np.ones(len(anchor), bool)
-            new_anchor[1:] = anchor[1:] != anchor[:-1]
+            new_anchor[1:] = (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])
             new_context[1:] = new_anchor[1:] | (context[1:] != context[:-1])
             if last is not None:
-                new_anchor[0] = anchor[0] != last[0]
-                new_context[0] = new_anchor[0] or context[0] != last[1]
+                new_anchor[0] = anchor[0] != last[0] or salt[0] != last[1]
+                new_context[0] = new_anchor[0] or context[0] != last[2]
             again = ~new_context
             if again.any():
                 yield out([c[again] for c in columns], 0)
+            dealt = new_context & (state == 2)  # of a common anchor
+            if dealt.any():
+                yield out([c[dealt] for c in columns], 2)
+                new_context &= ~dealt
             # anchors that begin and end in this batch, all at once
             begin = np.flatnonzero(new_anchor)
             group = np.cumsum(new_anchor)  # 0: goes on from before
@@ -176,7 +215,7 @@ def sift(found: DataFrame) -> DataFrame:
                 if size > CROWD:
                     yield out(rows, 2)
                     held = []
-            last = (anchor[-1], context[-1])
+            last = (anchor[-1], salt[-1], context[-1])
         if size <= CROWD:
             yield from close()
 
@@ -184,80 +223,91 @@ def sift(found: DataFrame) -> DataFrame:
 
 
 def open_contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """deal, key, start, bytes: open contexts, dealt by anchor or, if crowded, window by window."""
+    """deal, key, start, bytes, kind: open contexts, dealt by anchor (``kind`` 1) or, if crowded, window by
+    window (2); windows that an equal one of the same batch precedes come without bytes (0)."""
     lists = materialize(asked.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor", "state")).alias("asked")), "asked")
     both = docs.join(few(lists.select("key")), "key", "left_semi").join(lists, "key")
-    schema = T.StructType([*longs("deal", "key"), T.StructField("start", T.IntegerType()), T.StructField("bytes", T.BinaryType())])
+    ints = [T.StructField(c, T.IntegerType()) for c in ("start", "kind")]
+    schema = T.StructType([*longs("deal", "key"), *ints, T.StructField("bytes", T.BinaryType())])
 
     def run(batch: pa.RecordBatch):
-        deal, key, start, data = [], [], [], []
-        for k, text, rows in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+        rows: list[tuple] = []
+        windows: dict[bytes, tuple] = {}  # the first of each window so far
+
+        def full() -> dict:
+            made = [*rows, *((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), k, s, 2, w) for w, (k, s) in windows.items())]
+            rows.clear()
+            windows.clear()
+            return dict(zip(("deal", "key", "start", "kind", "bytes"), zip(*made, strict=True), strict=True))
+
+        for k, text, contexts in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
             raw = text.encode()
-            for r in rows:
+            for r in contexts:
                 a, n = r["start"], r["windows"]
-                each = [(a, n)] if r["state"] == 1 else [(a + i, 1) for i in range(n)]
-                for s, m in each:
-                    piece = raw[s : s + m + LENGTH - 1]
-                    deal.append(r["anchor"] if r["state"] == 1 else int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True))
-                    key.append(k)
-                    start.append(s)
-                    data.append(piece)
-            if len(data) > 20_000:
-                yield {"deal": deal, "key": key, "start": start, "bytes": data}
-                deal, key, start, data = [], [], [], []
-        yield {"deal": deal, "key": key, "start": start, "bytes": data}
+                if r["state"] == 1:
+                    rows.append((r["anchor"], k, a, 1, raw[a : a + n + LENGTH - 1]))
+                    continue
+                for s in range(a, a + n):
+                    window = raw[s : s + LENGTH]
+                    first = windows.setdefault(window, (k, s))
+                    if first != (k, s):
+                        windows[window] = min(first, (k, s))
+                        late = max(first, (k, s))
+                        rows.append((late[0], late[0], late[1], 0, None))
+                if len(rows) + len(windows) > 20_000:
+                    yield full()
+        if rows or windows:
+            yield full()
 
     return map_arrow(both, run, schema)
 
 
-def suffix_array(raw: np.ndarray, depth: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of all suffixes by their first ``depth`` bytes, and ranks by their first ``step`` bytes.
+def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
+    """The order of all suffixes by their first ``depth`` bytes (or more).
 
     Ranks by 8 bytes first, then by twice as many at a time.
     """
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(raw)]
     key = np.ascontiguousarray(words).view(">u8").ravel().astype(np.uint64)
-    width, kept = 8, None
+    width = 8
     while True:
         order = np.argsort(key)
+        if width >= depth:
+            return order
         now = key[order]
         rank = np.empty(len(raw), np.int64)
         rank[order] = np.cumsum(np.concatenate([[False], now[1:] != now[:-1]]))
-        if width == step:
-            kept = rank
-        if width >= depth:
-            return order, kept
         after = np.zeros(len(raw), np.int64)
         after[:-width] = rank[width:] + 1
         key = ((rank << 32) | after).astype(np.uint64)
         width *= 2
 
 
-def separated(raw: np.ndarray, length: int = LENGTH, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def separated(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array, and for each place of it whether it shares less than ``length`` bytes with the
     place before.
 
-    Ranks by ``step`` bytes tell it for ``step``.  If neighbours begin with the same byte, they share n + 1
-    bytes just where the suffixes one byte further on share n; these are reached by the links of the
-    transform, and share n where no border below n lies between them.  So each round extends all
-    intervals backward by a byte, and the common prefixes get known by increasing length.
+    For one byte the first bytes tell it.  If neighbours begin with the same byte, they share n + 1 bytes
+    just where the suffixes one byte further on share n; these are reached by the links of the transform,
+    and share n where no border below n lies between them.  So each round extends all intervals backward
+    by a byte, and the common prefixes get known by increasing length.
     """
     n = len(raw)
-    order, rank = suffix_array(raw, length, step)
-    place = np.empty(n + 1, np.int64)
+    order = suffix_array(raw, length)
+    place = np.empty(n + 1, np.int32)
     place[order] = np.arange(n)
     place[n] = -1
     apart = np.ones(n, bool)
-    by = rank[order]
-    apart[1:] = by[1:] != by[:-1]
-    here = np.flatnonzero(~apart)
+    first = raw[order]
+    apart[1:] = first[1:] != first[:-1]
+    here = np.flatnonzero(~apart).astype(np.int32)
     x, y = place[order[here - 1] + 1], place[order[here] + 1]
-    lo, hi = np.minimum(x, y), np.maximum(x, y)
+    lo, hi = np.minimum(x, y) + 1, np.maximum(x, y) + 1
     sums = np.zeros(n + 1, np.int32)
-    for _ in range(length - step):
+    for _ in range(length - 1):
         np.cumsum(apart, out=sums[1:])
-        cut = sums[hi + 1] != sums[lo + 1]
+        cut = sums[hi] != sums[lo]
         if cut.any():
             apart[here[cut]] = True
             keep = ~cut
@@ -293,18 +343,43 @@ def repeats(key: np.ndarray, start: np.ndarray, texts: list[bytes], length: int
 
 
 def index(contexts: DataFrame) -> DataFrame:
-    """key, first, last: ranges of repeated windows among open contexts, indexed deal by deal."""
-    rows = contexts.repartition("deal").sortWithinPartitions("deal")
+    """key, first, last: ranges of repeated windows among open contexts, indexed deal by deal.
+
+    A task holds about ``CHUNK`` bytes of contexts and those of one deal more, ``CROWD`` at most.  Of
+    windows dealt one by one only the first of the last deal is held.
+    """
+    rows = contexts.repartition("deal").sortWithinPartitions("deal", "key", "start")
     schema = T.StructType([*longs("key"), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
 
+    def out(key, first, last):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=schema.names)
+
+    def close(parts):
+        return out(*repeats(np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]).astype(np.int64), [t for p in parts for t in p[3]]))
+
     def run(batches):
         held, size = [], 0
-
-        def close(parts):
-            key, first, last = repeats(np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]).astype(np.int64), [t for p in parts for t in p[3]])
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=schema.names)
+        seen: set[bytes] = set()  # different windows of the last deal: more than one if their hashes collide
+        last = None
 
         for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            if (none := kind == 0).any():
+                key, start = (batch.column(c).to_numpy()[none] for c in ("key", "start"))
+                yield out(key, start, start)
+            if (one := kind == 2).any():
+                late = []
+                picked = batch.filter(pa.array(one))
+                deal, key, start = (picked.column(c).to_numpy() for c in ("deal", "key", "start"))
+                for i, (d, window) in enumerate(zip(deal.tolist(), picked.column("bytes").to_pylist(), strict=True)):
+                    if d != last:
+                        last, seen = d, {window}
+                    elif window in seen:
+                        late.append(i)
+                    else:
+                        seen.add(window)
+                yield out(key[late], start[late], start[late])
+            batch = batch.filter(pa.array(kind == 1))
             deal, key, start = (batch.column(c).to_numpy() for c in ("deal", "key", "start"))
             data = batch.column("bytes").to_pylist()
             cuts = np.concatenate([[0], np.flatnonzero(deal[1:] != deal[:-1]) + 1, [len(deal)]]) if len(deal) else [0]
@@ -324,14 +399,15 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """doc_id, text and ``spans``: maximal runs (start, end in bytes) that repeated windows cover."""
     docs, key = row_key(df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id")
     docs = docs.select("doc_id", "text", F.col(key).alias("key"))
-    sifted = materialize(sift(find_anchors(docs.select("key", "text"))), "anchors")
-    contexts = open_contexts(docs.select("key", "text"), sifted.filter("state > 0"))
+    texts = docs.select("key", "text")
+    sifted = materialize(sift(find_anchors(texts, common_anchors(texts))), "anchors")
+    contexts = open_contexts(texts, sifted.filter("state > 0"))
     opened = materialize(index(contexts), "repeats")
     whole = sifted.filter("state = 0").select("key", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last"))
     ranges = whole.unionByName(opened).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("ranges"))
     ranges = materialize(ranges, "ranges")
-    spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([*longs("key"), T.StructField("spans", spans)])
+    discard(sifted, opened)
+    schema = T.StructType([*longs("key"), T.StructField("spans", T.ArrayType(T.StructType.fromDDL("start int, end int")))])
 
     def run(batch: pa.RecordBatch):
         lists = batch.column("ranges")
@@ -347,7 +423,9 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         yield {"key": batch.column("key"), "spans": out}
 
     joined = map_arrow(ranges, run, schema)
-    return docs.join(materialize(joined, "spans"), "key", "left").select("doc_id", "text", "spans")
+    spans = materialize(joined, "spans")
+    discard(ranges)
+    return docs.join(spans, "key", "left").select("doc_id", "text", "spans")
 
 
 def report(found: DataFrame) -> DataFrame:
