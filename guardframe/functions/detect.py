@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from guardframe.functions import catalog
-from guardframe.functions.jsregex import required_literal, translate
+from guardframe.functions.jsregex import required_any, translate
 from guardframe.functions.normalize import Normalization, steps
 from guardframe.functions.text import settled, tokens, utf16_prefix
 
@@ -27,8 +27,8 @@ class DetectOptions:
     exclude: tuple[str, ...] = ()
     allow: tuple[str, ...] = ()
     max_input_length: int = INPUT_LIMIT
-    #: A DataFrame with ``result`` of detected rows to the same with column ``override`` (null keeps it).
-    secondary: Callable[[DataFrame], DataFrame] | None = field(default=None, compare=False)
+    #: From the rows with their detection to a Column of what replaces it where something was detected (null keeps it).
+    secondary: Callable[[DataFrame], Column] | None = field(default=None, compare=False)
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -56,11 +56,10 @@ def low_risk_gate(text: Column) -> Column:
 
 
 def rule_hit(text: Column, low: Column, rule: catalog.Rule) -> Column:
-    """A cheap test for a literal that every match holds guards the regular expression."""
+    """A cheap test for literals one of which every match holds guards the regular expression."""
     hit = text.rlike(translate(rule.source, ignore_case=rule.flags == "i"))
-    literal = required_literal(rule.source)
-    if len(literal) > 2:
-        hit = (low.contains(literal.lower()) if rule.flags == "i" else text.contains(literal)) & hit
+    if literals := required_any(rule.source):
+        hit = any_of([low.contains(x.lower()) if rule.flags == "i" else text.contains(x) for x in literals]) & hit
     return hit
 
 
@@ -116,11 +115,10 @@ def neutral() -> Column:
     return F.struct(F.lit(False).alias("detected"), F.lit("none").alias("risk"), F.array().cast(MATCHES).alias("matches"))
 
 
-def override(rows: DataFrame, out: str, secondary: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def override(rows: DataFrame, out: str, secondary: Callable[[DataFrame], Column]) -> DataFrame:
     """Let ``secondary`` look at detected rows again; where it says nothing the result stays."""
-    hit = secondary(rows.filter(F.col(out)["detected"]))
-    hit = hit.withColumn(out, F.coalesce(F.col("override").cast(RESULT), F.col(out))).drop("override")
-    return rows.filter(~F.col(out)["detected"]).unionByName(hit.select(rows.columns))
+    again = F.when(F.col(out)["detected"], secondary(rows).cast(RESULT))
+    return rows.withColumn(out, F.coalesce(again, F.col(out)))
 
 
 def categories(result: Column) -> Column:

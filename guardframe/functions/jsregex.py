@@ -80,3 +80,62 @@ def required_literal(source: str) -> str:
             run = ""
         i += 1
     return best
+
+
+def branches(source: str) -> list[str]:
+    """The alternatives of a pattern at its top level."""
+    out, depth, start, i = [], 0, 0, 0
+    while i < len(source):
+        c = source[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i = class_end(source, i)
+        elif c == "|" and not depth:
+            out.append(source[start:i])
+            start = i + 1
+        else:
+            depth += (c == "(") - (c == ")")
+        i += 1
+    return [*out, source[start:]]
+
+
+def class_end(source: str, at: int) -> int:
+    """The place of the bracket that ends the character class which begins at ``at``."""
+    at += 1
+    while source[at] != "]":
+        at += 2 if source[at] == "\\" else 1
+    return at
+
+
+def groups(source: str) -> list[str]:
+    """The insides of the plain groups that every match goes through."""
+    out, depth, start, i = [], 0, 0, 0
+    while i < len(source):
+        c = source[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i = class_end(source, i)
+        elif c == "(":
+            start = i if not depth else start
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            inside, after = source[start + 1 : i], source[i + 1 : i + 2]
+            if not depth and after not in ("?", "*", "{") and (inside.startswith("?:") or not inside.startswith("?")):
+                out.append(inside.removeprefix("?:"))
+        i += 1
+    return out
+
+
+def required_any(source: str) -> tuple[str, ...]:
+    """Literals of 3 characters or more one of which every match holds, long ones if possible; () if none is certain."""
+    each = branches(source)
+    if len(each) > 1:
+        sets = [required_any(b) for b in each]
+        return tuple(dict.fromkeys(x for s in sets for x in s)) if all(sets) else ()
+    found = [s for s in map(required_any, groups(source)) if s]
+    if len(literal := required_literal(source)) > 2:
+        found.append((literal,))
+    return min(found, key=lambda s: (-min(map(len, s)), len(s)), default=())

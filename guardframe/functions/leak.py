@@ -79,11 +79,12 @@ def leak_columns(df: DataFrame, output_col: str, prompt_col: str, options: LeakO
     small_on = (s >= 2) & (F.size(pt) >= s)
     rows = rows.withColumn("_gf_sg", F.when(small_on, ngrams(pt, s)).otherwise(F.array().cast("array<string>")))
     none = F.array().cast("array<string>")
-    hit = F.arrays_overlap("_gf_og", "_gf_pg")
+    # windows are looked up among the shared n-grams alone, which are found by hashing and mostly few
+    rows = rows.withColumns({"_gf_cg": F.array_intersect("_gf_og", "_gf_pg"), "_gf_cs": F.when(small_on, F.array_intersect(ngrams(ot, s), F.col("_gf_sg"))).otherwise(none)})
     rows = rows.withColumns({
-        "_gf_f": F.when(hit, fragments(ot, F.col("_gf_pg"), n)).otherwise(none),
-        "_gf_sf": F.when(hit | F.arrays_overlap("_gf_sg", ngrams(ot, s)), F.when(small_on, fragments(ot, F.col("_gf_sg"), s)).otherwise(none)).otherwise(none),
-        "_gf_ratio": F.when(F.size("_gf_pg") > 0, F.size(F.array_intersect("_gf_og", "_gf_pg")) / F.size("_gf_pg")).otherwise(F.lit(0.0)),
+        "_gf_f": F.when(F.size("_gf_cg") > 0, fragments(ot, F.col("_gf_cg"), n)).otherwise(none),
+        "_gf_sf": F.when(F.size("_gf_cs") > 0, fragments(ot, F.col("_gf_cs"), s)).otherwise(none),
+        "_gf_ratio": F.when(F.size("_gf_pg") > 0, F.size("_gf_cg") / F.size("_gf_pg")).otherwise(F.lit(0.0)),
     })
     f, sf, ratio, w = F.size("_gf_f"), F.size("_gf_sf"), F.col("_gf_ratio"), o.word_overlap_threshold
     more = F.when(f > 2, F.lit(0.2)).otherwise(F.lit(0.0))
@@ -95,7 +96,7 @@ def leak_columns(df: DataFrame, output_col: str, prompt_col: str, options: LeakO
     text = F.col("_gf_text")
     clean = text if o.detect_only else F.when(F.col("_gf_leaked"), redact(text, F.col("_gf_all"), n, o.redaction)).otherwise(text)
     made = F.struct(F.col("_gf_leaked").alias("leaked"), F.col("_gf_conf").alias("confidence"), F.col("_gf_all").alias("fragments"), clean.alias("sanitized"))
-    work = ["_gf_text", "_gf_pt", "_gf_ot", "_gf_n", "_gf_overlap", "_gf_s", "_gf_pg", "_gf_og", "_gf_sg", "_gf_f", "_gf_sf", "_gf_ratio", "_gf_conf", "_gf_leaked", "_gf_all"]
+    work = ["_gf_text", "_gf_pt", "_gf_ot", "_gf_n", "_gf_overlap", "_gf_s", "_gf_pg", "_gf_og", "_gf_sg", "_gf_cg", "_gf_cs", "_gf_f", "_gf_sf", "_gf_ratio", "_gf_conf", "_gf_leaked", "_gf_all"]
     return rows.withColumn(out, made).drop(*work)
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, fields
+from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from guardframe.functions.jsregex import SPACE_JAVA
 from guardframe.functions.text import SPACES, collapse, nfkc, trim
 
 # What is folded, removed, decoded and repaired, in this order.
@@ -16,8 +18,8 @@ LEET_SEQUENCES = [("|\\|", "n"), ("|_|", "u"), ("|v|", "m"), ("|<", "k"), ("|{",
 LEET = ("013456789@$!", "oieasgtbgasi")
 TYPOS = [("ingnore", "ignore"), ("ignor", "ignore"), ("ign0re", "ignore"), ("previ0us", "previous"), ("previus", "previous"), ("instrucions", "instructions"), ("instrucion", "instruction"), ("overide", "override"), ("overrride", "override"), ("disreguard", "disregard"), ("disrega", "disregard")]
 PHONETICS = [("ignorre?", "ignore"), ("ign?r", "ignore"), ("pr[3e]vious", "previous"), ("instr(?:uk|uc)tions?", "instructions"), ("overryde", "override"), ("d[i1]sregard", "disregard"), ("promt", "prompt"), ("rulz", "rules")]
-#: Beginnings of every word that the repairs look for; texts without any are left as they are.
-STEMS = "(?i)ing?nor|ign|previ|pr3v|instru|over|dis|d1s|promt|rulz"
+#: Literals one of which every word holds that the repairs look for.
+HELD = {id(TYPOS): [p for p, _ in TYPOS], id(PHONETICS): ["ignorr", "ignr", "igr", "previous", "pr3vious", "instruk", "instruct", "overryde", "sregard", "promt", "rulz"]}
 
 
 @dataclass(frozen=True)
@@ -47,11 +49,12 @@ class Normalization:
         return cls(**(options if isinstance(options, dict) else {}))
 
 
-def fold_homoglyphs(text: Column) -> Column:
+def fold_homoglyphs(text: Column, gated: bool = False) -> Column:
     """Full-width letters are folded by NFKC already; the rest is one to one."""
     full = "".join(chr(c) for c in (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
     plain = "".join(chr(c - 0xFEE0) for c in map(ord, full))
-    return F.translate(text, full + HOMOGLYPHS[0], plain + HOMOGLYPHS[1])
+    folded = F.translate(text, full + HOMOGLYPHS[0], plain + HOMOGLYPHS[1])
+    return F.when(text.rlike(f"[\uFF21-\uFF5A{HOMOGLYPHS[0]}]"), folded).otherwise(text) if gated else folded
 
 
 def strip_invisible(text: Column) -> Column:
@@ -69,15 +72,28 @@ def decode_leet(text: Column, gated: bool = False) -> Column:
         decoded = F.replace(decoded, F.lit(sequence), F.lit(letter))
     if gated:
         decoded = F.when(text.rlike(r"[|\\/>]"), decoded).otherwise(text)
+        return F.when(text.rlike(r"[0-9@$!|\\/>]"), F.translate(decoded, *LEET)).otherwise(text)
     return F.translate(decoded, *LEET)
 
 
 def words_replaced(text: Column, pairs: list[tuple[str, str]], gated: bool = False) -> Column:
-    """Whole words by their repairs, one after another; every pattern is of word characters."""
+    """Whole words by their repairs, one after another; every pattern is of word characters.
+
+    Gated, only texts that have one of the words are worked, and only those are searched that hold one's letters.
+    """
     repaired = text
     for pattern, to in pairs:
         repaired = F.regexp_replace(repaired, rf"(?i)(?<!\w)(?:{pattern})(?!\w)", to)
-    return F.when(text.rlike(STEMS), repaired).otherwise(text) if gated else repaired
+    if not gated:
+        return repaired
+    low = F.lower(text)
+    held = reduce(lambda a, b: a | b, [low.contains(x) for x in HELD[id(pairs)]])
+    any_word = text.rlike(rf"(?i)(?<!\w)(?:{'|'.join(p for p, _ in pairs)})(?!\w)")
+    return F.when(held & any_word, repaired).otherwise(text)
+
+
+def collapsed(text: Column, gated: bool = False) -> Column:
+    return F.when(text.rlike(f"  |[{SPACE_JAVA.replace(' ', '', 1)}]"), collapse(text)).otherwise(text) if gated else collapse(text)
 
 
 def steps(options: Normalization | dict | bool | None = None, gated: bool = False) -> list[Callable[[Column], Column]]:
@@ -87,10 +103,10 @@ def steps(options: Normalization | dict | bool | None = None, gated: bool = Fals
     if not o.enabled:
         return [trim]
     every = [
-        (True, nfkc), (o.fold_homoglyphs, fold_homoglyphs), (o.strip_invisible, strip_invisible), (o.collapse_whitespace, collapse),
+        (True, nfkc), (o.fold_homoglyphs, lambda x: fold_homoglyphs(x, gated)), (o.strip_invisible, strip_invisible), (o.collapse_whitespace, lambda x: collapsed(x, gated)),
         (o.join_separated_letters, join_letters), (o.normalize_case, F.lower), (o.decode_leetspeak, lambda x: decode_leet(x, gated)),
         (o.repair_typos, lambda x: words_replaced(x, TYPOS, gated)), (o.repair_phonetics, lambda x: words_replaced(x, PHONETICS, gated)),
-        (o.collapse_whitespace, collapse), (True, trim),
+        (o.collapse_whitespace, lambda x: collapsed(x, gated)), (True, trim),
     ]
     return [step for on, step in every if on]
 
@@ -100,3 +116,11 @@ def normalize(text: Column, options: Normalization | dict | bool | None = None)
     for step in steps(options):
         text = step(text)
     return text
+
+
+def normalized(df: DataFrame, text_col: str = "text", out: str = "norm", options: Normalization | dict | bool | None = None) -> DataFrame:
+    """``df`` with a column ``out``; each step is a projection of its own and skips texts it can't change."""
+    df = df.withColumn(out, F.col(text_col))
+    for step in steps(options, gated=True):
+        df = df.withColumn(out, step(F.col(out)))
+    return df

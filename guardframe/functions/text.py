@@ -11,8 +11,15 @@ from guardframe.functions.jsregex import SPACE_JAVA
 
 SPACES = f"[{SPACE_JAVA}]+"
 ASTRAL = "[\\x{10000}-\\x{10FFFF}]"
-#: Beyond ASCII and the plain letters of Latin-1 a text may change under NFKC.
-UNSTABLE = "[^\\x00-\\x7F\\u00C0-\\u00FF]"
+#: Ranges of characters that NFKC leaves alone and that join nothing before them, as the inside
+#: of a character class: Latin, Greek, Cyrillic, Hebrew and Arabic letters, plain marks, kana, Han, Hangul, pictures.
+STABLE = (
+    r"\x{0}-\x{9F}\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{180}-\x{1C3}\x{1CD}-\x{1F0}\x{1F4}-\x{2AF}"
+    r"\x{391}-\x{3CE}\x{400}-\x{482}\x{48A}-\x{52F}\x{5D0}-\x{5EA}\x{620}-\x{64A}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{2030}-\x{2032}\x{2039}-\x{203B}\x{20AC}\x{2190}-\x{21FF}\x{2500}-\x{27BF}"
+    r"\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}\x{1F300}-\x{1FAFF}"
+)
+#: With any other character a text may change under NFKC.
+UNSTABLE = f"[^{STABLE}]"
 
 
 def utf16_length(text: Column) -> Column:

@@ -13,13 +13,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from guardframe.functions.detect import DetectOptions, categories, detect_columns
 from guardframe.functions.errors import injection_error, leak_error
 from guardframe.functions.harden import HardenOptions, harden
-from guardframe.functions.leak import LeakOptions, leak_columns
+from guardframe.functions.leak import LeakOptions, leak_columns, sanitize_object, sanitize_values
 from guardframe.operators.messages import FORMATS, content_text, text_of
 
 
 @dataclass(frozen=True)
 class GuardOptions:
-    """``harden``, ``detect`` and ``sanitize`` are options or False."""
+    """``harden``, ``detect`` and ``sanitize`` are options or False.
+
+    ``prompt_source`` tells whether outputs are compared with the system prompt as it was or as hardened.
+    """
 
     source: str = "openai"
     system_prompt: str | None = None
@@ -28,26 +31,37 @@ class GuardOptions:
     sanitize: LeakOptions | bool = field(default_factory=LeakOptions)
     on_detection: str = "block"
     throw_on_leak: bool = False
+    prompt_source: str = "raw"
 
     def __post_init__(self):
+        if self.prompt_source not in ("raw", "hardened"):
+            raise ValueError(f"unknown prompt source {self.prompt_source!r}")
         if self.source not in FORMATS:
             raise ValueError(f"unknown format {self.source!r}")
         if self.on_detection not in ("block", "warn"):
             raise ValueError(f"unknown reaction {self.on_detection!r}")
 
 
+def string_of(messages: DataFrame) -> Column:
+    """The content where it is a string, else null."""
+    return F.when(F.col("parts").isNull(), F.col("text")) if "parts" in messages.columns else F.col("text")
+
+
 def hardened(messages: DataFrame, options: GuardOptions | None = None) -> DataFrame:
     """System messages with the security rules; parts become one text, empty texts stay as they are.
 
-    In the anthropic format each text part is hardened by itself.
+    In the anthropic format each text part is hardened by itself, also an empty one, and other parts stay;
+    in the ai-sdk-auto format only contents that are strings are, also empty ones.
     """
     o = options or GuardOptions()
     if o.harden is False:
         return messages
     rules = o.harden if isinstance(o.harden, HardenOptions) else HardenOptions()
     system = F.col("role") == "system"
+    if o.source == "ai-sdk-auto":
+        return messages.withColumn("text", F.when(system & string_of(messages).isNotNull(), harden(F.col("text"), rules)).otherwise(F.col("text")))
     if o.source == "anthropic" and "parts" in messages.columns:
-        each = F.transform("parts", lambda p: F.when((p["type"] == "text") & (p["text"] != ""), p.withField("text", harden(p["text"], rules))).otherwise(p))
+        each = F.transform("parts", lambda p: F.when((p["type"] == "text") & p["text"].isNotNull(), p.withField("text", harden(p["text"], rules))).otherwise(p))
         messages = messages.withColumn("parts", F.when(system & F.col("parts").isNotNull(), each).otherwise(F.col("parts")))
         text = F.col("text")
     else:
@@ -60,27 +74,31 @@ def hardened(messages: DataFrame, options: GuardOptions | None = None) -> DataFr
 
 
 def prompts(messages: DataFrame, options: GuardOptions | None = None) -> DataFrame:
-    """conv_id, system_prompt: the text of the first system message, before hardening.
+    """conv_id, system_prompt: the text of the first system message, before hardening or (``prompt_source``) after.
 
-    For the anthropic format the text blocks of that message are joined by a line end.  An empty first message
+    Text parts are joined by a space; in the ai-sdk-auto format only a string counts.  An empty first message
     means no prompt; later ones aren't tried.
     """
     o = options or GuardOptions()
     if o.system_prompt is not None:
-        return messages.select("conv_id").distinct().withColumn("system_prompt", F.lit(o.system_prompt))
-    first = messages.filter("role = 'system'").groupBy("conv_id").agg(F.min_by(text_of(messages), "turn").alias("system_prompt"))
+        return messages.select("conv_id").distinct().withColumn("system_prompt", F.lit(o.system_prompt)).filter("system_prompt <> ''")
+    said = hardened(messages, o) if o.prompt_source == "hardened" else messages
+    text = F.coalesce(string_of(said), F.lit("")) if o.source == "ai-sdk-auto" else text_of(said)
+    first = said.filter("role = 'system'").groupBy("conv_id").agg(F.min_by(text, "turn").alias("system_prompt"))
     return first.filter("system_prompt <> ''")
 
 
 def screened(messages: DataFrame, options: GuardOptions | None = None) -> DataFrame:
-    """User messages with text, with their ``detection``.  Other roles are never looked at."""
+    """User messages (or text parts of them, by number) with text, with their ``detection``.  Other roles are never looked at."""
     o = options or GuardOptions()
     rules = o.detect if isinstance(o.detect, DetectOptions) else DetectOptions()
     user = messages.filter("role = 'user'")
-    if o.source == "ai-sdk" and "parts" in messages.columns:  # each part by itself; plain strings aren't scanned
-        user = user.select("conv_id", "turn", F.explode("parts").alias("_gf_part")).filter("_gf_part.type = 'text'").select("conv_id", "turn", F.col("_gf_part.text").alias("text"))
+    if o.source == "ai-sdk-auto":  # each part by itself; plain strings aren't scanned
+        if "parts" not in messages.columns:
+            user = user.withColumn("parts", F.array().cast("array<struct<type:string,text:string>>"))
+        user = user.select("conv_id", "turn", F.posexplode("parts").alias("part", "_gf_part")).filter("_gf_part.type = 'text'").select("conv_id", "turn", "part", F.col("_gf_part.text").alias("text"))
     else:
-        user = user.select("conv_id", "turn", text_of(messages).alias("text"))
+        user = user.select("conv_id", "turn", F.lit(0).alias("part"), text_of(messages).alias("text"))
     return detect_columns(user.filter("text <> ''"), "text", rules)
 
 
@@ -94,7 +112,7 @@ def verdicts(messages: DataFrame, options: GuardOptions | None = None) -> DataFr
         return messages.select("conv_id").limit(0).select("conv_id", F.lit(True).alias("blocked"), F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("detected"))
     hit = screened(messages, o).filter("detection.detected")
     error = injection_error(F.col("detection")["risk"], categories(F.col("detection")))["message"]
-    grouped = hit.groupBy("conv_id").agg(F.min_by(error, "turn").alias("error"), F.count("*").alias("detected"))
+    grouped = hit.groupBy("conv_id").agg(F.min_by(error, F.struct("turn", "part")).alias("error"), F.count("*").alias("detected"))
     return grouped.select("conv_id", F.lit(o.on_detection == "block").alias("blocked"), "error", "detected")
 
 
@@ -103,21 +121,69 @@ def allowed(messages: DataFrame, found: DataFrame) -> DataFrame:
     return messages.join(found.filter("blocked").select("conv_id"), "conv_id", "left_anti")
 
 
+def checked_outputs(messages: DataFrame, options: GuardOptions) -> DataFrame:
+    """Assistant messages of allowed conversations: conv_id, turn, text and ``leak`` (null where nothing is checked).
+
+    The ai-sdk format has no prompt but that of the options: its outputs are given by hand.
+    """
+    said = allowed(messages, verdicts(messages, options)).filter("role = 'assistant'").select("conv_id", "turn", text_of(messages).alias("text"))
+    kind = "struct<leaked:boolean,confidence:double,fragments:array<string>,sanitized:string>"
+    if options.sanitize is False or (options.source == "ai-sdk" and options.system_prompt is None):
+        return said.withColumn("leak", F.lit(None).cast(kind))
+    rules = options.sanitize if isinstance(options.sanitize, LeakOptions) else LeakOptions()
+    return leak_columns(said.join(prompts(messages, options), "conv_id", "left"), "text", "system_prompt", rules).drop("system_prompt")
+
+
 def guarded_outputs(messages: DataFrame, options: GuardOptions | None = None) -> DataFrame:
-    """Assistant messages of allowed conversations with ``leak``, ``output`` and ``leak_message``."""
+    """Assistant messages of allowed conversations with ``leaked``, ``output`` and ``leak_message``."""
+    o = options or GuardOptions()
+    leak = F.col("leak")
+    leaked = F.coalesce(leak["leaked"], F.lit(False))
+    instead = F.lit(None).cast("string") if o.throw_on_leak else leak["sanitized"]
+    message = F.when(leaked, leak_error(leak["confidence"], F.size(leak["fragments"]))["message"])
+    return checked_outputs(messages, o).withColumns({"leaked": leaked, "output": F.when(leaked, instead).otherwise(F.col("text")), "leak_message": message}).drop("leak")
+
+
+def leak_audit(messages: DataFrame, options: GuardOptions | None = None) -> DataFrame:
+    """One row for each leaking output: what callbacks would be told, and what happens."""
     o = options or GuardOptions()
-    said = allowed(messages, verdicts(messages, o)).filter("role = 'assistant'").select("conv_id", "turn", text_of(messages).alias("text"))
+    hit = checked_outputs(messages, o).filter("leak.leaked")
+    return hit.select("conv_id", "turn", "leak.confidence", F.size("leak.fragments").alias("fragments"), "leak.sanitized", F.lit("throw" if o.throw_on_leak else "redact").alias("reaction"))
+
+
+def guarded_blocks(responses: DataFrame, found_prompts: DataFrame, options: GuardOptions | None = None) -> DataFrame:
+    """Responses of content blocks, each text block and each tool's input sanitized by itself.
+
+    ``responses``: conv_id and content (array of structs with type, text and maybe input, a struct, array or
+    map).  The result has ``reports``: of each leaking block its confidence, number of fragments and message, for
+    a tool's input 1 and 0, and the sanitized text (of an input, as JSON).  Blocks are rows meanwhile.
+    """
+    o = options or GuardOptions(source="anthropic")
     if o.sanitize is False:
-        return said.withColumns({"leaked": F.lit(False), "output": F.col("text"), "leak_message": F.lit(None).cast("string")})
+        return responses.withColumn("reports", F.array().cast("array<struct<confidence:double,fragments:int,message:string,sanitized:string>>"))
     rules = o.sanitize if isinstance(o.sanitize, LeakOptions) else LeakOptions()
-    both = said.join(prompts(messages, o), "conv_id", "left")
-    checked = leak_columns(both, "text", "system_prompt", rules)
-    leak = F.col("leak")
-    message = F.when(leak["leaked"], leak_error(leak["confidence"], F.size(leak["fragments"]))["message"])
-    output: Column = F.when(leak["leaked"], leak["sanitized"]).otherwise(F.col("text"))
-    if o.throw_on_leak:
-        output = F.when(leak["leaked"], F.lit(None).cast("string")).otherwise(F.col("text"))
-    return checked.withColumns({"leaked": leak["leaked"], "output": output, "leak_message": message}).drop("leak", "system_prompt")
+    kind = responses.schema["content"].dataType.elementType
+    rows = responses.withColumn("_gf_row", F.monotonically_increasing_id())
+    each = rows.join(found_prompts, "conv_id", "left").select("_gf_row", "system_prompt", F.posexplode("content").alias("_gf_at", "_gf_block"))
+    each = leak_columns(each.withColumn("_gf_text", F.when(F.col("_gf_block.type") == "text", F.col("_gf_block.text"))), "_gf_text", "system_prompt", rules, "_gf_leak")
+    leak, block = F.col("_gf_leak"), F.col("_gf_block")
+    new = block.withField("text", F.when(leak["leaked"], leak["sanitized"]).otherwise(block["text"]))
+    told = F.when(leak["leaked"], report(leak["confidence"], F.size(leak["fragments"]), leak["sanitized"]))
+    if "input" in kind.names:
+        each = each.withColumn("_gf_input", F.when(block["type"] == "tool_use", block["input"]))
+        each = sanitize_object(each, "_gf_input", "system_prompt", rules, "_gf_had")
+        new = new.withField("input", F.when(F.col("_gf_had"), F.col("_gf_input")).otherwise(block["input"]))
+        told = F.coalesce(told, F.when(F.col("_gf_had"), report(F.lit(1.0), F.lit(0), F.to_json("_gf_input"))))
+    listed = F.collect_list(F.struct("_gf_at", new.alias("block"), told.alias("told")))
+    # by place alone: blocks with maps have no order
+    back = each.groupBy("_gf_row").agg(F.array_sort(listed, lambda a, b: a["_gf_at"] - b["_gf_at"]).alias("_gf_all"))
+    back = back.select("_gf_row", F.transform("_gf_all", lambda x: x["block"]).alias("_gf_new"), F.filter(F.transform("_gf_all", lambda x: x["told"]), lambda x: x.isNotNull()).alias("reports"))
+    out = rows.join(back, "_gf_row", "left").withColumn("content", F.coalesce("_gf_new", "content"))
+    return out.withColumn("reports", F.coalesce("reports", F.array().cast(back.schema["reports"].dataType))).drop("_gf_row", "_gf_new")
+
+
+def report(confidence: Column, fragments: Column, sanitized: Column) -> Column:
+    return F.struct(confidence.alias("confidence"), fragments.alias("fragments"), leak_error(confidence, fragments)["message"].alias("message"), sanitized.alias("sanitized"))
 
 
 def guarded_responses(responses: DataFrame, found_prompts: DataFrame, options: GuardOptions | None = None) -> DataFrame:
@@ -130,8 +196,6 @@ def guarded_responses(responses: DataFrame, found_prompts: DataFrame, options: G
     rows = responses.join(found_prompts, "conv_id", "left").withColumn("_gf_key", F.monotonically_increasing_id())
     rows = leak_columns(rows, "content", "system_prompt", rules, "_gf_leak")
     content = F.when(F.col("_gf_leak")["leaked"], F.col("_gf_leak")["sanitized"]).otherwise(content_text(F.col("content")))
-    from guardframe.functions.leak import sanitize_values
-
     rows = rows.withColumns({"content": content, "content_leaked": F.col("_gf_leak")["leaked"]}).drop("_gf_leak")
     out = sanitize_values(rows, "tool_arguments", "system_prompt", "_gf_key", rules)
     return out.withColumnRenamed("had_leak", "arguments_leaked").drop("_gf_key", "system_prompt")

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-FORMATS = ("openai", "groq", "anthropic", "ai-sdk")
+#: ``ai-sdk``: what a caller wraps by hand; ``ai-sdk-auto``: the prompt as its model middleware sees it.
+FORMATS = ("openai", "groq", "anthropic", "ai-sdk", "ai-sdk-auto")
 
 
 def parts_text(parts: Column) -> Column:
@@ -32,6 +33,6 @@ def delta_text(event: Column, source: str) -> Column:
         return F.get(event["choices"], F.lit(0))["delta"]["content"]
     if source == "anthropic":
         return F.when(event["type"] == "content_block_delta", F.nullif(event["delta"]["text"], F.lit("")))
-    if source == "ai-sdk":
-        return F.when(event["type"] == "text-delta", event["delta"])
+    if source in ("ai-sdk", "ai-sdk-auto"):
+        return F.when(event["type"] == "text-delta", event["textDelta"])
     raise ValueError(f"unknown format {source!r}")

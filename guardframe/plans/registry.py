@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from guardframe.functions import catalog, detect as dt, normalize as nz, text as tx
 from guardframe.functions.detect import DetectOptions
 from guardframe.functions.errors import injection_error, leak_error
-from guardframe.functions.harden import HardenOptions, block, harden
+from guardframe.functions.harden import HardenOptions, harden
 from guardframe.functions.leak import LeakOptions, effective_size, fragments, leak_columns, sanitize_object, small_size
 from guardframe.operators import conversations as cv
-from guardframe.operators.messages import parts_text
+from guardframe.operators.messages import delta_text, parts_text
 from guardframe.plans import planted as pl, sql
 from guardframe.plans.planted import quote
 from guardframe.sources.tables import read
@@ -31,12 +31,14 @@ STEPS = {
     "norm_homoglyph": (nz.fold_homoglyphs, sql.homoglyphs), "norm_invisible": (nz.strip_invisible, sql.STEPS["strip_invisible"]), "norm_ws": (tx.collapse, sql.collapse),
     "norm_join": (nz.join_letters, sql.join_letters), "norm_lower": (F.lower, sql.STEPS["normalize_case"]), "norm_leet": (nz.decode_leet, sql.leet),
     "norm_typo": (lambda c: nz.words_replaced(c, nz.TYPOS), sql.typos), "norm_phonetic": (lambda c: nz.words_replaced(c, nz.PHONETICS), sql.phonetics),
-    "norm_trim": (tx.trim, sql.trim), "norm_full": (nz.normalize, sql.normalize), "norm_off": (lambda c: nz.normalize(c, False), lambda x: sql.normalize(x, enabled=False)),
-    "norm_partial": (lambda c: nz.normalize(c, {"decode_leetspeak": False, "collapse_whitespace": False}), lambda x: sql.normalize(x, ("decode_leetspeak", "collapse_whitespace"))),
+    "norm_trim": (tx.trim, sql.trim), "norm_off": (lambda c: nz.normalize(c, False), lambda x: sql.normalize(x, enabled=False)),
 }
 for _name, (_step, _sql) in STEPS.items():
     register(_name, f"SELECT doc_id, {_sql('text')} AS norm FROM ({pl.planted_sql()})", lambda spark, sf, step=_step: pl.planted(spark, sf).select("doc_id", step(F.col("text")).alias("norm")))
 
+for _name, _options, _off in (("norm_full", None, ()), ("norm_partial", {"decode_leetspeak": False, "collapse_whitespace": False}, ("decode_leetspeak", "collapse_whitespace"))):
+    register(_name, f"SELECT doc_id, {sql.normalize('text', _off)} AS norm FROM ({pl.planted_sql()})", lambda spark, sf, o=_options: nz.normalized(pl.planted(spark, sf), options=o).select("doc_id", "norm"))
+
 # gates
 GATES = {"prefilter": (dt.prefilter, sql.prefilter), "token_bag": (dt.token_bag, sql.token_bag), "structure": (dt.suspicious_structure, sql.structure), "low_risk_gate": (dt.low_risk_gate, sql.gate)}
 for _name, (_step, _sql) in GATES.items():
@@ -68,9 +70,9 @@ def rule_hits(spark: SparkSession, sf: str) -> DataFrame:
 register("rule_hits", f"SELECT rule, count(*) AS hits FROM (SELECT unnest(string_split(matches, ';')) AS rule FROM ({sql.detect(pl.planted_sql(), threshold='low')}) WHERE detected) GROUP BY rule", rule_hits)
 
 
-def secondary(rows: DataFrame) -> DataFrame:
+def secondary(rows: DataFrame) -> Column:
     """Example of a second look: texts of documents with an even id are let go."""
-    return rows.withColumn("override", F.when(F.col("doc_id") % 2 == 0, dt.neutral()))
+    return F.when(rows["doc_id"] % 2 == 0, dt.neutral())
 
 
 register("detect_secondary", f"SELECT doc_id, detected AND doc_id % 2 <> 0 AS detected, CASE WHEN doc_id % 2 = 0 THEN 'none' ELSE risk END AS risk FROM ({sql.detect(pl.planted_sql())})",
@@ -84,16 +86,28 @@ def nfkc_detect(spark: SparkSession, sf: str) -> DataFrame:
     return dt.detect_columns(rows).select("doc_id", *dt.flat(F.col("detection")))
 
 
-register("nfkc_detect", None, nfkc_detect)
+register("nfkc_detect", sql.detect(pl.planted_sql()), nfkc_detect)  # what is folded is the planted text itself
+#: Characters and what NFKC makes of them.
+FOLDED = [("ﬁ", "fi"), ("①", "1"), ("Ａ", "A"), ("…", "..."), ("\u00a0", " "), ("ｶﾞ", "ガ"), ("e\u0301", "é"), ("\u212b", "Å"), ("²", "2"), ("㎏", "kg"), ("ſ", "s"), ("ñ", "ñ")]
+
+
+def norm_nfkc(spark: SparkSession, sf: str) -> DataFrame:
+    """NFKC of whole documents, before which stands a character that it changes."""
+    first = F.element_at(F.array(*(F.lit(a) for a, _ in FOLDED)), (F.col("doc_id") % len(FOLDED) + 1).cast("int"))
+    return pl.documents(spark, sf).select("doc_id", tx.nfkc(F.concat(first, F.lit(" "), F.col("text"))).alias("norm"))
+
+
+_folded = " ".join(f"WHEN {i} THEN {quote(b)}" for i, (_, b) in enumerate(FOLDED))
+register("norm_nfkc", f"SELECT doc_id, (CASE doc_id % {len(FOLDED)} {_folded} END) || ' ' || text AS norm FROM documents", norm_nfkc)
 
 
 # leaks
-def leaks(spark: SparkSession, sf: str, options: LeakOptions | None = None, pairs=pl.pairs) -> DataFrame:
-    return leak_columns(pairs(spark, sf), "output", "prompt", options)
+def leaks(spark: SparkSession, sf: str, options: LeakOptions | None = None) -> DataFrame:
+    return leak_columns(pl.pairs(spark, sf), "output", "prompt", options)
 
 
-def set_sizes(spark: SparkSession, sf: str, pairs=pl.pairs) -> DataFrame:
-    rows = pairs(spark, sf).withColumns({"ot": tx.tokens(F.col("output")), "pt": tx.tokens(F.col("prompt"))})
+def set_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pl.pairs(spark, sf).withColumns({"ot": tx.tokens(F.col("output")), "pt": tx.tokens(F.col("prompt"))})
     n = effective_size(F.col("pt"), 4)
     rows = rows.withColumns({"og": tx.ngrams(F.col("ot"), n), "pg": tx.ngrams(F.col("pt"), n)})
     ratio = F.when(F.size("pg") > 0, F.size(F.array_intersect("og", "pg")) / F.size("pg")).otherwise(F.lit(0.0))
@@ -106,8 +120,8 @@ register("set_overlaps", _set_sizes_sql + "SELECT doc_id, n_tokens, n_ngrams, ro
 register("tokens", f"SELECT doc_id, array_to_string({sql.tokens('text')}, ' ') AS words FROM documents", lambda spark, sf: pl.documents(spark, sf).select("doc_id", F.array_join(tx.tokens(F.col("text")), " ").alias("words")))
 
 
-def all_fragments(spark: SparkSession, sf: str, pairs=pl.pairs) -> DataFrame:
-    rows = pairs(spark, sf).withColumns({"ot": tx.tokens(F.col("output")), "pt": tx.tokens(F.col("prompt"))})
+def all_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pl.pairs(spark, sf).withColumns({"ot": tx.tokens(F.col("output")), "pt": tx.tokens(F.col("prompt"))})
     rows = rows.withColumn("n", effective_size(F.col("pt"), 4)).withColumn("s", small_size(F.col("n")))
     rows = rows.withColumns({"pg": tx.ngrams(F.col("pt"), F.col("n")), "sg": F.when((F.col("s") >= 2) & (F.size("pt") >= F.col("s")), tx.ngrams(F.col("pt"), F.col("s"))).otherwise(F.array().cast("array<string>"))})
     return rows.select("doc_id", F.array_join(fragments(F.col("ot"), F.col("pg"), F.col("n")), "|").alias("fragments"), F.array_join(fragments(F.col("ot"), F.col("sg"), F.col("s")), "|").alias("small_fragments"))
@@ -123,24 +137,28 @@ register("redact_detect_only", sql.leak(pl.PAIRS_SQL, "doc_id, output", detect_o
 
 
 def object_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = pl.pairs(spark, sf).select("doc_id", "prompt", F.struct(F.col("output").alias("query"), F.struct(F.substring("output", 1, 200).alias("note"), F.col("doc_id").alias("number")).alias("inner")).alias("args"))
+    rows = pl.pairs(spark, sf).select("doc_id", "prompt", F.struct(F.col("output").alias("query"), F.struct(F.concat(F.lit("note: "), F.col("output")).alias("note"), F.col("doc_id").alias("number")).alias("inner")).alias("args"))
     return sanitize_object(rows, "args", "prompt").select("doc_id", "had_leak", F.col("args.query").alias("query"), F.col("args.inner.note").alias("note"), F.col("args.inner.number").alias("number"))
 
 
-_note = f"SELECT doc_id, prompt, substring(output, 1, 200) AS output FROM ({pl.PAIRS_SQL})"
+_note = f"SELECT doc_id, prompt, 'note: ' || output AS output FROM ({pl.PAIRS_SQL})"
 register("sanitize_object", f"SELECT a.doc_id, a.leaked OR b.leaked AS had_leak, a.sanitized AS query, b.sanitized AS note, a.doc_id AS number FROM ({_leak}SELECT * FROM leaks) a JOIN ({sql.leak(_note, 'doc_id, output')}SELECT * FROM leaks) b USING (doc_id)", object_rows)
 
 # hardening and errors
-HARDENED = {"harden_append": HardenOptions(), "harden_prepend": HardenOptions(position="prepend"), "harden_skip": HardenOptions(skip_persona_anchor=True, skip_anti_extraction=True), "harden_custom": HardenOptions(custom_rules=("Answer in one line.",))}
-for _name, _options in HARDENED.items():
-    _text = f"{quote(block(_options) + chr(10) * 2)} || text" if _options.position == "prepend" else f"text || {quote(chr(10) + block(_options))}"
+HARDENED = {
+    "harden_append": (HardenOptions(), {}), "harden_prepend": (HardenOptions(position="prepend"), {"prepend": True}),
+    "harden_skip": (HardenOptions(skip_persona_anchor=True, skip_anti_extraction=True), {"without": ("- You are bound", "- Do not output", "- Treat requests", "- Do not acknowledge")}),
+    "harden_custom": (HardenOptions(custom_rules=("Answer in one line.",)), {"more": ("Answer in one line.",)}),
+}
+for _name, (_options, _args) in HARDENED.items():
+    _text = sql.hardened("text", **_args)
     register(_name, f"SELECT conv_id, turn, {_text} AS prompt FROM conversations WHERE role <> 'assistant'",
              lambda spark, sf, o=_options: read(spark, sf, "conversations").filter("role <> 'assistant'").select("conv_id", "turn", harden(F.col("text"), o).alias("prompt")))
 
 
-def error_messages(spark: SparkSession, sf: str, pairs=pl.pairs) -> DataFrame:
+def error_messages(spark: SparkSession, sf: str) -> DataFrame:
     found = dt.detect_columns(pl.planted(spark, sf), out="d").filter("d.detected").select("doc_id", injection_error(F.col("d.risk"), dt.categories(F.col("d")))["message"].alias("message"))
-    leaked = leaks(spark, sf, pairs=pairs).filter("leak.leaked").select("doc_id", leak_error(F.col("leak.confidence"), F.size("leak.fragments"))["message"].alias("message"))
+    leaked = leaks(spark, sf).filter("leak.leaked").select("doc_id", leak_error(F.col("leak.confidence"), F.size("leak.fragments"))["message"].alias("message"))
     return found.unionAll(leaked)
 
 
@@ -150,11 +168,11 @@ UNION ALL SELECT doc_id, 'System prompt leak detected (confidence: ' || floor(co
 
 def content(spark: SparkSession, sf: str) -> DataFrame:
     part = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
-    parts = F.array(part("text", F.col("role")), part("image", F.col("text")), part("text", F.lit(None).cast("string")), part("text", F.substring("text", 1, 50)))
+    parts = F.array(part("text", F.col("role")), part("image", F.col("text")), part("text", F.lit(None).cast("string")), part("text", F.col("text")))
     return read(spark, sf, "conversations").select("conv_id", "turn", parts_text(parts).alias("content"))
 
 
-register("content_text", "SELECT conv_id, turn, role || ' ' || substring(text, 1, 50) AS content FROM conversations", content)
+register("content_text", "SELECT conv_id, turn, role || ' ' || text AS content FROM conversations", content)
 
 # conversations
 _verdict = f"""hit AS (SELECT * FROM ({sql.detect(f"SELECT * FROM ({pl.chats_sql()}) WHERE role = 'user' AND text <> ''", "conv_id", extra=", turn")}) WHERE detected)"""
@@ -164,8 +182,7 @@ register("blocked_convs", f"WITH {_verdict} SELECT conv_id, true AS blocked, 'Pr
 register("warn_audit", f"WITH {_verdict} SELECT conv_id, turn, risk, {_cats.format(',')} AS categories, 'warn' AS reaction FROM hit", lambda spark, sf: cv.audit(pl.chats(spark, sf), cv.GuardOptions(on_detection="warn")))
 register("allowed_turns", f"WITH {_verdict}, c AS ({pl.chats_sql()}) SELECT conv_id, turn, role FROM c WHERE conv_id NOT IN (SELECT conv_id FROM hit)",
          lambda spark, sf: (lambda rows: cv.allowed(rows, cv.verdicts(rows)).select("conv_id", "turn", "role"))(pl.chats(spark, sf)))
-_system = HardenOptions()
-register("hardened_turns", f"SELECT conv_id, turn, role, CASE WHEN role = 'system' AND text <> '' THEN text || {quote(chr(10) + block(_system))} ELSE text END AS text FROM conversations",
+register("hardened_turns", f"SELECT conv_id, turn, role, CASE WHEN role = 'system' AND text <> '' THEN {sql.hardened('text')} ELSE text END AS text FROM conversations",
          lambda spark, sf: cv.hardened(read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")))
 _said = f"""SELECT c.conv_id, c.turn, c.text AS output, p.said AS prompt FROM ({pl.chats_sql()}) c LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS said FROM conversations WHERE role = 'system' GROUP BY conv_id) p ON c.conv_id = p.conv_id
 WHERE role = 'assistant' AND c.conv_id NOT IN (SELECT conv_id FROM (WITH {_verdict} SELECT conv_id FROM hit))"""
@@ -178,12 +195,12 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     """Response content and two tool calls' arguments for every document's prompt."""
     rows = pl.pairs(spark, sf).withColumnRenamed("doc_id", "conv_id")
     asked = rows.select("conv_id", F.col("prompt").alias("system_prompt"))
-    made = rows.select("conv_id", F.col("output").alias("content"), F.array(F.concat(F.lit('{"query": "'), F.substring("output", 1, 150), F.lit('"}')), F.lit("{}")).alias("tool_arguments"))
+    made = rows.select("conv_id", F.col("output").alias("content"), F.array(F.concat(F.lit('{"query": "'), F.col("output"), F.lit('"}')), F.lit("{}")).alias("tool_arguments"))
     out = cv.guarded_responses(made, asked)
     return out.select("conv_id", "content", "content_leaked", F.array_join("tool_arguments", "|").alias("arguments"), "arguments_leaked")
 
 
-_args = f"""SELECT doc_id, prompt, '{{"query": "' || substring(output, 1, 150) || '"}}' AS output FROM ({pl.PAIRS_SQL})"""
+_args = f"""SELECT doc_id, prompt, '{{"query": "' || output || '"}}' AS output FROM ({pl.PAIRS_SQL})"""
 register("guarded_responses", f"SELECT a.doc_id AS conv_id, a.sanitized AS content, a.leaked AS content_leaked, b.sanitized || '|{{}}' AS arguments, b.leaked AS arguments_leaked FROM ({_leak}SELECT * FROM leaks) a JOIN ({sql.leak(_args, 'doc_id, output')}SELECT * FROM leaks) b USING (doc_id)", responses)
 
 # streams
@@ -198,44 +215,145 @@ register("stream_sanitized", sql.leak(_piece, "doc_id, chunk_no, output") + "SEL
          lambda spark, sf: ch.sanitized_chunks(pl.pairs(spark, sf), "prompt", "output", 300).select("doc_id", "chunk_no", "leaked", F.col("output")))
 
 
-# leaks over whole texts: nothing is cut, and reference SQL would take too long; tests compare with a plain version
-def whole_leaks(spark: SparkSession, sf: str, options: LeakOptions | None = None) -> DataFrame:
-    return leaks(spark, sf, options, pl.whole_pairs)
+# the other APIs and modes
+_blocked = "SELECT conv_id, true AS blocked, 'Prompt injection detected (' || arg_min(risk, turn * 10 + part) || ' risk): ' || arg_min({cats}, turn * 10 + part) AS error, count(*) AS detected FROM ({found}) WHERE detected GROUP BY conv_id"
+
+
+def blocked_sql(source: str) -> str:
+    """Verdicts over ``source`` (conv_id, turn, part, text)."""
+    return _blocked.format(cats=_cats.format(", "), found=sql.detect(f"SELECT * FROM ({source}) WHERE text <> ''", "conv_id", extra=", turn, part"))
+
+
+_users = f"SELECT * FROM ({pl.PARTED_SQL}) WHERE role = 'user'"
+_joined = f"SELECT conv_id, turn, 0 AS part, CASE WHEN plain THEN text ELSE part1 || ' ' || part2 END AS text FROM ({_users})"
+_each = f"SELECT conv_id, turn, 0 AS part, part1 AS text FROM ({_users}) WHERE NOT plain UNION ALL SELECT conv_id, turn, 2, part2 FROM ({_users}) WHERE NOT plain"
+for _source in ("groq", "anthropic", "ai-sdk", "ai-sdk-auto"):
+    _name = "blocked_" + _source.replace("-", "_")
+    register(_name, blocked_sql(_each if _source == "ai-sdk-auto" else _joined), lambda spark, sf, o=cv.GuardOptions(source=_source): cv.verdicts(pl.parted(spark, sf), o))
+
+_first_system = "SELECT conv_id, arg_min({text}, turn) AS system_prompt FROM ({source}) WHERE role = 'system' GROUP BY conv_id HAVING arg_min({text}, turn) <> ''"
+register("prompt_anthropic", _first_system.format(text="part1 || ' ' || part2", source=pl.PARTED_SQL), lambda spark, sf: cv.prompts(pl.parted(spark, sf), cv.GuardOptions(source="anthropic")))
+register("prompt_ai_sdk_auto", _first_system.format(text=sql.hardened("text"), source=pl.chats_sql()), lambda spark, sf: cv.prompts(pl.chats(spark, sf), cv.GuardOptions(source="ai-sdk-auto", prompt_source="hardened")))
+
+
+def hardened_parts(spark: SparkSession, sf: str, source: str) -> DataFrame:
+    """Content after hardening: the string, and the parts' texts joined by bars."""
+    out = cv.hardened(pl.parted(spark, sf), cv.GuardOptions(source=source))
+    return out.select("conv_id", "turn", F.coalesce("text", F.lit("-")).alias("text"), F.coalesce(F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit("-"))), "|"), F.lit("-")).alias("parts"))
+
+
+_is = "CASE WHEN role = 'system' THEN {yes} WHEN plain THEN {plain} ELSE {no} END"
+_bars = "part1 || '|-|' || part2"
+register("hardened_anthropic", f"SELECT conv_id, turn, CASE WHEN plain THEN text ELSE '-' END AS text, CASE WHEN plain THEN '-' WHEN role = 'system' THEN {sql.hardened('part1')} || '|-|' || {sql.hardened('part2')} ELSE {_bars} END AS parts FROM ({pl.PARTED_SQL})", lambda spark, sf: hardened_parts(spark, sf, "anthropic"))
+_one = sql.hardened("part1 || ' ' || part2")
+register("hardened_ai_sdk", f"SELECT conv_id, turn, CASE WHEN role = 'system' THEN {_one} WHEN plain THEN text ELSE '-' END AS text, CASE WHEN plain OR role = 'system' THEN '-' ELSE {_bars} END AS parts FROM ({pl.PARTED_SQL})", lambda spark, sf: hardened_parts(spark, sf, "ai-sdk"))
+register("hardened_ai_sdk_auto", f"SELECT conv_id, turn, CASE WHEN role = 'system' THEN {sql.hardened('text')} ELSE text END AS text FROM ({pl.chats_sql()})", lambda spark, sf: cv.hardened(pl.chats(spark, sf), cv.GuardOptions(source="ai-sdk-auto")).select("conv_id", "turn", "text"))
+
+_leaks = f"({sql.leak(_said, 'conv_id, turn, output')}SELECT * FROM leaks)"
+register("leak_audit", f"SELECT conv_id, turn, round(confidence, 9) AS confidence, len(found) AS fragments, sanitized, 'redact' AS reaction FROM {_leaks} WHERE leaked",
+         lambda spark, sf: cv.leak_audit(pl.chats(spark, sf)).withColumn("confidence", F.round("confidence", 9)))
+register("thrown_outputs", f"SELECT conv_id, turn, leaked, CASE WHEN NOT leaked THEN sanitized END AS output, CASE WHEN leaked THEN {_message} END AS leak_message FROM {_leaks} UNION ALL SELECT conv_id, turn, false, output, NULL FROM ({_said}) WHERE prompt IS NULL",
+         lambda spark, sf: cv.guarded_outputs(pl.chats(spark, sf), cv.GuardOptions(throw_on_leak=True)).select("conv_id", "turn", "leaked", "output", "leak_message"))
+OFF = cv.GuardOptions(harden=False, detect=False, sanitize=False)
+
+
+def switched_off(spark: SparkSession, sf: str) -> DataFrame:
+    """With every stage off: hardened turns, and outputs of all conversations as they are."""
+    rows = pl.chats(spark, sf)
+    verdicts = cv.verdicts(rows, OFF).groupBy().agg(F.count("*").alias("verdicts"))
+    kept = cv.hardened(rows, OFF).select("conv_id", "turn", "role", "text").unionByName(cv.guarded_outputs(rows, OFF).select("conv_id", "turn", F.lit("output").alias("role"), F.col("output").alias("text")))
+    return kept.crossJoin(F.broadcast(verdicts))  # one row
+
+
+register("switched_off", f"WITH c AS ({pl.chats_sql()}) SELECT conv_id, turn, role, text, 0 AS verdicts FROM c UNION ALL SELECT conv_id, turn, 'output', text, 0 FROM c WHERE role = 'assistant'", switched_off)
+
+
+def own_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    """Outputs given by hand, some of which quote the prompt of the options."""
+    said = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit(pl.OWN_PROMPT + " "), F.col("text"))).otherwise(F.col("text"))
+    rows = pl.chats(spark, sf).withColumn("text", F.when(F.col("role") == "assistant", said).otherwise(F.col("text")))
+    out = cv.guarded_outputs(rows, cv.GuardOptions(source="ai-sdk", system_prompt=pl.OWN_PROMPT, on_detection="warn"))
+    return out.select("conv_id", "turn", "leaked", "output")
+
+
+_own = f"SELECT conv_id, turn, {quote(pl.OWN_PROMPT)} AS prompt, CASE WHEN conv_id % 2 = 0 THEN {quote(pl.OWN_PROMPT + ' ')} || text ELSE text END AS output FROM ({pl.chats_sql()}) WHERE role = 'assistant'"
+register("outputs_ai_sdk", sql.leak(_own, "conv_id, turn, output") + "SELECT conv_id, turn, leaked, sanitized AS output FROM leaks", own_prompt)
+_hard_said = f"""SELECT c.conv_id, c.turn, c.text AS output, p.said AS prompt FROM ({pl.chats_sql()}) c LEFT JOIN (SELECT conv_id, {sql.hardened('arg_min(text, turn)')} AS said FROM conversations WHERE role = 'system' GROUP BY conv_id) p ON c.conv_id = p.conv_id WHERE role = 'assistant'"""
+register("outputs_ai_sdk_auto", f"SELECT conv_id, turn, leaked, sanitized AS output FROM ({sql.leak(_hard_said, 'conv_id, turn, output')}SELECT * FROM leaks) UNION ALL SELECT conv_id, turn, false, output FROM ({_hard_said}) WHERE prompt IS NULL",
+         lambda spark, sf: cv.guarded_outputs(pl.chats(spark, sf), cv.GuardOptions(source="ai-sdk-auto", prompt_source="hardened", on_detection="warn")).select("conv_id", "turn", "leaked", "output"))
 
 
+def blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses of three blocks: a text, a tool's input of nested values, and another text that leaks nothing."""
+    rows = pl.pairs(spark, sf).withColumnRenamed("doc_id", "conv_id")
+    none = F.lit(None).cast("struct<query:string,items:array<struct<note:string,n:bigint>>>")
+    args = F.struct(F.concat(F.lit("find "), F.col("output")).alias("query"), F.array(F.struct(F.lit("fine").alias("note"), F.col("conv_id").alias("n"))).alias("items"))
+    block = lambda kind, text, given: F.struct(F.lit(kind).alias("type"), text.alias("text"), given.alias("input"))
+    made = rows.select("conv_id", F.array(block("text", F.col("output"), none), block("tool_use", F.lit(None).cast("string"), args), block("text", F.lit("fine"), none)).alias("content"))
+    out = cv.guarded_blocks(made, rows.select("conv_id", F.col("prompt").alias("system_prompt")))
+    c = F.col("content")
+    told = F.array_join(F.transform("reports", lambda r: r["message"]), "|")
+    return out.select("conv_id", F.size("content").alias("blocks"), c[0]["text"].alias("text"), c[1]["input"]["query"].alias("query"), c[1]["input"]["items"][0]["note"].alias("note"), c[1]["input"]["items"][0]["n"].alias("n"), c[2]["text"].alias("last"), told.alias("reports"))
+
+
+_found = f"SELECT doc_id, prompt, 'find ' || output AS output FROM ({pl.PAIRS_SQL})"
+register("guarded_blocks", f"""SELECT a.doc_id AS conv_id, 3 AS blocks, a.sanitized AS text, b.sanitized AS query, 'fine' AS note, a.doc_id AS n, 'fine' AS last, concat_ws('|', CASE WHEN a.leaked THEN a.message END, CASE WHEN b.leaked THEN 'System prompt leak detected (confidence: 100%, 0 fragments)' END) AS reports
+FROM ({_leak}SELECT *, {_message} AS message FROM leaks) a JOIN ({sql.leak(_found, 'doc_id, output')}SELECT * FROM leaks) b USING (doc_id)""", blocks)
+
+
+def events(spark: SparkSession, sf: str, source: str) -> DataFrame:
+    """Streamed events in the shape of an API, one for each turn: those of assistants hold text."""
+    rows, said = read(spark, sf, "conversations"), F.when(F.col("role") == "assistant", F.col("text"))
+    shapes = {
+        "openai": F.struct(F.array(F.struct(F.struct(said.alias("content")).alias("delta"))).alias("choices")),
+        "anthropic": F.struct(F.when(F.col("turn") % 2 == 0, "content_block_delta").otherwise("ping").alias("type"), F.struct(F.coalesce(said, F.lit("")).alias("text")).alias("delta")),
+        "ai-sdk": F.struct(F.when(F.col("turn") % 2 == 0, "text-delta").otherwise("finish").alias("type"), said.alias("textDelta")),
+    }
+    return rows.select("conv_id", "turn", delta_text(shapes[source], source).alias("delta")).filter("delta IS NOT NULL")
+
+
+for _source, _where in (("openai", ""), ("anthropic", " AND turn % 2 = 0 AND text <> ''"), ("ai-sdk", " AND turn % 2 = 0")):
+    register("deltas_" + _source.replace("-", "_"), f"SELECT conv_id, turn, text AS delta FROM conversations WHERE role = 'assistant'{_where}", lambda spark, sf, k=_source: events(spark, sf, k))
+_spoken = "SELECT conv_id AS stream_id, turn AS seq, text AS delta FROM conversations"
+
+
+def deltas(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("delta"))
+
+
+register("stream_passed", f"SELECT stream_id, seq, delta AS piece FROM ({_spoken}) WHERE delta <> ''", lambda spark, sf: ch.passed(deltas(spark, sf)))
+register("stream_report", f"SELECT doc_id, count(*) AS leaks, 'System prompt leak detected (confidence: 100%, 0 fragments)' AS leak_message FROM ({sql.leak(_piece, 'doc_id, chunk_no, output')}SELECT * FROM leaks) WHERE leaked GROUP BY doc_id",
+         lambda spark, sf: ch.chunk_report(ch.sanitized_chunks(pl.pairs(spark, sf), "prompt", "output", 300), "doc_id"))
+# a stream of the AI SDK is buffered whatever mode is asked for, and given out in pieces
+register("stream_ai_sdk", "SELECT conv_id AS stream_id, k::INT AS piece_no, substring(text, k * 64 + 1, 64) AS piece FROM (SELECT conv_id, text, unnest(range(0, (length(text) + 63) // 64)) AS k FROM (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations WHERE role = 'assistant' AND turn % 2 = 0 GROUP BY conv_id))",
+         lambda spark, sf: ch.chunk_string(ch.buffered(events(spark, sf, "ai-sdk").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), "delta"))).select("stream_id", "piece_no", "piece"))
+register("error_codes", f"""SELECT conv_id, 'INJECTION_DETECTED' AS code, error AS message FROM (WITH {_verdict} SELECT conv_id, 'Prompt injection detected (' || arg_min(risk, turn) || ' risk): ' || arg_min({_cats.format(', ')}, turn) AS error FROM hit GROUP BY conv_id)
+UNION ALL SELECT conv_id, 'LEAK_DETECTED', {_message} FROM {_leaks} WHERE leaked""", lambda spark, sf: codes(spark, sf))
+
+
+def codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Code and message of the error of each blocked conversation and of each leaking output."""
+    rows = pl.chats(spark, sf)
+    hit = cv.screened(rows).filter("detection.detected")
+    error = injection_error(F.col("detection.risk"), dt.categories(F.col("detection")))
+    found = hit.groupBy("conv_id").agg(F.min_by(error, "turn").alias("error"))
+    leaked = cv.leak_audit(rows).select("conv_id", leak_error(F.col("confidence"), F.col("fragments")).alias("error"))
+    return found.unionByName(leaked).select("conv_id", "error.code", "error.message")
+
+
+# leaks in nested values and under other names: the same work over the same whole texts
 def whole_objects(spark: SparkSession, sf: str) -> DataFrame:
     """Whole outputs in structs, arrays and maps of one object."""
     o = F.col("output")
     args = F.struct(o.alias("query"), F.array(F.struct(o.alias("note"), F.col("doc_id").alias("number"))).alias("notes"), F.create_map(F.lit("key"), F.array(o, F.lit("fine"))).alias("named"))
-    rows = sanitize_object(pl.whole_pairs(spark, sf).select("doc_id", "prompt", args.alias("args")), "args", "prompt")
+    rows = sanitize_object(pl.pairs(spark, sf).select("doc_id", "prompt", args.alias("args")), "args", "prompt")
     return rows.select("doc_id", "had_leak", F.col("args.query").alias("query"), F.col("args.notes")[0]["note"].alias("note"), F.array_join(F.element_at("args.named", "key"), "|").alias("named"))
 
 
-def whole_responses(spark: SparkSession, sf: str) -> DataFrame:
-    rows = pl.whole_pairs(spark, sf).withColumnRenamed("doc_id", "conv_id")
-    asked = rows.select("conv_id", F.col("prompt").alias("system_prompt"))
-    made = rows.select("conv_id", F.col("output").alias("content"), F.array(F.concat(F.lit('{"query": "'), F.col("output"), F.lit('"}')), F.lit("{}")).alias("tool_arguments"))
-    out = cv.guarded_responses(made, asked)
-    return out.select("conv_id", "content", "content_leaked", F.array_join("tool_arguments", "|").alias("arguments"), "arguments_leaked")
-
-
-def whole_content(spark: SparkSession, sf: str) -> DataFrame:
-    part = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
-    parts = F.array(part("text", F.col("role")), part("image", F.col("text")), part("text", F.lit(None).cast("string")), part("text", F.col("text")))
-    return read(spark, sf, "conversations").select("conv_id", "turn", parts_text(parts).alias("content"))
-
-
-register("whole_leak_decision", None, lambda spark, sf: whole_leaks(spark, sf).select("doc_id", "leak.leaked", F.round("leak.confidence", 9).alias("confidence"), F.array_join("leak.fragments", "|").alias("fragments")))
-register("whole_redact", None, lambda spark, sf: whole_leaks(spark, sf).select("doc_id", "leak.leaked", "leak.sanitized"))
-register("whole_redact_custom", None, lambda spark, sf: whole_leaks(spark, sf, CUSTOM).select("doc_id", "leak.leaked", "leak.sanitized"))
-register("whole_redact_detect_only", None, lambda spark, sf: whole_leaks(spark, sf, LeakOptions(detect_only=True)).select("doc_id", "leak.leaked", "leak.sanitized"))
-register("whole_set_overlaps", None, lambda spark, sf: set_sizes(spark, sf, pl.whole_pairs))
-register("whole_fragments", None, lambda spark, sf: all_fragments(spark, sf, pl.whole_pairs))
-register("whole_error_messages", None, lambda spark, sf: error_messages(spark, sf, pl.whole_pairs))
-register("whole_sanitize_object", None, whole_objects)
-register("whole_guarded_responses", None, whole_responses)
-register("whole_content_text", None, whole_content)
-register("whole_stream_sanitized", None, lambda spark, sf: ch.sanitized_chunks(pl.whole_pairs(spark, sf), "prompt", "output", 300).select("doc_id", "chunk_no", "leaked", F.col("output")))
+register("whole_sanitize_object", _leak + "SELECT doc_id, leaked AS had_leak, sanitized AS query, sanitized AS note, sanitized || '|fine' AS named FROM leaks", whole_objects)
+register("whole_redact", _leak + "SELECT doc_id, leaked, sanitized FROM leaks", lambda spark, sf: leaks(spark, sf).select("doc_id", "leak.leaked", "leak.sanitized"))
+for _name in ("leak_decision", "redact_custom", "redact_detect_only", "set_overlaps", "fragments", "error_messages", "guarded_responses", "content_text", "stream_sanitized"):
+    register("whole_" + _name, ORACLES[_name], QUERIES[_name])
 
 
 def queries() -> dict:

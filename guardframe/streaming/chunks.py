@@ -1,7 +1,8 @@
 """Streams of text deltas: buffered, chunked with overlap, or passed through.
 
 The batch forms are closed expressions.  The Structured Streaming form keeps what is not yet given out
-in the state store, ends a stream at its ``is_end`` row, and drops forgotten streams after a timeout.
+in the state store, ends a stream at its ``is_end`` row, and gives out the rest of forgotten streams after
+a timeout, marked so.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from guardframe.functions.errors import leak_error
 from guardframe.functions.leak import LeakOptions, leak_columns
 
 EMIT = 64
@@ -50,43 +52,66 @@ def sanitized_chunks(df: DataFrame, prompt_col: str, text_col: str = "text", siz
     return rows.withColumns({"leaked": F.col("_gf_leak")["leaked"], "output": output}).drop("_gf_leak")
 
 
+def passed(deltas: DataFrame) -> DataFrame:
+    """Deltas with text as they are: stream_id, seq, piece.  Nothing is held or sanitized; batch or streaming."""
+    return deltas.filter("delta IS NOT NULL AND delta <> ''").select("stream_id", "seq", F.col("delta").alias("piece"))
+
+
+def chunk_report(chunks: DataFrame, key: str = "stream_id") -> DataFrame:
+    """key, leaks, leak_message of each stream with a leaking chunk (rows with ``leaked``).
+
+    Chunks are given out before it is known whether a later one leaks, so the error stands at the end of the
+    stream and tells neither confidence nor fragments: 1 and 0.
+    """
+    hit = chunks.groupBy(key).agg(F.count_if("leaked").alias("leaks")).filter("leaks > 0")
+    return hit.select(key, "leaks", leak_error(F.lit(1.0), F.lit(0))["message"].alias("leak_message"))
+
+
 def stream_chunks(deltas: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, timeout_ms: int = FOREVER_MS) -> DataFrame:
-    """The streaming form of ``chunked``: deltas (stream_id, seq, delta, is_end) to stream_id, chunk_no, chunk.
+    """The streaming form of ``chunked``: deltas (stream_id, seq, delta, is_end) to stream_id, chunk_no, chunk, timed_out.
 
-    Deltas of a stream must arrive in order of seq over micro-batches; within one they are sorted.
-    ``size`` 0 buffers until the end of the stream.
+    Deltas of a stream must arrive in order of seq over micro-batches, else the query fails; within one
+    they are sorted.  ``size`` 0 buffers until the end of the stream.  What a stream without an end still holds
+    after the timeout is given out with ``timed_out`` true; what comes later begins a stream anew.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, tail, number, last = state.get if state.exists else ("", "", 0, None)
+        out: list[tuple] = []
         if state.hasTimedOut:
             state.remove()
+            if held:
+                yield pd.DataFrame([(key[0], number, tail + held, True)], columns=names)
             return
-        held, tail, number = state.get if state.exists else ("", "", 0)
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        if last is not None and int(rows["seq"].iloc[0]) < last:
+            raise ValueError(f"stream {key[0]}: seq {rows['seq'].iloc[0]} comes after {last}")
         held += "".join(rows["delta"].dropna())
-        out = []
         while size and len(held) >= size:
             piece, held = tail + held[:size], held[size:]
             tail = piece[len(piece) - overlap :] if overlap else ""
-            out.append((key[0], number, piece))
+            out.append((key[0], number, piece, False))
             number += 1
         if bool(rows["is_end"].fillna(False).any()):
             if held:
-                out.append((key[0], number, tail + held))
+                out.append((key[0], number, tail + held, False))
             state.remove()
         else:
-            state.update((held, tail, number))
+            state.update((held, tail, number, int(rows["seq"].iloc[-1])))
             state.setTimeoutDuration(timeout_ms)
         if out:
-            yield pd.DataFrame(out, columns=["stream_id", "chunk_no", "chunk"])
+            yield pd.DataFrame(out, columns=names)
 
+    names = ["stream_id", "chunk_no", "chunk", "timed_out"]
     kind = dict(deltas.dtypes)["stream_id"]
-    return deltas.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, chunk_no int, chunk string", "held string, tail string, number int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return deltas.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, chunk_no int, chunk string, timed_out boolean", "held string, tail string, number int, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def sanitized_stream(deltas: DataFrame, prompts: DataFrame, size: int = CHUNK, options: LeakOptions | None = None) -> DataFrame:
     """Streamed chunks, each sanitized against its stream's prompt (stream_id, system_prompt)."""
-    both = stream_chunks(deltas, size).join(prompts, "stream_id", "left")
+    # a projection between: rows that come from Python can't be shuffled or joined as they are (Spark 4.1)
+    made = stream_chunks(deltas, size).withColumn("chunk", F.concat("chunk", F.lit("")))
+    both = made.join(prompts, "stream_id", "left")
     rows = leak_columns(both, "chunk", "system_prompt", options, "_gf_leak")
     leak = F.col("_gf_leak")
-    return rows.select("stream_id", "chunk_no", leak["leaked"].alias("leaked"), F.when(leak["leaked"], leak["sanitized"]).otherwise(F.col("chunk")).alias("output"))
+    return rows.select("stream_id", "chunk_no", leak["leaked"].alias("leaked"), F.when(leak["leaked"], leak["sanitized"]).otherwise(F.col("chunk")).alias("output"), "timed_out")

@@ -39,7 +39,7 @@ def leak(output, prompt, size=4, threshold=0.7, w=0.25, text="[REDACTED]"):
 
 
 def test_whole_leaks(spark, sf):
-    pairs = {r.doc_id: (r.output, r.prompt) for r in planted.whole_pairs(spark, sf).collect()}
+    pairs = {r.doc_id: (r.output, r.prompt) for r in planted.pairs(spark, sf).collect()}
     docs = {r.doc_id: r.text for r in planted.documents(spark, sf).collect()}
     said = {r.text for r in spark.read.parquet(f"{sf}/conversations.parquet").filter("role = 'system'").collect()}
     assert set(pairs) == set(docs) and {p for _, p in pairs.values()} <= said
