@@ -142,3 +142,27 @@ def substrings(rows, length=100):
         spans = sum(1 for i, h in enumerate(hit) if h and (i == 0 or not hit[i - 1]))
         out[doc] = (len(raw), sum(hit), spans, sha(bytes(b for b, h in zip(raw, hit, strict=True) if not h)))
     return out
+
+
+def hit_words(text, items, length=10):
+    """The number of words of a text and the numbers of those within a window of an item."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    key = id(items)
+    if key not in WINDOWS:
+        WINDOWS[key] = {tuple(w[i : i + length]) for _, t in items for w in [split(t)] for i in range(max(len(w) - length + 1, min(len(w), 1)))}
+    w, windows = split(text), WINDOWS[key]
+    return len(w), {i + k for n in {len(x) for x in windows} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for k in range(n)}
+
+
+WINDOWS = {}
+
+
+def without_words(text, places):
+    """The text without runs of the given words and what stands between the words of a run."""
+    out, at, last = "", 0, None
+    for k, m in enumerate(re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")):
+        if k in places:
+            if last != k - 1:
+                out += text[at : m.start()]
+            at, last = m.end(), k
+    return out + (text or "")[at:] if places else text

@@ -4,8 +4,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from guardframe.llm import decontaminate, jaccard, quality, queries, toxicity
+from guardframe.llm import decontaminate, jaccard, quality, queries, toxicity, words
 from guardframe.llm.common import table
 from tests.llm import brute
 
@@ -45,6 +47,65 @@ def test_jaccard_groups(spark):
     assert jaccard.link(frame.filter("false")).count() == 0
 
 
+def thue(n, first="a"):
+    """Thue-Morse words: pairs of them have equal polynomials modulo any power of two."""
+    text, other = first, "b" if first == "a" else "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans(first + other, other + first))
+    return text
+
+
+def test_colliding_words(spark):
+    """Words and lines that collide modulo 2**64 whatever the base is."""
+    rows = []
+    for n in (1024, 4096):
+        x, y = thue(n), thue(n, "b")
+        rows += [(10 * n + i, t) for i, t in enumerate((f"one {x} two", f"one {y} two", f"{x}\n{y}\n{x}", " ".join([x, y] * 12), " ".join([y, x] * 12), " ".join([x] * 30)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(frame).collect()} == brute.jaccard(rows)
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.judge(frame, None).collect()}
+    assert got == {i: brute.statistics(t) for i, t in rows}
+
+
+def test_exact_where_hashes_collide(monkeypatch):
+    """Counts stay right if all hashes are equal."""
+    monkeypatch.setattr(words.Ranges, "__call__", lambda self, start, end: np.zeros(len(start), np.uint64))
+    monkeypatch.setattr(words, "sequences", lambda words, start, count, size: np.zeros(len(start), np.uint64))
+    texts = ["ab cd\nab ce\nab cd\n", "a b c d e f g h " * 2 + "x y", "a b c d e f g h i j k l"]
+    counts = quality.count_block(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert tuple(counts[c][i] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute.statistics(t)
+
+
+def test_jaccard_templates(spark):
+    """Short texts from one template, none similar enough, and some true pairs between them."""
+    rnd = random.Random(8)
+    rows = [(i, f"thank you for your order it will be sent soon number {i} to box {rnd.randrange(10**6)} x{i} y{i}") for i in range(20_000)]
+    base = "thank you for your order it will be sent soon number 7 " + " ".join(f"z{i}" for i in range(40))
+    rows += [(50_000, base), (50_001, base + " more"), (50_002, base + " less of it")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in jaccard.link(frame).collect()}
+    assert got == {i: 50_000 if i >= 50_000 else i for i, _ in rows}
+
+
+def test_rarest_shingles(spark, monkeypatch):
+    """The last round alone finds all links too."""
+    monkeypatch.setattr(jaccard, "CENTRES", (1, 1))
+    rnd = random.Random(4)
+    rows, doc = [], 0
+    for size in (14, 40, 120):
+        for _ in range(6):
+            base = [f"w{rnd.randrange(30)}" for _ in range(size)]
+            for _ in range(12):
+                w = list(base)
+                for _ in range(rnd.randrange(size // 12 + 2)):
+                    w[rnd.randrange(size)] = f"x{rnd.randrange(10**6)}"
+                rows.append((doc, " ".join(w)))
+                doc += 1
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(frame).collect()} == brute.jaccard(rows)
+
+
 def test_parity_bound():
     rnd = np.random.default_rng(1)
     for _ in range(200):
@@ -68,6 +129,17 @@ def test_quality(spark, sf):
         assert r.base_failed == (n < 20 or 100 * rep > 30 * n) and not (r.base_failed and r.kept)
 
 
+def test_quality_held_out(spark):
+    """Verdicts on labels that the trees didn't see; the base rule may reject what a label calls good."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").filter("quality IS NOT NULL")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 1
+    judged = quality.judge(docs, quality.fit(docs, labels.filter(~held))).join(labels.filter(held).select("doc_id", "quality"), "doc_id")
+    rows = [(r.quality, r.kept) for r in judged.filter("NOT base_failed").select("quality", "kept").collect()]
+    hit = sum(bool(q) and k for q, k in rows)
+    assert len(rows) > 300 and hit / sum(q for q, _ in rows) >= 0.9 and hit / sum(k for _, k in rows) >= 0.9
+
+
 def test_quality_edges(spark):
     rows = [*ODD, (1, "a\na\n\n\na \n" * 30), (1, "a\na\n\n\na \n" * 30), (None, "x")]
     frame = spark.createDataFrame([(a, b, 1, "k", 0.5) for a, b in rows], SCHEMA)
@@ -99,13 +171,18 @@ def test_toxicity(spark):
     hit = sum(y and p for y, p in held)
     recall, precision = hit / sum(y for y, _ in held), hit / max(1, sum(p for _, p in held))
     print("held out", len(held), "recall", recall, "precision", precision)
-    assert recall > 0.8 and precision > 0.85
+    assert recall >= 0.9 and precision >= 0.9
 
 
 def test_toxicity_edges(spark):
     assert toxicity.fold("An 1D10T, аnd Stüpid!! l⁠oser @ss $cum") == " an idiot and stüpid loser ass scum "
     lexicon = toxicity.Lexicon({" idiot": 4.0, " scu": 3.0}, frozenset({" scuba "}), -3.0, 2.0, 1.0)
     assert lexicon.score("you 1diots") > 0.9 and lexicon.score("a scuba dive") < 0.1 and lexicon.score(None) == lexicon.score("")
+    phrase = toxicity.Lexicon({" trash ": 4.0, " scu": 3.0}, frozenset({" trash can ", " scuba "}), -3.0, 2.0, 1.0)
+    assert phrase.score("the trash can is full") < 0.1 and phrase.score("you trash can go") < 0.1 and phrase.score("you are trash, can go trash") > 0.9
+    said = [(i, f"put it in the trash can number w{i}") for i in range(30)] + [(100 + i, f"you are trash w{i} and more trash") for i in range(30)]
+    learned = toxicity.learn(spark.createDataFrame(said, "doc_id long, text string"), spark.createDataFrame([(i, int(i >= 100)) for i, _ in said], "doc_id long, toxic int"))
+    assert learned.score("so it is in the trash can") < 0.3 < learned.score("trash, all of you are trash")
     frame = spark.createDataFrame([(a, b, 1, "k", 0.5) for a, b in ODD], SCHEMA)
     none = toxicity.learn(frame, spark.createDataFrame([(1, 1, None)], "doc_id long, quality int, toxic int"))
     scored, name = toxicity.score(frame, none)
@@ -126,12 +203,35 @@ def test_decontaminate_edges(spark):
     docs = [(i, say(rnd.randrange(60))) for i in range(150)] + ODD
     frame = spark.createDataFrame([(a, b, 1, "k", 0.5) for a, b in docs], SCHEMA)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for size in (1 << 20, 300):  # one automaton, several
-        got = {r[0]: tuple(r)[1:] for r in decontaminate.report(*decontaminate.find(frame, bench, shard_bytes=size)).collect()}
+    for size in (1 << 20, 60):  # one automaton, several and items in pieces
+        got = {r[0]: tuple(r)[1:] for r in decontaminate.report(*decontaminate.find(frame, bench, shard_words=size)).collect()}
         assert got == brute.decontaminate(docs, items)
     assert decontaminate.find(frame.filter("false"), bench)[0].count() == 0
     assert not any(r.contaminated for r in decontaminate.report(*decontaminate.find(frame, bench.filter("false"))).collect())
     item = "one two three four five six seven eight nine ten"
-    frame = spark.createDataFrame([(1, f"Start, {item.upper()}! " + "end " * 30), (2, item), (3, "clean")], "doc_id long, text string")
-    kept = {r.doc_id: r.text for r in decontaminate.clean(*decontaminate.find(frame, spark.createDataFrame([(1, item)], "item_id long, text string"))).collect()}
-    assert kept == {1: "Start, ! " + "end " * 30, 3: "clean"}
+    frame = spark.createDataFrame([(1, f"Start, {item.upper()}! " + "end " * 30), (2, item), (3, "clean"), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = {r.doc_id: r.text for r in decontaminate.clean(frame, bench).collect()}
+    assert kept == {1: "Start, ! " + "end " * 30, 3: "clean", 4: None}
+    # an item without an id hits as well, but isn't listed; repeated items count once
+    odd = spark.createDataFrame([(None, item), (5, item + " more"), (5, item + " more")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.report(*decontaminate.find(frame, odd)).collect()}
+    assert got[1].n_hit == 10 and got[1].n_items == 1 and got[1].items_sha256 == brute.sha("5") and got[2].contaminated
+    got = {r.doc_id: r for r in decontaminate.report(*decontaminate.find(frame, odd.filter("item_id IS NULL"))).collect()}
+    assert got[2].n_hit == 10 and got[2].n_items == 0 and got[2].contaminated
+
+
+def test_decontaminate_long_runs(spark):
+    """Runs of known words that are streamed in pieces."""
+    rnd = random.Random(9)
+    vocab = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rnd.choices(vocab, k=60))) for i in range(20)] + [(90, "w1 w2 w3 w4")]
+    docs = []
+    for d in range(30):
+        w = rnd.choices(vocab, k=rnd.randrange(900, 1100))
+        for at in (250, 256, 505, 700):
+            w[at : at + 12] = items[rnd.randrange(20)][1].split()[7:19]
+        docs.append((d, " ".join(w)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in decontaminate.report(*decontaminate.find(frame, spark.createDataFrame(items, "item_id long, text string"))).collect()}
+    assert got == brute.decontaminate(docs, items)
