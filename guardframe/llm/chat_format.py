@@ -8,8 +8,8 @@ only a turn does.  Control strings and the escape character inside texts are esc
 back gives the texts unchanged.
 
 Defined cases: a null text or role is the empty string; turns sort by (turn, role, text), nulls
-first, so ties and repeated rows are all kept in a stable order; a null conversation id is a
-conversation of its own; turn orders that the machine doesn't allow are formatted all the same and
+first, so ties and repeated rows are all kept in a stable order; all rows with a null conversation id are
+one conversation, which one task streams; turn orders that the machine doesn't allow are formatted all the same and
 counted in ``n_violations``; an empty table gives no rows; other columns are ignored.
 """
 

@@ -20,7 +20,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(table(spark, sf_dir, "pages"))
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
 def op9_token_id_output(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -1,13 +1,15 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns find candidates in every whole text.  The hash of each candidate's value is counted over
-the corpus by distinct repositories and owners: values that many owners hold are copied examples,
-values of few owners are live-looking credentials.  The base kinds (assign, access, hex) are always
+the corpus by distinct repositories and owners, first the repositories of each owner, then the owners.
+Values that more than ``OWNERS`` owners hold are copied examples, and so are values of at least two owners
+in more than ``REPOS`` repositories; what one owner holds, in however many repositories, or few hold in few
+places, is a live-looking credential.  Where no column names the repository, equal texts are one.  The base kinds (assign, access, hex) are always
 reported; spans of the further kinds are added only where their value is owner-specific, and may
 reach over a base span that holds a part of them.
 
 Defined cases: a null text is empty and has no spans; a null repository or owner counts as one
-owner of its own name ''; repeated rows and null ids are rows like others (the work goes by an
+of its own name ''; repeated rows and null ids are rows like others (the work goes by an
 internal row key); an empty table gives no rows; other columns are ignored.
 """
 
@@ -22,7 +24,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from guardframe.llm.common import free_name, map_arrow, materialize
+from guardframe.llm.common import blocks, free_name, map_arrow, materialize
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -38,6 +40,8 @@ MORE = [
 RANDOM = re.compile(r"[A-Za-z0-9+/_-]{24,}")
 KINDS = ("assign", "access", "hex", *(k for k, _, _ in MORE), "random")
 OWNERS = 2
+REPOS = 10
+BLOCK_BYTES = 4 << 20
 SPAN = "struct<kind:string,start:int,end:int,hash:string,base:boolean>"
 
 
@@ -101,30 +105,32 @@ def joined(spans: str, only_base: bool = False) -> Column:
     return F.expr(f"array_join({text}, ',')")
 
 
-def scan(df: DataFrame, text_col: str = "text", repo_col: str = "source", owner_col: str = "source", owners: int = OWNERS, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of each row plus ``spans`` and ``shared`` (values that many owners hold).
+def scan(df: DataFrame, text_col: str = "text", repo_col: str | None = None, owner_col: str = "source", owners: int = OWNERS, repos: int = REPOS, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of each row plus ``spans`` and ``shared`` (hashes of values that are copied examples).
 
     Each span has kind, start, end (code points, end exclusive), hash and base.
     """
     keep = keep or ["doc_id"]
     # inner names, none of which is a kept column's
     text_in, repo, owner, held, row, span, digest, wide_in, shared_in = (free_name(keep, f"_gf_{n}") for n in ("text", "repo", "owner", "spans", "row", "span", "hash", "wide", "shared"))
-    named = lambda col, name: F.coalesce(F.col(col).cast("string"), F.lit("")).alias(name)
+    named = lambda col, name: (F.coalesce(F.col(col).cast("string"), F.lit("")) if col else F.lit("")).alias(name)
     work = df.select(*keep, F.col(text_col).alias(text_in), named(repo_col, repo), named(owner_col, owner))
     out = T.StructType([f for f in work.schema if f.name != text_in] + [T.StructField(held, T.ArrayType(T.StructType.fromDDL("kind string, start int, end int, hash string, base boolean")))])
 
     def find_all(batch: pa.RecordBatch):
-        spans = []
-        for text in batch.column(text_in).to_pylist():
-            got = find(text) if text else []
-            spans.append([{"kind": k, "start": a, "end": b, "hash": hashlib.sha256(v.encode()).hexdigest(), "base": base} for k, a, b, v, base in got])
-        yield {n: batch.column(n) for n in out.names if n != held} | {held: spans}
+        for part in blocks(batch, text_in, BLOCK_BYTES):
+            spans, repo_of = [], part.column(repo).to_pylist()
+            for i, scalar in enumerate(part.column(text_in)):
+                text = scalar.as_py() or ""
+                got = find(text)
+                spans.append([{"kind": k, "start": a, "end": b, "hash": hashlib.sha256(v.encode()).hexdigest(), "base": base} for k, a, b, v, base in got])
+                if got and not repo_col:
+                    repo_of[i] = hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
+            yield {n: part.column(n) for n in out.names if n != held} | {held: spans, repo: repo_of}
 
     rows = materialize(map_arrow(work, find_all, out).withColumn(row, F.monotonically_increasing_id()), "candidates")
     each = rows.filter(F.size(held) > 0).select(row, repo, owner, F.explode(held).alias(span)).withColumn(digest, F.col(span)["hash"])
-    pairs = each.groupBy(digest, repo, owner).agg(F.count("*"))
-    spread = pairs.groupBy(digest).agg(F.countDistinct(owner).alias("owners"), F.countDistinct(repo).alias("repos"))
-    wide = materialize(spread.filter((F.col("owners") > owners) | (F.col("repos") > owners)).select(digest), "shared")
+    wide = materialize(spread(each.select(digest, repo, owner), digest, repo, owner).filter((F.col("owners") > owners) | (F.col("owners") > 1) & (F.col("repos") > repos)).select(digest), "shared")
     marked = each.join(wide.withColumn(wide_in, F.lit(True)), digest, "left")
     hit = marked.filter(wide_in).groupBy(row).agg(F.collect_set(digest).alias(shared_in))
     both = rows.join(hit, row, "left").withColumn(shared_in, F.coalesce(shared_in, F.array().cast("array<string>")))
@@ -132,6 +138,16 @@ def scan(df: DataFrame, text_col: str = "text", repo_col: str = "source", owner_
     return both.select(*keep, spans.alias("spans"), F.col(shared_in).alias("shared"))
 
 
+def spread(found: DataFrame, digest: str, repo: str, owner: str) -> DataFrame:
+    """The hash, ``owners`` and ``repos`` (repositories, those of each owner for themselves) of every value.
+
+    Each step is dealt by more than the value before the next counts its rows, so a very common value is
+    a row for each owner at most when it meets in one task.
+    """
+    places = found.groupBy(digest, owner, repo).agg(F.lit(1).alias("one"))
+    return places.groupBy(digest, owner).agg(F.count("*").alias("n")).groupBy(digest).agg(F.count("*").alias("owners"), F.sum("n").alias("repos"))
+
+
 def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The counts and digests of the base spans and the text of all spans."""
     n = lambda kind: F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as bigint)")

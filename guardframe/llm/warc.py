@@ -209,7 +209,22 @@ def read_archives(manifest: DataFrame, folder: str, tasks: int | None = None) ->
     return listed.mapInArrow(run, RECORDS)
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """``records`` with revisits verified: the response they refer to has been read with that payload.
+
+    A revisit whose response isn't there or has other content fails the query.
+    """
+    asked = records.filter("refers_to IS NOT NULL").select(F.col("refers_to").alias("page_id"), "payload_digest", "payload_bytes").distinct()
+    there = records.filter("record_type = 'response'").join(asked, ["page_id", "payload_digest", "payload_bytes"], "left_semi").distinct()
+    there = there.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes", F.lit(True).alias("_gf_there")).distinct()
+    both = records.join(there, ["refers_to", "payload_digest", "payload_bytes"], "left")
+    wrong = F.raise_error(F.concat(F.lit("no response for the revisit "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
+    verified = F.when((F.col("record_type") == "revisit") & F.col("_gf_there").isNull(), wrong.cast("boolean")).otherwise(F.lit(True))
+    return both.select(*(verified.alias(c) if c == "verified" else F.col(c) for c in records.columns))
+
+
 def round_trip(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
-    """Write a record for every page, then read the archives back."""
+    """Write a record for every page, then read the archives back and resolve the revisits."""
     folder = new_path(pages.sparkSession, "warc")
-    return read_archives(write_archives(with_first(pages, min_revisit=min_revisit), folder), folder)
+    read = read_archives(write_archives(with_first(pages, min_revisit=min_revisit), folder), folder)
+    return resolved(materialize(read, "records"))

@@ -27,7 +27,7 @@ def test_chat_edges(spark):
 
 def test_warc(spark, sf):
     rows = [tuple(r) for r in table(spark, sf, "pages").select("page_id", "html").collect()]
-    got = {r.page_id: tuple(r)[1:] for r in queries.op2_warc(spark, sf).collect()}
+    got = {r.page_id: tuple(r)[1:5] for r in queries.op2_warc(spark, sf).collect()}
     assert got == brute.warc(rows)
 
 
@@ -39,6 +39,11 @@ def test_warc_edges(spark):
     big = {r.page_id: r.record_type for r in warc.round_trip(pages, min_revisit=1).collect()}
     assert big[5] == big[3] == "response" and big[9] == "revisit"
     assert warc.round_trip(pages.filter("false")).count() == 0
+    bare = warc.round_trip(pages.select("page_id", "html")).collect()
+    assert {r.page_id: r.record_type for r in bare} == {r.page_id: r.record_type for r in got} and all(r.verified for r in [*got, *bare])
+    read = spark.createDataFrame(got, warc.RECORDS)
+    with pytest.raises(Exception, match="no response for the revisit"):
+        warc.resolved(read.filter("record_type = 'revisit'")).collect()
     import io
 
     bad = warc.record(1, "u", b"abc", None)
@@ -96,6 +101,31 @@ def test_secret_edges(spark):
     assert secrets.scan(docs.filter("false")).count() == 0
 
 
+def test_ownership(spark):
+    """Which values are copied examples, by a plain count of repositories and owners."""
+    import random
+
+    rnd = random.Random(3)
+    keys = ["Zk39dLqPw0Ahs7Tn2XcVb8" + f"{i:02}" + "Q" for i in range(12)]
+    rows = []
+    for i, key in enumerate(keys):
+        for _ in range(rnd.choice([1, 4, 30])):
+            rows.append((len(rows), f"{'so ' * rnd.randrange(25)}see {key} here", rnd.choice(["a", "b", None, "c", "d"][: 1 + i % 5]), f"r{rnd.randrange(1 + 2 * i)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    for repo_col in (None, "repo"):
+        places = {}
+        for _, text, owner, repo in rows:
+            key = next(k for k in keys if k in text)
+            places.setdefault(key, set()).add((owner or "", repo if repo_col else text))
+        shared = {k for k, p in places.items() if len({o for o, _ in p}) > 2 or len({o for o, _ in p}) == 2 and len(p) > 10}
+        assert 0 < len(shared) < len(keys)
+        got = {r.doc_id: bool(r.shared) for r in secrets.scan(docs, repo_col=repo_col).collect()}
+        assert got == {d: any(k in text for k in shared) for d, text, _, _ in rows}
+    two = [(i, f"{'so ' * i}see {keys[0]}", "ab"[i % 2]) for i in range(12)] + [(20 + i, f"{'so ' * i}see {keys[1]}", "a") for i in range(12)]  # two owners; one
+    got = {r.doc_id: bool(r.shared) for r in secrets.scan(spark.createDataFrame(two, "doc_id long, text string, source string")).collect()}
+    assert all(got[i] for i in range(12)) and not any(got[20 + i] for i in range(12))
+
+
 def test_secret_kinds_whole():
     """Tokens without an underscore, long and empty logins, and keys that a base span holds a part of."""
     kinds = lambda text: [(k, text[a:b]) for k, a, b, _, _ in secrets.find(text)]
