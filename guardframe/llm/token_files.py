@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from guardframe.llm.common import blocks, give_back, kept_by, new_path, only_for
+from guardframe.llm.common import blocks, bound_batches, give_back, kept_by, new_path, only_for
 
 END = 0
 LATIN = "\u0250"
@@ -189,6 +189,8 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ordered = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
+    bound_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_for(__name__)
         part, start, library = TaskContext.get().partitionId(), 0, encoder(tokenizer)

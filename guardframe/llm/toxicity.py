@@ -3,8 +3,9 @@
 Texts are folded first: small letters, compatibility forms and look-alike letters of other scripts
 to Latin ones, digits and signs inside words to the letters they stand for.  The lexicon consists of
 word beginnings and whole words.  It is learned, with its weights, from a bounded sample of labelled
-rows (``SAMPLE``): log odds of a document being toxic.  Words that begin like a lexicon entry but are
-as common in clean documents are exception phrases: an entry inside one doesn't count.  The summed
+rows (``SAMPLE``): log odds of a document being toxic.  Words that begin like a lexicon entry, and pairs of
+words with one of them, that are as common in clean documents are exception phrases: an entry inside one
+doesn't count.  The summed
 weights are normalised by the number of words and calibrated to a probability.
 
 Defined cases: null and empty texts score as a text without any match; without labelled rows of both
@@ -22,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from guardframe.llm.common import free_name, map_arrow
+from guardframe.llm.common import blocks, free_name, map_arrow
 from guardframe.llm.quality import sample_of
 
 SAMPLE = 12_000
 LEAST, MOST = 3, 8  # letters of a word's beginning
 ENTRIES = 300
+EXCEPTION = 5
+BLOCK_BYTES = 4 << 20
 CUTOFF = 0.3
 #: Letters of other scripts that look like Latin ones, and what digits and signs stand for.
 ALIKE = str.maketrans("аеорсхуіјѕԁһӏνοαρτυкмтвнɑɡⅼ", "aeopcxyijsdhlvoaptukmtbhagl")
@@ -86,19 +89,19 @@ class Lexicon:
         return {k: v for k, v in self.__dict__.items() if k != "machine"}
 
     def sums(self, folded: str) -> float:
-        """The weights of matches; of those that begin at one place the heaviest, none in an exception."""
+        """The weights of matches; of those that begin at one place the heaviest, none within an exception."""
         if self.machine is None:
             self.build()
         if not len(self.machine):
             return 0.0
-        best: dict[int, float | None] = {}
+        best: dict[int, float] = {}
+        free: list[tuple[int, int]] = []
         for end, (n, w) in self.machine.iter(folded):
-            at = end - n
-            if w is None or (at in best and best[at] is None):
-                best[at] = None
+            if w is None:
+                free.append((end - n + 1, end))
             else:
-                best[at] = max(best.get(at, 0.0), w)
-        return sum(w for w in best.values() if w)
+                best[end - n + 1] = max(best.get(end - n + 1, 0.0), w)
+        return sum(w for at, w in best.items() if not any(a <= at < b for a, b in free))
 
     def score(self, text: str | None) -> float:
         folded = fold(text) if text else "  "
@@ -162,22 +165,66 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", limit: int =
         kin = [weights[f[:n]] for n in range(LEAST + 1, len(f)) if f[:n] in weights]
         if len(weights) < ENTRIES and all(r["odds"] > w + 0.5 for w in kin) and not any(k.startswith(f) and weights[k] >= r["odds"] for k in weights):
             weights[f] = float(r["odds"])
-    lexicon = Lexicon(weights, frozenset()).build()
-    exact = {w for w in weights if w.endswith(" ")}
-    rows = [(fold(t or ""), y != 0) for t, y in ((r["_gf_text"], r["_gf_y"]) for r in sample.toLocalIterator())]
+    lexicon = Lexicon(weights, find_exceptions(sample, weights, bad, good))
+    x, y = measured(sample, lexicon)
     sample.unpersist()
-    seen: dict[str, list[int]] = {}
-    for folded, y in rows:
-        for w in {f" {w} " for w in folded.split()} if weights else ():
-            if w not in exact and any(w[:n] in weights for n in range(LEAST + 1, len(w))):
-                seen.setdefault(w, [0, 0])[y] += 1
-    lexicon.exceptions = frozenset(w for w, (clean, toxic) in seen.items() if clean >= 5 and np.log((toxic + 0.5) / (bad + 1)) - np.log((clean + 0.5) / (good + 1)) < 0)
-    lexicon.build()
-    x = inputs(np.array([lexicon.sums(f) for f, _ in rows]), np.array([f.count(" ") - 1 for f, _ in rows]))
-    lexicon.bias, lexicon.by_share, lexicon.by_sum = map(float, logistic(x, np.array([y for _, y in rows], float)))
+    lexicon.bias, lexicon.by_share, lexicon.by_sum = map(float, logistic(x, y))
     return lexicon
 
 
+def phrases(folded: str, weights: dict) -> set[str]:
+    """Words that an entry matches the beginning of, each alone and with the word before and after it."""
+    words, out = folded.split(), set()
+    for i, w in enumerate(words):
+        held = f" {w} "
+        if held in weights:
+            single = False  # an entry itself is no exception, phrases with it may be
+        elif any(held[:n] in weights for n in range(LEAST + 1, len(held))):
+            single = True
+        else:
+            continue
+        out |= {held} if single else set()
+        out |= {f" {words[i - 1]} {w} "} if i else set()
+        out |= {f" {w} {words[i + 1]} "} if i + 1 < len(words) else set()
+    return out
+
+
+def find_exceptions(sample: DataFrame, weights: dict, bad: int, good: int) -> frozenset:
+    """Phrases of at least ``EXCEPTION`` clean documents that tell of a clean one; the sample bounds them."""
+    schema = T.StructType.fromDDL("phrase string, toxic long, clean long")
+
+    def run(batch: pa.RecordBatch):
+        counts: list[Counter] = [Counter(), Counter()]
+        for text, y in zip(batch.column("_gf_text"), batch.column("_gf_y").to_pylist(), strict=True):
+            counts[y != 0].update(phrases(fold(text.as_py() or ""), weights))
+        keys = list(counts[0].keys() | counts[1].keys())
+        yield {"phrase": keys, "toxic": [counts[1][k] for k in keys], "clean": [counts[0][k] for k in keys]}
+
+    if not weights:
+        return frozenset()
+    counted = map_arrow(sample, run, schema).groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    odds = F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
+    found = {r["phrase"] for r in counted.filter((F.col("clean") >= EXCEPTION) & (odds < 0)).collect()}
+    return frozenset(p for p in found if p.count(" ") == 2 or not {f" {w} " for w in p.split()} & found)
+
+
+def measured(sample: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """What is calibrated and the label, of each row of the sample; only these numbers leave the tasks."""
+
+    def run(batch: pa.RecordBatch):
+        sums, words = [], []
+        for text in batch.column("_gf_text"):
+            folded = fold(text.as_py() or "")
+            sums.append(lexicon.sums(folded))
+            words.append(folded.count(" ") - 1)
+        x = inputs(np.array(sums), np.array(words))
+        yield {"share": x[:, 0], "size": x[:, 1], "y": [float(y != 0) for y in batch.column("_gf_y").to_pylist()]}
+
+    rows = map_arrow(sample, run, T.StructType.fromDDL("share double, size double, y double")).toPandas()
+    rows = rows.sort_values(["y", "share", "size"])  # the same sums whatever order rows come in
+    return rows[["share", "size"]].to_numpy(), rows["y"].to_numpy()
+
+
 def score(df: DataFrame, lexicon: Lexicon, text_col: str = "text") -> tuple[DataFrame, str]:
     """``df`` with one more column of scores, whose name is returned."""
     columns = df.columns
@@ -185,8 +232,12 @@ def score(df: DataFrame, lexicon: Lexicon, text_col: str = "text") -> tuple[Data
     sent = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batch: pa.RecordBatch):
-        made = [fold(t) if t else "  " for t in batch.column(text_col).to_pylist()]
-        sums = np.array([sent.value.sums(f) for f in made])
-        yield {c: batch.column(c) for c in columns} | {name: sent.value.probability(sums, np.array([f.count(" ") - 1 for f in made]))}
+        for part in blocks(batch, text_col, BLOCK_BYTES):
+            sums, words = [], []
+            for text in part.column(text_col):
+                folded = fold(text.as_py() or "")
+                sums.append(sent.value.sums(folded))
+                words.append(folded.count(" ") - 1)
+            yield {c: part.column(c) for c in columns} | {name: sent.value.probability(np.array(sums), np.array(words))}
 
     return map_arrow(df, run, T.StructType([*df.schema, T.StructField(name, T.DoubleType())])), name
