@@ -12,8 +12,9 @@ they are relaxed from left to right:
 
 Characters that no piece covers become byte pieces, or the unknown id if the model has none.
 
-Defined cases: null and empty texts have no ids; any Unicode text is decoded to what it was (models
-with byte pieces and identity normalisation); repeated rows and null ids are rows like others; an
+Defined cases: null and empty texts have no ids; any Unicode text is decoded to what it was, but that the
+space mark itself (U+2581) comes back as a space (models with byte pieces); a model that normalises texts
+in another way than by its space mark is refused; repeated rows and null ids are rows like others; an
 empty table gives no rows; other columns are ignored unless asked for.
 """
 
@@ -22,20 +23,22 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections import Counter
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from guardframe.llm.common import blocks, free_name, kept_by, map_arrow
 
 SPACE = "▁"
-MEMO = 200_000
-INDEXED = 100_000  # characters indexed at once
+MEMO_BYTES = 80 << 20
+PART_BYTES = 220  # of a part, its ids and their place in the table
+INDEXED = 120_000  # characters indexed at once
 BATCH = 1 << 20
+BORDER = "\x1f"
 MARKS = ".,;:!?|*%&$#"
 NEVER = 1 << 40
 
@@ -54,7 +57,7 @@ class Model:
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(n) if lib.is_byte(i)}
         self.unknown = lib.unk_id()
         self.ids = {self.text[i]: i for i in self.plain}
-        self.longest = max(len(self.text[i]) for i in self.plain)
+        self.depth = -(-max(len(self.text[i]) for i in self.plain) // 4) * 4  # of the suffix array, in whole words
         alphabet = sorted({c for i in self.plain for c in self.text[i]})
         if not all(c in self.ids for c in alphabet):
             raise ValueError("a character of a piece is no piece by itself")
@@ -65,18 +68,18 @@ class Model:
         self.spaces_lead = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in long)
         self.lines_alone = not any("\n" in p for p in long)
         crossed = {b for p in long for a, b in zip(p, p[1:], strict=False) if a != SPACE and a not in MARKS}
-        self.cut = cutter("".join(m for m in MARKS if m not in crossed), self.lines_alone)
-        self.merges = self._merges()
+        marks = "".join(m for m in MARKS if m not in crossed)
+        self.cut = cutter(marks, self.lines_alone)
+        self.simple = self.spaces_lead and self.lines_alone and not marks
+        self.merges = trained_as(lib) == "bpe"
         if self.merges:
             self._order()
-        self.queries = self._keys([self.text[i] for i in self.plain])
+        low = self._keys([self.text[i] for i in self.plain])
+        high = np.ascontiguousarray(np.where(low == 0, 0xFFFF, low).astype(">u2"))
+        self.low, self.high = (x.view(f"S{2 * self.depth}").ravel() for x in (low, high))  # the range of what begins with a piece
+        self.sizes = np.array([len(self.text[i]) for i in self.plain])
         self.cache_key, self.cache = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
 
-    def _merges(self) -> bool:
-        """Whether the library merges (BPE): scores are then ranks, counted downwards."""
-        s = self.score[[i for i in self.plain if len(self.text[i]) > 1]]
-        return bool(len(s)) and bool((s == np.round(s)).all()) and 100 * len(set(s.tolist())) >= 99 * len(s)
-
     def _order(self) -> None:
         """Rank of each piece, what each consists of when merged, and the pairs that merge."""
         self.rank = np.full(len(self.text), NEVER, np.int64)
@@ -162,17 +165,68 @@ class Model:
 
     def _keys(self, texts: list[str]) -> np.ndarray:
         """Symbols of each text as big-endian bytes, which compare as the texts do."""
-        out = np.zeros((len(texts), self.longest), ">u2")
+        out = np.zeros((len(texts), self.depth), ">u2")
         for k, t in enumerate(texts):
             out[k, : len(t)] = self.symbol[[ord(c) for c in t]]
         return out
 
-    def parts(self, text: str) -> list[str]:
-        """The normalised text, cut where no piece can cross."""
-        text = SPACE + text.replace(" ", SPACE)
-        if not self.spaces_lead:
-            return [text]
-        return self.cut.findall(text)
+    def parts(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The normalised texts, cut where no piece can cross, and the place of each one's first part (and the end).
+
+        Texts with single spaces only are cut by Arrow, at spaces and line ends; others by a pattern.
+        """
+        column = pa.array(texts, pa.large_string())
+        if self.simple and not np.asarray(pc.match_substring_regex(column, f"  |^ |{BORDER}|{SPACE}")).any():
+            marked = pc.replace_substring(pc.replace_substring(column, " ", BORDER + SPACE), "\n", f"{BORDER}\n{BORDER}")
+            cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), marked, pa.scalar("", pa.large_string())), BORDER)
+            lists = pc.if_else(pc.equal(column, ""), pa.scalar([], cut.type), cut) if "" in texts else cut
+            return lists.flatten(), np.asarray(lists.offsets, np.int64)
+        lists = []
+        for text in texts:
+            text = SPACE + text.replace(" ", SPACE) if text else ""
+            lists.append((self.cut.findall(text) if self.spaces_lead else [text]) if text else [])
+        return pa.array(list(chain.from_iterable(lists)), pa.large_string()), np.cumsum([0, *map(len, lists)])
+
+
+def trained_as(library) -> str:
+    """``bpe`` or ``unigram``, as the model file says; anything but identity normalisation is refused.
+
+    Reads the two parts of the file's message that tell it: trainer_spec (2) and normalizer_spec (3).
+    """
+    spec = {n: v for n, v in fields(library.serialized_model_proto()) if n in (2, 3)}
+    kind = {1: "unigram", 2: "bpe"}.get(next((v for n, v in fields(spec.get(2, b"")) if n == 3), 1))
+    rules = dict(fields(spec.get(3, b"")))
+    changed = rules.get(2) or rules.get(1, b"identity") not in (b"identity", b"")  # a map of characters; its name
+    if changed or not rules.get(3, 1) or rules.get(4, 1) or not rules.get(5, 1):  # a space in front, extra spaces, the space mark
+        raise ValueError("the model normalises texts in another way than by its space mark")
+    if kind is None:
+        raise ValueError("the model is neither of the BPE nor of the unigram kind")
+    return kind
+
+
+def fields(message: bytes):
+    """(number, value) of the fields of a serialized message: numbers and bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(message):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            yield key >> 3, message[at : at + size]
+            at += size
 
 
 def cutter(marks: str, lines: bool) -> re.Pattern:
@@ -216,23 +270,20 @@ def lattice(model: Model, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
     symbols = symbols.copy()
     symbols[begin[1:] - 1] = 0
-    depth = model.longest
+    depth = model.depth
     padded = np.concatenate([symbols, np.zeros(depth, np.uint16)]).astype(">u2")
     windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, depth)[: len(symbols)])
     keys = windows.view(f"S{2 * depth}").ravel()
     suffixes = sort_windows(windows)  # the suffix array, as deep as the longest piece
     ordered = keys[suffixes]
-    low = np.ascontiguousarray(model.queries)
-    high = np.where(low == 0, 0xFFFF, low).astype(">u2")
-    first = np.searchsorted(ordered, low.view(f"S{2 * depth}").ravel(), "left")
-    last = np.searchsorted(ordered, np.ascontiguousarray(high).view(f"S{2 * depth}").ravel(), "right")
+    first = np.searchsorted(ordered, model.low, "left")
+    last = np.searchsorted(ordered, model.high, "right")
     count = last - first
     hit = np.flatnonzero(count)
     piece = np.repeat(np.asarray(model.plain)[hit], count[hit])
     place = np.arange(len(piece)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit]) + np.repeat(first[hit], count[hit])
     start = suffixes[place]
-    size = np.fromiter((len(model.text[i]) for i in model.plain), np.int64, len(model.plain))
-    end = start + np.repeat(size[hit], count[hit])
+    end = start + np.repeat(model.sizes[hit], count[hit])
     covered = np.zeros(len(symbols), bool)
     covered[start[end == start + 1]] = True
     bare = np.flatnonzero(~covered & (symbols != 0))  # characters that are no piece by themselves
@@ -241,8 +292,11 @@ def lattice(model: Model, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, piece, begin
 
 
-def relax(model: Model, parts: list[str]) -> list[np.ndarray]:
-    """The ids of each part (-2 for a character without a piece)."""
+def relax(model: Model, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all parts, and the place of each one's first (and the end).
+
+    A character without a piece gives -2 less its place in the joined parts.
+    """
     start, end, piece, begin = lattice(model, parts)
     total = int(begin[-1])
     origin = np.zeros(total + 1, np.int64)  # start of the part that a place belongs to
@@ -285,53 +339,70 @@ def relax(model: Model, parts: list[str]) -> list[np.ndarray]:
         now[live] = came[here]
         live = live[now[live] > ends[live]]
     if not walked:
-        return [np.empty(0, np.int64) for _ in parts]
+        return np.empty(0, np.int64), np.zeros(len(parts) + 1, np.int64)
     ids, places, who = np.concatenate([w[0] for w in walked]), np.concatenate([w[1] for w in walked]), np.concatenate(who)
     order = np.argsort(places)
     ids, places, who = ids[order], places[order], who[order]
     out = np.where(ids == -2, -2 - places, ids)  # where a bare character stands
-    cuts = np.searchsorted(who, np.arange(len(parts) + 1)).tolist()
-    return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out, np.searchsorted(who, np.arange(len(parts) + 1))
 
 
 class Codec:
-    def __init__(self, path: str, memo: int = MEMO):
-        self.model, self.limit, self.memo = Model(path), memo, {}
-
-    def learn(self, parts: list[str]) -> None:
-        model, begin = self.model, 0
-        for part, ids in zip(parts, relax(model, parts), strict=True):
-            made = ids.tolist()
-            if made and min(made) < 0:
-                whole, made = made, []
-                for i in whole:
-                    if i >= 0:
-                        made.append(i)
-                    elif model.bytes:
-                        made += [model.bytes[b] for b in part[-2 - i - begin].encode("utf-8")]
-                    else:
-                        made.append(model.unknown)
-            self.memo[part] = struct.pack(f"<{len(made)}i", *made)
-            begin += len(part) + 1
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut = [self.model.parts(t) if t else [] for t in texts]
-        new = list(set(chain.from_iterable(cut)).difference(self.memo))
-        at = 0
-        while at < len(new):
-            size, to = 0, at
-            while to < len(new) and size < INDEXED:
-                size += len(new[to]) + 1
-                to += 1
-            self.learn(new[at:to])
-            at = to
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, parts)) for parts in cut]
-        if len(self.memo) > self.limit:  # what came twice just now stays
-            self.memo = {p: self.memo[p] for p, n in Counter(chain.from_iterable(cut)).items() if n > 1}
+    """Texts to ids and back, with a memo of two generations that go by turns."""
+
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
+        self.model, self.limit, self.memo, self.old = Model(path), memo_bytes // 2, {}, {}
+
+    def learn(self, parts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of parts, indexed some at a time."""
+        if not parts:
+            return []
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // INDEXED, prepend=-1)).tolist()
+        return [x for a, b in zip(cuts, [*cuts[1:], len(parts)], strict=True) for x in self._learn(parts[a:b], sizes[a:b])]
+
+    def _learn(self, parts: list[str], sizes: np.ndarray) -> list[bytes]:
+        model = self.model
+        ids, cuts = relax(model, parts)
+        raw, at = ids.astype("<i4").tobytes(), (4 * cuts).tolist()
+        out = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        begin = np.cumsum(sizes) - sizes
+        for i in np.unique(np.searchsorted(cuts, np.flatnonzero(ids < 0), side="right") - 1).tolist():
+            made: list[int] = []
+            for k in ids[cuts[i] : cuts[i + 1]].tolist():
+                if k >= 0:
+                    made.append(k)
+                elif model.bytes:
+                    made += [model.bytes[b] for b in parts[i][-2 - k - int(begin[i])].encode("utf-8")]
+                else:
+                    made.append(model.unknown)
+            out[i] = struct.pack(f"<{len(made)}i", *made)
         return out
 
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the place of each one's first (and the end)."""
+        flat, at = self.model.parts([t or "" for t in texts])
+        coded = flat.dictionary_encode()
+        known, order = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
+        memo, old = self.memo, self.old
+        table, new = list(map(memo.get, known)), []
+        for i, held in enumerate(table):
+            if held is None:
+                ids = old.get(known[i])
+                if ids is None:
+                    new.append(i)
+                else:
+                    table[i] = memo[known[i]] = ids
+        for i, ids in zip(new, self.learn([known[i] for i in new]), strict=True):
+            table[i] = memo[known[i]] = ids
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        first, count = np.cumsum(size) - size, size[order]
+        stop = np.cumsum(count)
+        ids = np.frombuffer(b"".join(table), "<i4")[np.repeat(first[order] - stop + count, count) + np.arange(count.sum())]
+        if len(memo) * PART_BYTES > self.limit:
+            self.memo, self.old = {}, memo
+        return ids, np.concatenate([[0], stop])[at]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces as UTF-8, the leading space mark dropped."""
         model, out, held = self.model, [], bytearray()
@@ -380,9 +451,8 @@ def encode(df: DataFrame, model: str, text_col: str = "text", keep: list[str] |
 
     def run(batch: pa.RecordBatch):
         for part in blocks(batch, "_gf_text", BATCH):
-            made = codec(model).encode(part.column("_gf_text").to_pylist())
-            at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in made])]).astype(np.int32)
-            yield {c: part.column(c) for c in keep} | {name: pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(made), "<i4")))}
+            ids, at = codec(model).encode(part.column("_gf_text").to_pylist())
+            yield {c: part.column(c) for c in keep} | {name: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))}
 
     return map_arrow(work, run, schema), name
 

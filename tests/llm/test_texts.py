@@ -1,11 +1,15 @@
 """Suffix-array dedup and SentencePiece against plain versions."""
 
+import math
 import random
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import sentencepiece
 
 from guardframe.llm import pieces, queries, substrings
@@ -37,6 +41,32 @@ def test_anchors_beyond_the_low_bits(monkeypatch):
     assert max(map(len, chosen.values())) == 4 and all(len(set(x)) == 1 for x in chosen.values())
 
 
+def test_very_long_text(spark):
+    """One text of over 2**24 bytes that repeats a passage there."""
+    rnd = np.random.default_rng(6)
+    raw = bytearray(rnd.integers(97, 123, 17_600_000, dtype=np.uint8).tobytes())
+    raw[17_500_000:17_500_400] = raw[17_000_000:17_000_400]
+    raw[17_000_399 + 1], raw[17_500_400] = 65, 66  # the repeat ends there, and begins here
+    raw[16_999_999], raw[17_499_999] = 65, 66
+    text = raw.decode()
+    frame = spark.createDataFrame([(1, text), (2, text[100:260])], "doc_id long, text string")
+    got = {r.doc_id: r for r in substrings.report(substrings.repeated(frame)).collect()}
+    assert (got[1].n_removed, got[1].n_spans, got[1].kept_sha256) == (400, 1, brute.sha(bytes(raw[:17_500_000] + raw[17_500_400:])))
+    assert (got[2].n_removed, got[2].n_spans) == (160, 1)
+
+
+def test_common_anchors(spark, monkeypatch):
+    """Anchors dealt by context give the same result, also where every one is."""
+    monkeypatch.setattr(substrings, "PART", 1)
+    monkeypatch.setattr(substrings, "CROWD", 3)
+    line = "a very common line that stands in all the texts of this little corpus "
+    rnd = random.Random(7)
+    rows = [(i, f"{rnd.random()} {line * (1 + i % 3)}{rnd.choice(['x', 'yy', line])} {rnd.random()}" * (1 + i % 2)) for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert len(substrings.common_anchors(frame.withColumnRenamed("doc_id", "key"))) > 0
+    assert {r[0]: tuple(r)[1:] for r in substrings.report(substrings.repeated(frame)).collect()} == brute.substrings(rows)
+
+
 def made(seed):
     rnd = random.Random(seed)
     say = lambda n: "".join(rnd.choice(["ab", "é", "the ", "\n", "x😀"]) for _ in range(n))
@@ -80,6 +110,56 @@ def test_sentencepiece(spark, sf):
         assert (r.text_chars, r.text_crc32) == (len(texts[r.doc_id]), zlib.crc32(texts[r.doc_id].encode()))
 
 
+def message(*fields):
+    """A serialized message of (number, value)."""
+    out = b""
+
+    def number(x):
+        parts = b""
+        while x > 127:
+            parts, x = parts + bytes([x & 127 | 128]), x >> 7
+        return parts + bytes([x])
+
+    for n, v in fields:
+        if isinstance(v, int):
+            out += number(n << 3) + number(v)
+        elif isinstance(v, float):
+            out += number(n << 3 | 5) + struct.pack("<f", v)
+        else:
+            out += number(n << 3 | 2) + number(len(v)) + v
+    return out
+
+
+def written_model(texts, kind=1, rules=b"identity", pieces_of=900):
+    """A model file written by hand: the commonest parts of words with the logarithm of their counts."""
+    counts = Counter("▁" + w[i:j] if not i else w[i - 1 : j - 1] for t in texts for w in t.split() for i in range(len(w) + 1) for j in range(i + 1, min(len(w) + 1, i + 6) + 1))
+    known = sorted({c for p in counts for c in p}) + [p for p, _ in counts.most_common(pieces_of) if len(p) > 1]
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", -20.0, 6) for b in range(256)), *((p, math.log(counts[p] + 1) - 15 - i / 1000, 1) for i, p in enumerate(known))]
+    body = message(*((1, message((1, p.encode()), (2, score), (3, t))) for p, score, t in rows))
+    return body + message((2, message((3, kind), (35, 1))), (3, message((1, rules), (3, 1), (4, 0), (5, 1))))
+
+
+def test_unigram(spark, sf, tmp_path):
+    """For a unigram model no path has a better sum of scores, and ids decode to the text."""
+    texts = [t for _, t in documents(spark, sf)][:120] + [None, "", "a  b\n 😀", "unbroken" * 4000]
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as out:
+        out.write(written_model([t for t in texts[:80] if t]))
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    codec = pieces.Codec(path)
+    assert pieces.trained_as(lib) == "unigram" and not codec.model.merges
+    ids, at = codec.encode(texts)
+    worth = lambda x: sum(lib.get_score(i) for i in x)
+    for k, text in enumerate(texts):
+        got, want = ids[at[k] : at[k + 1]].tolist(), lib.encode(text or "")
+        assert abs(worth(got) - worth(want)) <= 1e-3 * (1 + abs(worth(want)) / 1000) and lib.decode(got) == lib.decode(want)
+    for kind, rules in ((3, b"identity"), (1, b"nmt_nfkc")):
+        with open(path, "wb") as out:
+            out.write(written_model(["some words"], kind, rules))
+        with pytest.raises(ValueError):
+            pieces.trained_as(sentencepiece.SentencePieceProcessor(model_file=path))
+
+
 def test_sentencepiece_edges(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -90,6 +170,10 @@ def test_sentencepiece_edges(spark):
     encoded, name = pieces.encode(frame, path)
     assert {r.doc_id: r[name] for r in encoded.collect()} == {i: lib.encode(t or "") for i, t in enumerate(texts)}
     assert {r.doc_id: r.text_crc32 for r in pieces.summary(encoded, name, path).collect()} == {i: zlib.crc32((t or "").encode()) for i, t in enumerate(texts)}
+    marks = spark.createDataFrame([(1, "a▁b"), (2, " ▁ x")], "doc_id long, text string")  # the mark itself comes back as a space
+    encoded, name = pieces.encode(marks, path)
+    assert {r.doc_id: r[name] for r in encoded.collect()} == {1: lib.encode("a▁b"), 2: lib.encode(" ▁ x")}
+    assert [r.text_crc32 for r in pieces.summary(encoded, name, path).orderBy("doc_id").collect()] == [zlib.crc32(b"a b"), zlib.crc32(b"   x")]
     codec = pieces.codec(path)
     assert codec.decode(lib.encode("a  é\x00")) == "a  é\x00"
     assert pieces.encode(frame.filter("false"), path)[0].count() == 0
