@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -63,12 +64,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame | None) -> None:
-    """Remove work tables that ``materialize`` stored, once nothing that is still to be read depends on them."""
-    for t in tables:
-        if path := getattr(t, "work_path", None):
-            jvm = t.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    """Remove work tables that ``materialize`` stored, once nothing that is still to be read depends on them.
+
+    Shuffle files go when the driver's JVM collects the plans that made them; it is asked to here, else the
+    files of many short jobs stay for half an hour.
+    """
+    stored = [t for t in tables if getattr(t, "work_path", None)]
+    for t in stored:
+        jvm = t.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(t.work_path)
+        where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if stored:
+        gc.collect()
+        jvm.System.gc()
 
 
 def free_name(taken: list[str], wish: str) -> str:
@@ -146,11 +154,11 @@ def blocks(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
         yield batch.slice(start)
 
 
-def few(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Marked for broadcast if a count shows at most ``most`` rows; else joined by shuffle."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(ids) if ids.count() <= most else ids
+def few(rows: DataFrame, most: int = 1_000_000, weight: Column | None = None) -> DataFrame:
+    """Marked for broadcast if there are at most ``most`` rows, of a sum of ``weight`` of at most that too if
+    it is given; else joined by shuffle."""
+    sizes = rows.agg(F.count("*").alias("n"), F.sum(weight if weight is not None else F.lit(0)).alias("w")).first()
+    return F.broadcast(rows) if max(sizes["n"], sizes["w"] or 0) <= most else rows
 
 
 def row_key(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
@@ -159,8 +167,6 @@ def row_key(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     That is the id itself where a count shows so; else the rows are stored with numbers of their own,
     which follow the ids (nulls first).
     """
-    from pyspark.sql import functions as F
-
     sizes = df.agg(F.count("*").alias("n"), F.count(id_col).alias("ids")).first()
     if sizes["n"] == sizes["ids"] == df.select(id_col).distinct().count():
         return df, id_col

@@ -286,7 +286,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     classes = materialize(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
     buckets = materialize(shared_buckets(classes), "buckets")
     facts = classes.select("cls", "n", "sketch")
-    roots = edges = known = tried = sets = None
+    roots = known = tried = sets = None
     stored: list[DataFrame] = []
 
     def rooted(rows: DataFrame) -> DataFrame:
@@ -296,7 +296,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
 
     def work(marked: DataFrame) -> None:
         """Check the candidates of a round and bring links and components up to date."""
-        nonlocal roots, edges, known, tried, sets
+        nonlocal roots, known, tried, sets
         pairs = candidates(marked, percent, apart=tried is not None)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -312,8 +312,8 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
         known = new.select("cls") if known is None else known.union(new.select("cls"))
         found = materialize(verify(pairs, sets, percent), "links")
         stored.append(found)
-        edges = found if edges is None else edges.union(found)
-        roots = components(edges)
+        known_links = None if roots is None else roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(found if known_links is None else known_links.union(found))
 
     rows = rooted(buckets)
     for turn, centres in enumerate(CENTRES):
