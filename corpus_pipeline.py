@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from guardframe.llm import decontaminate, jaccard, pieces, secrets, toxicity
-from guardframe.llm.common import few, free_name, map_arrow, materialize, row_key, table
+from guardframe.llm.common import discard, few, free_name, map_arrow, materialize, row_key, table
 
 SHINGLE, PERCENT = 5, 80  # near copies of the corpus: five words, similarity 0.8
 BLANK = "[SECRET]"
@@ -39,15 +39,16 @@ def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without benchmark passages; documents that mostly consist of them go."""
-    return with_sizes(decontaminate.clean(*decontaminate.find(docs, table(spark, sf_dir, "benchmark"))))
+    return with_sizes(decontaminate.clean(docs, table(spark, sf_dir, "benchmark")))
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With secrets blanked: all of the base kinds, and live-looking ones of the others."""
     keyed, key = row_key(docs, "doc_id")
     held = free_name(keyed.columns, "_gf_spans")
-    found = materialize(secrets.scan(keyed, keep=[key]).filter(F.size("spans") > 0).select(key, F.col("spans").alias(held)), "secrets")
-    both = keyed.join(few(found, 100_000), key, "left")
+    places = F.transform("spans", lambda s: F.struct(s["start"], s["end"]))
+    found = materialize(secrets.scan(keyed, keep=[key]).filter(F.size("spans") > 0).select(key, places.alias(held)), "secrets")
+    both = keyed.join(few(found, 500_000, F.size(held)), key, "left")  # 8 bytes for each span
     columns = docs.columns
 
     def blank(batch: pa.RecordBatch):
@@ -83,5 +84,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)  # the stage's result is stored
     return STAGES[-1][1](spark, docs, sf_dir)
