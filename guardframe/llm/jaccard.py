@@ -40,7 +40,8 @@ FOLD = 8  # 64-bit words of the folded sketch
 GROWTH = 1.25  # of the sizes in a band
 SPARE = 1.5  # chunks for each that is needed
 CENTRES = (4, 64)  # centres of a bucket in each round, before that by rarest shingles
-RARITY = 1 << 20  # cells of the histogram by which shingles are rare or common: 8 MB
+RARITY = 1 << 16  # cells of the histogram by which shingles are rare or common: 512 kB
+REDUCERS = 16
 SALT = np.uint64(0x632BE59BD9B4E019)
 LONGS = T.ArrayType(T.LongType())
 SETS = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n", "s1", "s2")), T.StructField("sketch", LONGS), T.StructField("keys", LONGS)])
@@ -209,14 +210,24 @@ def rare_keys(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size
     """
     texts = class_texts(df, wanted, id_col, text_col)
 
-    def count(batch: pa.RecordBatch):
-        for sets in sets_of(batch, size):
-            cell, n = np.unique((np.concatenate(sets) % np.uint64(RARITY)).astype(np.int64), return_counts=True)
-            yield {"cell": cell, "n": n}
+    def count(batches):
+        total = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for sets in sets_of(batch, size) if batch.num_rows else ():
+                total += np.bincount((np.concatenate(sets) % np.uint64(RARITY)).astype(np.int64), minlength=RARITY)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["cells"])
+
+    def add(batches):
+        total = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for cells in batch.column("cells"):
+                total += np.frombuffer(cells.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["cells"])
 
-    cells = map_arrow(texts, count, T.StructType.fromDDL("cell long, n long")).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    histogram = np.zeros(RARITY, np.int64)
-    histogram[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
+    # a histogram of each task, of all that REDUCERS tasks add up, and of all
+    sums = texts.mapInArrow(count, "cells binary").repartition(REDUCERS).mapInArrow(add, "cells binary").collect()
+    histogram = np.sum([np.frombuffer(r["cells"], np.int64) for r in sums], axis=0)
     sent = df.sparkSession.sparkContext.broadcast(histogram)
 
     def keys(batch: pa.RecordBatch):
