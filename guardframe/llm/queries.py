@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from guardframe.llm import chat_format, decontaminate, jaccard, pieces, quality, secrets, substrings, token_files, toxicity, warc
+from guardframe.llm import chat_format, decontaminate, exact, jaccard, merkle, pieces, quality, ranked, secrets, substrings, token_files, toxicity, warc
 from guardframe.llm.common import materialize, table
 
 #: A conversation that quotes the template's own control strings.
@@ -60,3 +60,20 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(substrings.repeated(table(spark, sf_dir, "documents")))
+
+
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's checksum 7 divides claim a leaf with one more character."""
+    columns, more = ["doc_id", "source", "lang", "n_chars", "text"], F.col("n_chars") + 1
+    altered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & more.isNotNull()
+    claimed = F.when(altered, merkle.leaf([more if c == "n_chars" else F.col(c) for c in columns]))
+    made = merkle.build(table(spark, sf_dir, "documents"), columns, claimed=claimed)
+    return merkle.verified(merkle.proofs(made, ["claimed"]), made.root)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.mark(table(spark, sf_dir, "documents"), keep="largest")
