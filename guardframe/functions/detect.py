@@ -9,9 +9,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from guardframe.functions import catalog
-from guardframe.functions.jsregex import required_any, translate
+from guardframe.functions.jsregex import beyond_ascii, required_sets, translate
+from guardframe.functions.literals import Found, telling
 from guardframe.functions.normalize import Normalization, steps
-from guardframe.functions.text import settled, tokens, utf16_prefix
+from guardframe.functions.text import ascii_only, inner, settled, text_sql, tokens, utf16_prefix
 
 SCAN_LIMIT = 8192
 INPUT_LIMIT = 1024 * 1024
@@ -55,22 +56,29 @@ def low_risk_gate(text: Column) -> Column:
     return prefilter(text) | (token_bag(text) >= 2) | suspicious_structure(text)
 
 
-def rule_hit(text: Column, low: Column, rule: catalog.Rule) -> Column:
-    """A cheap test for literals one of which every match holds guards the regular expression."""
-    hit = text.rlike(translate(rule.source, ignore_case=rule.flags == "i"))
-    if literals := required_any(rule.source):
-        hit = any_of([low.contains(x.lower()) if rule.flags == "i" else text.contains(x) for x in literals]) & hit
-    return hit
+def gate_if_found(text: str, low: str, seen: str, found: Found) -> Column:
+    """As ``low_risk_gate``; each of its parts is tried only where what it needs may occur.  Arguments are SQL."""
+    signal = " OR ".join(f"({found.maybe(seen, [x])} AND contains({low}, {text_sql(x)}))" for x in catalog.SIGNALS)
+    words = F.expr(found.maybe(seen, catalog.SUSPICIOUS)) & (token_bag(F.expr(text)) >= 2)
+    return F.expr(signal) | words | (F.expr(f"contains({text}, '[') OR contains({text}, '<!--')") & suspicious_structure(F.expr(text)))
 
 
-def group_hit(text: Column, low: Column, group: catalog.Group, gate: Column | None) -> Column:
-    """The first rule of the group that matches, as a match struct, or null."""
-    found = None
-    for rule in group.rules:
-        match = F.struct(F.lit(group.category).alias("category"), F.lit(rule.source[:60]).alias("pattern"), F.lit(group.confidence).alias("confidence"))
-        hit = rule_hit(text, low, rule)
-        found = F.when(hit, match) if found is None else found.when(hit, match)
-    return found if gate is None else F.when(gate, found)
+def rule_hit(found: Found, rule: catalog.Rule) -> str:
+    """The regular expression, tried where one of each set of literals that every match holds may occur.
+
+    SQL over the struct ``s`` of norm, keys and plain.
+    """
+    guards = [found.maybe("s.keys", [x.lower() for x in literals]) for literals in telling(required_sets(rule.source))]
+    if beyond_ascii(rule.source):
+        guards.append("NOT s.plain")
+    return " AND ".join([*guards, f"rlike(s.norm, {text_sql(translate(rule.source, ignore_case=rule.flags == 'i'))})"])
+
+
+def group_hit(found: Found, group: catalog.Group, low_risk: bool) -> str:
+    """SQL of the first rule of the group that matches, as a match struct, or null."""
+    match = lambda rule: f"named_struct('category', {text_sql(group.category)}, 'pattern', {text_sql(rule.source[:60])}, 'confidence', {group.confidence!r}D)"
+    cases = " ".join(f"WHEN {rule_hit(found, rule)} THEN {match(rule)}" for rule in group.rules)
+    return f"IF(s.gate, CASE {cases} END, NULL)" if low_risk else f"CASE {cases} END"
 
 
 def detect_columns(df: DataFrame, text_col: str = "text", options: DetectOptions | None = None, out: str = "detection") -> DataFrame:
@@ -82,32 +90,37 @@ def detect_columns(df: DataFrame, text_col: str = "text", options: DetectOptions
     """
     o = options or DetectOptions()
     groups, levels = catalog.effective(o.threshold, o.exclude, o.custom)
-    text = F.col(text_col)
+    text, name = F.col(text_col), inner(df)
+    norm, seen, hits, end, matches = map(name, ("norm", "seen", "hits", "last", "matches"))
     scanned = utf16_prefix(text, min(o.max_input_length, SCAN_LIMIT))
-    rows = df.withColumn("_gf_norm", F.when(text.isNotNull() & (text != ""), scanned))
+    rows = df.withColumn(norm, F.when(text.isNotNull() & (text != ""), scanned))
     for step in steps(o.normalization, gated=True):
-        rows = rows.withColumn("_gf_norm", step(F.col("_gf_norm")))
-    n = Normalization.of(o.normalization)
-    low = F.col("_gf_norm") if n.enabled and n.normalize_case else F.lower("_gf_norm")
-    gate = low_risk_gate(F.col("_gf_norm")) if any(g.risk == "low" for g in groups) else F.lit(False)
-    rows = rows.withColumn("_gf_seen", F.struct(F.col("_gf_norm").alias("norm"), low.alias("low"), gate.alias("gate")))
-    tried = F.transform(F.array("_gf_seen"), lambda x: F.array(*(group_hit(x["norm"], x["low"], g, x["gate"] if g.risk == "low" else None) for g in groups)))
-    rows = rows.withColumn("_gf_hits", F.get(tried, F.lit(0)) if groups else F.array().cast(MATCHES))
+        rows = rows.withColumn(norm, step(F.col(norm)))
+    n, x = Normalization.of(o.normalization), F.col(norm)
+    low, gated = norm if n.enabled and n.normalize_case else f"lower({norm})", any(g.risk == "low" for g in groups)
+    literals = [y.lower() for g in groups for r in g.rules for s in telling(required_sets(r.source)) for y in s]
+    found = Found([*literals, *(catalog.SIGNALS + catalog.SUSPICIOUS if gated else ())])
+    rows = rows.withColumn(seen, found.column(F.expr(low)))
+    gate = gate_if_found(norm, low, seen, found) if gated else F.lit(False)
+    rows = rows.withColumn(seen, F.struct(x.alias("norm"), F.col(seen).alias("keys"), ascii_only(x).alias("plain"), gate.alias("gate")))
+    # in SQL text: made in Python, the rules' expressions cost seconds for each plan
+    tried = F.expr(f"transform(array({seen}), s -> array({', '.join(group_hit(found, g, g.risk == 'low') for g in groups)}))")
+    rows = rows.withColumn(hits, F.get(tried, F.lit(0)) if groups else F.array().cast(MATCHES))
     # the scan ends after the first critical match: what stands later is not reported
     critical = F.array(*(F.lit(g.risk == "critical") for g in groups)) if groups else F.array().cast("array<boolean>")
-    last = F.array_min(F.transform("_gf_hits", lambda m, i: F.when(m.isNotNull() & F.get(critical, i), i)))
-    rows = rows.withColumn("_gf_last", F.coalesce(last, F.lit(len(groups))))
-    rows = rows.withColumn("_gf_matches", settled(F.filter("_gf_hits", lambda m, i: m.isNotNull() & (i <= F.col("_gf_last")))))
-    found = F.size("_gf_matches") > 0
+    last = F.array_min(F.transform(hits, lambda m, i: F.when(m.isNotNull() & F.get(critical, i), i)))
+    rows = rows.withColumn(end, F.coalesce(last, F.lit(len(groups))))
+    rows = rows.withColumn(matches, settled(F.filter(hits, lambda m, i: m.isNotNull() & (i <= F.col(end)))))
+    hit = F.size(matches) > 0
     if phrases := [p for p in o.allow if p]:
         bounded = F.lower(utf16_prefix(text, o.max_input_length))
-        found &= ~any_of([bounded.contains(p.lower()) for p in phrases])
+        hit &= ~any_of([bounded.contains(p.lower()) for p in phrases])
     table = F.create_map(*(F.lit(x) for pair in levels.items() for x in pair)) if levels else F.create_map().cast("map<string,int>")
-    level = F.array_max(F.transform("_gf_matches", lambda m: F.coalesce(F.element_at(table, m["category"]), F.lit(0))))
+    level = F.array_max(F.transform(matches, lambda m: F.coalesce(F.element_at(table, m["category"]), F.lit(0))))
     # a category that only has rules without a risk of its own reports the lowest
     risk = F.element_at(F.array(*map(F.lit, catalog.RISKS)), F.greatest(level, F.lit(1)) + 1)
-    result = F.when(found, F.struct(F.lit(True).alias("detected"), risk.alias("risk"), F.col("_gf_matches").alias("matches"))).otherwise(neutral())
-    rows = rows.withColumn(out, result).drop("_gf_norm", "_gf_seen", "_gf_hits", "_gf_last", "_gf_matches")
+    result = F.when(hit, F.struct(F.lit(True).alias("detected"), risk.alias("risk"), F.col(matches).alias("matches"))).otherwise(neutral())
+    rows = rows.withColumn(out, result).drop(norm, seen, hits, end, matches)
     return override(rows, out, o.secondary) if o.secondary else rows
 
 

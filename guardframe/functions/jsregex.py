@@ -6,6 +6,8 @@ these are written out.  ``\\w`` and ``\\d`` are ASCII in all three.
 
 from __future__ import annotations
 
+import re
+
 #: White space and line ends of ECMAScript, as the inside of a character class.
 SPACE_JAVA = r"\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 SPACE_RE2 = r"\t\n\x0b\x0c\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -49,23 +51,22 @@ def translate(source: str, engine: str = "java", ignore_case: bool = False) -> s
     return ("(?i)" if ignore_case else "") + "".join(out)
 
 
-def required_literal(source: str) -> str:
-    """The longest run of plain characters that every match holds; '' if none is certain."""
-    best, run, depth, i = "", "", 0, 0
+def required_literals(source: str) -> list[str]:
+    """The runs of plain characters that every match holds; none of an alternation."""
+    found, run, depth, i = [], "", 0, 0
     while i < len(source):
         c = source[i]
         if c == "\\" and i + 1 < len(source):
             c, i = source[i : i + 2], i + 1
-        plain = c if len(c) == 1 and (c.isalnum() or c in " _-:<#;&,") else c[1] if len(c) == 2 and not c[1].isalnum() else ""
+        plain = c if len(c) == 1 and (c.isalnum() or c in " _-:<!#;&,") else c[1] if len(c) == 2 and not c[1].isalnum() else ""
+        if c == "\\\\":
+            plain = "\\"
         after = source[i + 1 : i + 2]
         if c == "|" and not depth:
-            return ""
+            return []
         if c == "[":
-            end = i + 1
-            while source[end] != "]":
-                end += 2 if source[end] == "\\" else 1
-            i = end
-            plain = ""
+            i = class_end(source, i)
+            plain, after = "", source[i + 1 : i + 2]
         elif c == "(":
             depth += 1
         elif c == ")":
@@ -73,13 +74,13 @@ def required_literal(source: str) -> str:
         if plain and not depth and after not in ("?", "*", "{"):
             run += plain
         else:
+            found.append(run)
             run = ""
-        if len(run) > len(best):
-            best = run
         if after == "+":
+            found.append(run)
             run = ""
         i += 1
-    return best
+    return [x for x in dict.fromkeys([*found, run]) if x]
 
 
 def branches(source: str) -> list[str]:
@@ -129,13 +130,27 @@ def groups(source: str) -> list[str]:
     return out
 
 
-def required_any(source: str) -> tuple[str, ...]:
-    """Literals of 3 characters or more one of which every match holds, long ones if possible; () if none is certain."""
+def useful(literal: str) -> bool:
+    """Long enough to tell, or of signs alone; ASCII."""
+    return literal.isascii() and (len(literal) > 2 or (len(literal) == 2 and not any(c.isalpha() or c == " " for c in literal)))
+
+
+def required_sets(source: str) -> list[tuple[str, ...]]:
+    """Sets of literals; every match holds one of each set at least.  Sets of long literals come first."""
     each = branches(source)
     if len(each) > 1:
-        sets = [required_any(b) for b in each]
-        return tuple(dict.fromkeys(x for s in sets for x in s)) if all(sets) else ()
-    found = [s for s in map(required_any, groups(source)) if s]
-    if len(literal := required_literal(source)) > 2:
-        found.append((literal,))
-    return min(found, key=lambda s: (-min(map(len, s)), len(s)), default=())
+        sets = [required_sets(b)[:1] for b in each]
+        return [tuple(dict.fromkeys(x for s in sets for x in s[0]))] if all(sets) else []
+    found = [(x,) for x in required_literals(source) if useful(x)]
+    found += [s for g in groups(source) for s in required_sets(g)]
+    return sorted(dict.fromkeys(found), key=lambda s: (-min(map(len, s)), len(s)))
+
+
+def beyond_ascii(source: str) -> bool:
+    """Whether every match surely holds a character beyond ASCII."""
+    def one(branch: str) -> bool:
+        if re.fullmatch(r"\[(?:\\u[0-9A-Fa-f]{4}-?)+\]", branch):
+            return all(int(x, 16) > 127 for x in re.findall(r"u([0-9A-Fa-f]{4})", branch))
+        return "[" not in branch and "(" not in branch and bool(re.search(r"[^\x00-\x7f](?![?*{])", branch))
+
+    return all(map(one, branches(source)))

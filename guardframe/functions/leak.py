@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from guardframe.functions.text import jaccard, ngrams, settled, tokens, utf16_prefix
+from guardframe.functions.jsregex import SPACE_JAVA
+from guardframe.functions.text import inner, ngrams_sql, settled, text_sql, tokens, utf16_prefix
 
 OUTPUT_LIMIT = 1024 * 1024
 REDACTED = "[REDACTED]"
@@ -39,65 +42,88 @@ def small_size(effective: Column) -> Column:
     return F.least(F.lit(3), F.greatest(F.lit(1), effective - 1))
 
 
-def fragments(words: Column, prompt_ngrams: Column, n: Column) -> Column:
-    """From left to right, windows of n + EXTRA words that begin with an n-gram of the prompt; not where
-    a fragment so far has the n-gram among its characters."""
-    places = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-    gram = lambda i: F.array_join(F.slice(words, i + 1, n), " ")
-    hits = F.filter(places, lambda i: F.array_contains(prompt_ngrams, gram(i)))
-    add = lambda found, i: F.when(F.exists(found, lambda f: f.contains(gram(i))), found).otherwise(F.array_append(found, F.array_join(F.slice(words, i + 1, n + EXTRA), " ")))
-    return F.aggregate(hits, F.array().cast("array<string>"), add)
+# Lambdas are written in SQL, over names of columns: made in Python they cost many calls for each plan.
+def gram(words: str, i: str, n: str) -> str:
+    return f"array_join(slice({words}, {i} + 1, {n}), ' ')"
 
 
-def redact(text: Column, found: Column, least: Column, replacement: str) -> Column:
-    """Each fragment's beginnings, longest first, down to ``least`` words, out of the text."""
-    def prefixes(fragment: Column) -> Column:
-        words = F.split(fragment, " ")
-        sizes = F.when(F.size(words) >= least, F.sequence(F.size(words), least, F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(sizes, lambda k: F.concat(F.lit("(?i)"), F.array_join(F.slice(words, F.lit(1), k), "[\\t-\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]+")))
+def shared_places(words: str, numbers: str, prompt_ngrams: str, n: str) -> Column:
+    """Where an n-gram of the prompt begins among ``words``.
 
-    return F.aggregate(F.flatten(F.transform(found, prefixes)), text, lambda t, p: F.regexp_replace(t, p, F.lit(replacement)))
+    ``numbers`` are those of the words that the prompt has too, 0 for others: only where n words in a row have one
+    is the n-gram made and compared.
+    """
+    places = f"if(size({words}) >= {n}, sequence(0, size({words}) - {n}), cast(array() as array<int>))"
+    known = f"filter({places}, i -> get({numbers}, i) > 0 AND forall(slice({numbers}, i + 1, {n}), k -> k > 0))"
+    return F.expr(f"filter({known}, i -> array_contains({prompt_ngrams}, {gram(words, 'i', n)}))")
+
+
+def fragments_at(words: str, hits: str, n: str) -> Column:
+    """From left to right, windows of n + EXTRA words that begin at ``hits``; not where a fragment so far has
+    the n-gram among its characters."""
+    held = f"exists(found, f -> contains(f, {gram(words, 'i', n)}))"
+    return F.expr(f"aggregate({hits}, cast(array() as array<string>), (found, i) -> if({held}, found, array_append(found, {gram(words, 'i', f'{n} + {EXTRA}')})))")
+
+
+def word_numbers(words: str, shared: str) -> Column:
+    """The place of each word in ``shared`` (from 1), 0 where it isn't there."""
+    return F.expr(f"if(size({shared}) > 0, transform({words}, w -> cast(array_position({shared}, w) as int)), cast(array() as array<int>))")
+
+
+def redact(text: str, found: str, least: str, replacement: str) -> Column:
+    """Each fragment's beginnings, longest first, down to ``least`` words, out of the text.
+
+    A fragment whose shortest beginning no longer occurs is done with: no longer one can occur.
+    """
+    gap = text_sql(f"[{SPACE_JAVA}]+")
+    pattern = lambda k: f"concat('(?i)', array_join(slice(words, 1, {k}), {gap}))"
+    cut = f"if(k = size(words) OR rlike(t, {pattern(least)}), regexp_replace(t, {pattern('k')}, {text_sql(replacement)}), t)"
+    shorter = f"aggregate(sequence(size(words), {least}, -1), text, (t, k) -> {cut})"
+    return F.expr(f"aggregate(transform({found}, f -> split(f, ' ')), {text}, (text, words) -> if(size(words) >= {least} AND rlike(text, {pattern(least)}), {shorter}, text))")
 
 
 def leak_columns(df: DataFrame, output_col: str, prompt_col: str, options: LeakOptions | None = None, out: str = "leak") -> DataFrame:
     """``df`` with a struct of leaked, confidence, fragments and sanitized.
 
-    The cheap part, tokens and overlaps, is projected first.  Only rows that share a small n-gram with
-    the prompt can leak; only for these are the folds over windows worked out.
+    The cheap part is projected first: tokens, which of them output and prompt share, and where shared ones
+    stand in a row.  Only rows that share a small n-gram with the prompt can leak; only for these are the folds worked out.
     """
-    o = options or LeakOptions()
-    output, prompt = F.col(output_col), F.col(prompt_col)
+    o, name = options or LeakOptions(), inner(df)
+    output, prompt, none = F.col(output_col), F.col(prompt_col), F.array().cast("array<string>")
     given = output.isNotNull() & (output != "") & prompt.isNotNull() & (prompt != "")
-    bounded = utf16_prefix(output, OUTPUT_LIMIT)
-    rows = df.withColumns({"_gf_text": F.when(given, bounded).otherwise(F.coalesce(output, F.lit(""))), "_gf_pt": F.when(given, tokens(prompt)).otherwise(F.array().cast("array<string>"))})
-    rows = rows.withColumn("_gf_ot", F.when(F.size("_gf_pt") >= 2, tokens(F.col("_gf_text"))).otherwise(F.array().cast("array<string>")))
-    pt, ot = F.col("_gf_pt"), F.col("_gf_ot")
-    rows = rows.withColumns({"_gf_n": effective_size(pt, o.ngram_size), "_gf_overlap": jaccard(ot, pt)})
-    n = F.col("_gf_n")
-    rows = rows.withColumns({"_gf_s": small_size(n), "_gf_pg": ngrams(pt, n), "_gf_og": ngrams(ot, n)})
-    s, overlap = F.col("_gf_s"), F.col("_gf_overlap")
-    small_on = (s >= 2) & (F.size(pt) >= s)
-    rows = rows.withColumn("_gf_sg", F.when(small_on, ngrams(pt, s)).otherwise(F.array().cast("array<string>")))
-    none = F.array().cast("array<string>")
-    # windows are looked up among the shared n-grams alone, which are found by hashing and mostly few
-    rows = rows.withColumns({"_gf_cg": F.array_intersect("_gf_og", "_gf_pg"), "_gf_cs": F.when(small_on, F.array_intersect(ngrams(ot, s), F.col("_gf_sg"))).otherwise(none)})
-    rows = rows.withColumns({
-        "_gf_f": F.when(F.size("_gf_cg") > 0, fragments(ot, F.col("_gf_cg"), n)).otherwise(none),
-        "_gf_sf": F.when(F.size("_gf_cs") > 0, fragments(ot, F.col("_gf_cs"), s)).otherwise(none),
-        "_gf_ratio": F.when(F.size("_gf_pg") > 0, F.size("_gf_cg") / F.size("_gf_pg")).otherwise(F.lit(0.0)),
-    })
-    f, sf, ratio, w = F.size("_gf_f"), F.size("_gf_sf"), F.col("_gf_ratio"), o.word_overlap_threshold
+    rows, made = df, []
+
+    def add(**columns: Column) -> None:
+        nonlocal rows
+        rows = rows.withColumns({name(k): c for k, c in columns.items()})
+        made.extend(map(name, columns))
+
+    of = lambda wish: F.col(name(wish))
+    add(text=F.when(given, utf16_prefix(output, OUTPUT_LIMIT)).otherwise(F.coalesce(output, F.lit(""))), pt=F.when(given, tokens(prompt)).otherwise(none))
+    text, pt, ot, n, s = map(of, ("text", "pt", "ot", "n", "s"))
+    add(ot=F.when(F.size(pt) >= 2, tokens(text)).otherwise(none), n=effective_size(pt, o.ngram_size))
+    add(both=F.array_intersect(pt, ot), s=small_size(n))
+    union = F.size(F.array_distinct(ot)) + F.size(F.array_distinct(pt)) - F.size(of("both"))
+    some = f"size({name('both')}) > 0"
+    add(
+        ids=word_numbers(name("ot"), name("both")), overlap=F.when(union > 0, F.size(of("both")) / union).otherwise(F.lit(0.0)), pg=F.expr(ngrams_sql(name("pt"), name("n"))),
+        sg=F.expr(f"if({name('s')} >= 2 AND size({name('pt')}) >= {name('s')} AND {some}, {ngrams_sql(name('pt'), name('s'))}, cast(array() as array<string>))"),
+    )
+    places = F.array().cast("array<int>")
+    add(at=F.when(F.expr(some), shared_places(name("ot"), name("ids"), name("pg"), name("n"))).otherwise(places), sat=F.when(F.expr(some), shared_places(name("ot"), name("ids"), name("sg"), name("s"))).otherwise(places))
+    add(f=F.when(F.size(of("at")) > 0, fragments_at(name("ot"), name("at"), name("n"))).otherwise(none), sf=F.when(F.size(of("sat")) > 0, fragments_at(name("ot"), name("sat"), name("s"))).otherwise(none),
+        common=F.expr(f"size(array_distinct(transform({name('at')}, i -> {gram(name('ot'), 'i', name('n'))})))"))
+    f, sf, overlap, w = F.size(of("f")), F.size(of("sf")), of("overlap"), o.word_overlap_threshold
+    ratio = F.when(F.size(of("pg")) > 0, of("common") / F.size(of("pg"))).otherwise(F.lit(0.0))
     more = F.when(f > 2, F.lit(0.2)).otherwise(F.lit(0.0))
     confidence = F.when(f > 0, F.least(F.lit(1.0), ratio * 2 + more)).when(overlap >= w, F.least(F.lit(1.0), overlap * 2)).otherwise(F.lit(0.0))
-    rows = rows.withColumn("_gf_conf", F.when(F.size(pt) >= 2, confidence).otherwise(F.lit(0.0)))
-    leaked = ((f > 0) & (F.col("_gf_conf") >= o.threshold)) | (f >= 2) | ((sf >= 3) & (overlap >= w)) | ((overlap >= w * 1.5) & (sf >= 1))
-    rows = rows.withColumn("_gf_leaked", settled(F.coalesce((F.size(pt) >= 2) & leaked, F.lit(False))))
-    rows = rows.withColumn("_gf_all", F.when(F.col("_gf_leaked"), F.array_union("_gf_f", "_gf_sf")).otherwise(none))
-    text = F.col("_gf_text")
-    clean = text if o.detect_only else F.when(F.col("_gf_leaked"), redact(text, F.col("_gf_all"), n, o.redaction)).otherwise(text)
-    made = F.struct(F.col("_gf_leaked").alias("leaked"), F.col("_gf_conf").alias("confidence"), F.col("_gf_all").alias("fragments"), clean.alias("sanitized"))
-    work = ["_gf_text", "_gf_pt", "_gf_ot", "_gf_n", "_gf_overlap", "_gf_s", "_gf_pg", "_gf_og", "_gf_sg", "_gf_cg", "_gf_cs", "_gf_f", "_gf_sf", "_gf_ratio", "_gf_conf", "_gf_leaked", "_gf_all"]
-    return rows.withColumn(out, made).drop(*work)
+    add(conf=F.when(F.size(pt) >= 2, confidence).otherwise(F.lit(0.0)))
+    leaked = ((f > 0) & (of("conf") >= o.threshold)) | (f >= 2) | ((sf >= 3) & (overlap >= w)) | ((overlap >= w * 1.5) & (sf >= 1))
+    add(leaked=settled(F.coalesce((F.size(pt) >= 2) & leaked, F.lit(False))))
+    add(all=F.when(of("leaked"), F.array_union(of("f"), of("sf"))).otherwise(none))
+    clean = text if o.detect_only else F.when(of("leaked"), redact(name("text"), name("all"), name("n"), o.redaction)).otherwise(text)
+    result = F.struct(of("leaked").alias("leaked"), of("conf").alias("confidence"), of("all").alias("fragments"), clean.alias("sanitized"))
+    return rows.withColumn(out, result).drop(*made)
 
 
 def sanitize_object(df: DataFrame, object_col: str, prompt_col: str, options: LeakOptions | None = None, leaked_out: str = "had_leak") -> DataFrame:
@@ -108,40 +134,75 @@ def sanitize_object(df: DataFrame, object_col: str, prompt_col: str, options: Le
     """
     if holds_lists(df.schema[object_col].dataType):
         return sanitize_nested(df, object_col, prompt_col, options, leaked_out)
-    paths = list(string_paths(df.schema[object_col].dataType))
-    rows = df.withColumn("_gf_row", F.monotonically_increasing_id())
-    flags = []
-    value = F.col(object_col)
+    name, paths = inner(df), list(string_paths(df.schema[object_col].dataType))
+    rows, flags, value = df, [], F.col(object_col)
     for k, path in enumerate(paths):
-        name = f"_gf_leaf{k}"
-        rows = leak_columns(rows.withColumn("_gf_leaf", F.col(".".join([object_col, *path]))), "_gf_leaf", prompt_col, options, name).drop("_gf_leaf")
-        value = replaced(value, path, F.when(F.col(name)["leaked"], F.col(name)["sanitized"]).otherwise(F.col(".".join([object_col, *path]))))
-        flags.append(F.col(name)["leaked"])
-    had = flags[0] if flags else F.lit(False)
-    for flag in flags[1:]:
-        had = had | flag
-    rows = rows.withColumns({"_gf_value": value, leaked_out: had})
-    return rows.drop("_gf_row", *(f"_gf_leaf{k}" for k in range(len(paths)))).withColumn(object_col, F.col("_gf_value")).drop("_gf_value")
+        leaf, found = F.col(".".join([f"`{object_col}`", *(f"`{x}`" for x in path)])), name(f"leak{k}")
+        rows = leak_columns(rows.withColumn(name("leaf"), leaf), name("leaf"), prompt_col, options, found).drop(name("leaf"))
+        value = value.withField(".".join(f"`{x}`" for x in path), F.when(F.col(found)["leaked"], F.col(found)["sanitized"]).otherwise(leaf))
+        flags.append(F.col(found)["leaked"])
+    had = reduce(lambda a, b: a | b, flags, F.lit(False))
+    rows = rows.withColumns({name("value"): value, name("had"): had}).drop(*(name(f"leak{k}") for k in range(len(paths))))
+    return rows.withColumns({object_col: F.col(name("value")), leaked_out: F.col(name("had"))}).drop(name("value"), name("had"))
 
 
 def sanitize_nested(df: DataFrame, object_col: str, prompt_col: str, options: LeakOptions | None, leaked_out: str) -> DataFrame:
-    """As ``sanitize_object``, for any nesting: a row for each different string, and one that carries the whole row."""
-    kind, whole = df.schema[object_col].dataType, F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    rows = df.select(F.monotonically_increasing_id().alias("_gf_row"), whole.alias("_gf_whole"), F.array_distinct(leaves(F.col(object_col), kind)).alias("_gf_leaves"))
-    carrier = rows.schema["_gf_whole"].dataType
-    prompt = F.col("_gf_whole")[prompt_col]
+    """As ``sanitize_object``, for any nesting."""
+    kind = df.schema[object_col].dataType
+    texts = F.filter(F.array_distinct(leaves(F.col(object_col), kind)), lambda x: x.isNotNull())
+    return sanitize_texts(df, object_col, prompt_col, options, leaked_out, texts, lambda value, fixes: rebuilt(value, kind, fixes))
+
+
+def sanitize_texts(df: DataFrame, object_col: str, prompt_col: str, options: LeakOptions | None, leaked_out: str, texts: Column, rebuild: Callable[[Column, Column], Column]) -> DataFrame:
+    """Sanitize ``texts`` (distinct strings of ``object_col``), each in a row of its own; one more row carries the
+    whole input row.  ``rebuild`` makes the new value of the old one and a map from texts to what replaces them.
+
+    Rows are numbered once and never joined with themselves.
+    """
+    whole = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)))
+    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    rows = df.select(F.monotonically_increasing_id().alias("row"), whole.alias("whole"), texts.alias("texts"))
+    carrier, prompt = rows.schema["whole"].dataType, F.col("whole")[at[prompt_col]]
     item = lambda leaf, whole: F.struct(leaf.alias("leaf"), whole.alias("whole"))
-    listed = F.transform(F.filter("_gf_leaves", lambda x: x.isNotNull()), lambda x: item(x, F.lit(None).cast(carrier)))
-    items = F.concat(F.array(item(F.lit(None).cast("string"), F.col("_gf_whole"))), listed)
-    each = rows.select("_gf_row", prompt.alias("_gf_prompt"), F.explode(items).alias("_gf_item")).select("_gf_row", "_gf_prompt", "_gf_item.leaf", "_gf_item.whole")
-    checked = leak_columns(each, "leaf", "_gf_prompt", options, "_gf_leak")
-    fix = F.when(F.col("_gf_leak")["leaked"], F.struct(F.col("leaf"), F.col("_gf_leak")["sanitized"].alias("sanitized")))
-    back = checked.groupBy("_gf_row").agg(F.first("whole", ignorenulls=True).alias("whole"), F.map_from_entries(F.collect_list(fix)).alias("fixes"))
-    made = rebuilt(F.col("whole")[object_col], kind, F.col("fixes"))
-    columns = [made.alias(c) if c == object_col else F.col("whole")[c].alias(c) for c in df.columns if c != leaked_out]
+    listed = F.transform("texts", lambda x: item(x, F.lit(None).cast(carrier)))
+    items = F.concat(F.array(item(F.lit(None).cast("string"), F.col("whole"))), F.coalesce(listed, F.array().cast(T.ArrayType(T.StructType([T.StructField("leaf", T.StringType()), T.StructField("whole", carrier)])))))
+    each = rows.select("row", prompt.alias("prompt"), F.explode(items).alias("item")).select("row", "prompt", "item.leaf", "item.whole")
+    checked = leak_columns(each, "leaf", "prompt", options, "leak")
+    fix = F.when(F.col("leak")["leaked"], F.struct(F.col("leaf"), F.col("leak")["sanitized"].alias("sanitized")))
+    back = checked.groupBy("row").agg(F.first("whole", ignorenulls=True).alias("whole"), F.map_from_entries(F.collect_list(fix)).alias("fixes"))
+    made = rebuild(F.col("whole")[at[object_col]], F.col("fixes"))
+    columns = [made.alias(c) if c == object_col else F.col("whole")[at[c]].alias(c) for c in df.columns if c != leaked_out]
     return back.select(*columns, (F.size("fixes") > 0).alias(leaked_out))
 
 
+#: Pieces of a JSON text that together are the text: strings (with the colon behind them, if they are names), and what is between.
+JSON_PIECES = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?|[^"]++|")'
+
+
+def json_string(piece: Column) -> Column:
+    """The string that a piece of JSON stands for; null where it is none, or the name of a field."""
+    value = piece.startswith('"') & piece.endswith('"') & (F.length(piece) > 1)
+    return F.when(value, F.get(F.from_json(F.concat(F.lit("["), piece, F.lit("]")), "array<string>"), F.lit(0)))
+
+
+def sanitize_json(df: DataFrame, json_col: str, prompt_col: str, options: LeakOptions | None = None, leaked_out: str = "had_leak") -> DataFrame:
+    """Sanitize every string value of a column of JSON texts, whatever their shapes: each row may have another one.
+
+    Values are found by their places in the text; names, numbers, white space and values that don't leak stay as
+    they are written.  A text that is a lone string is one value.  Nulls and texts without strings stay; in a text that isn't JSON,
+    what looks like a string value is sanitized and all else stays.
+    """
+    pieces = lambda text: F.regexp_extract_all(text, F.lit(JSON_PIECES), 1)
+    texts = F.array_distinct(F.filter(F.transform(pieces(F.col(json_col)), json_string), lambda x: x.isNotNull() & (x != "")))
+
+    def rebuild(text: Column, fixes: Column) -> Column:
+        new = lambda p: F.try_element_at(fixes, F.coalesce(json_string(p), F.lit("")))
+        written = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+        return F.when(F.size(fixes) > 0, F.array_join(F.transform(pieces(text), lambda p: F.when(new(p).isNotNull(), written(new(p))).otherwise(p)), "")).otherwise(text)
+
+    return sanitize_texts(df, json_col, prompt_col, options, leaked_out, texts, rebuild)
+
+
 def holds_lists(kind: T.DataType) -> bool:
     """Whether there are strings in arrays or maps."""
     if isinstance(kind, T.StructType):
@@ -194,18 +255,3 @@ def string_paths(kind: T.DataType, path: tuple[str, ...] = ()):
             yield from string_paths(f.dataType, (*path, f.name))
     elif isinstance(kind, T.StringType) and path:
         yield path
-
-
-def replaced(value: Column, path: tuple[str, ...], new: Column) -> Column:
-    return value.withField(".".join(path), new)
-
-
-def sanitize_values(df: DataFrame, array_col: str, prompt_col: str, key: str, options: LeakOptions | None = None) -> DataFrame:
-    """Sanitize the strings of an array column; ``key`` is unique.  Elements are rows meanwhile."""
-    each = df.select(key, prompt_col, F.posexplode(array_col).alias("_gf_at", "_gf_item"))
-    checked = leak_columns(each, "_gf_item", prompt_col, options, "_gf_leak")
-    item = F.when(F.col("_gf_leak")["leaked"], F.col("_gf_leak")["sanitized"]).otherwise(F.col("_gf_item"))
-    back = checked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_gf_at", item.alias("item")))).alias("_gf_items"), F.max(F.col("_gf_leak")["leaked"]).alias("had_leak"))
-    back = back.select(key, F.transform("_gf_items", lambda x: x["item"]).alias("_gf_new"), "had_leak")
-    joined = df.join(back, key, "left").withColumn(array_col, F.coalesce("_gf_new", F.col(array_col)))
-    return joined.withColumn("had_leak", F.coalesce("had_leak", F.lit(False))).drop("_gf_new")

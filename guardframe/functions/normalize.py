@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, fields
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from guardframe.functions.jsregex import SPACE_JAVA
-from guardframe.functions.text import SPACES, collapse, nfkc, trim
+from guardframe.functions.literals import holds_any
+from guardframe.functions.text import SPACES, ascii_only, collapse, inner, nfkc, trim
 
 # What is folded, removed, decoded and repaired, in this order.
 HOMOGLYPHS = ("аеорсхіӏ", "aeopcxid")
@@ -54,16 +53,17 @@ def fold_homoglyphs(text: Column, gated: bool = False) -> Column:
     full = "".join(chr(c) for c in (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
     plain = "".join(chr(c - 0xFEE0) for c in map(ord, full))
     folded = F.translate(text, full + HOMOGLYPHS[0], plain + HOMOGLYPHS[1])
-    return F.when(text.rlike(f"[\uFF21-\uFF5A{HOMOGLYPHS[0]}]"), folded).otherwise(text) if gated else folded
+    return F.when(ascii_only(text) | ~text.rlike(f"(?![ -~])[\uFF21-\uFF5A{HOMOGLYPHS[0]}]"), text).otherwise(folded) if gated else folded
 
 
-def strip_invisible(text: Column) -> Column:
-    return F.regexp_replace(text, INVISIBLE, "")
+def strip_invisible(text: Column, gated: bool = False) -> Column:
+    stripped = F.regexp_replace(text, INVISIBLE, "")
+    return F.when(ascii_only(text), text).otherwise(stripped) if gated else stripped
 
 
 def join_letters(text: Column) -> Column:
     """Single word characters with white space between become one word."""
-    return F.regexp_replace(text, rf"(?<=(?<!\w)\w){SPACES}(?=\w(?!\w))", "")
+    return F.regexp_replace(text, rf"(?![!-~])(?<=(?<!\w)\w){SPACES}(?=\w(?!\w))", "")
 
 
 def decode_leet(text: Column, gated: bool = False) -> Column:
@@ -71,12 +71,12 @@ def decode_leet(text: Column, gated: bool = False) -> Column:
     for sequence, letter in LEET_SEQUENCES:
         decoded = F.replace(decoded, F.lit(sequence), F.lit(letter))
     if gated:
-        decoded = F.when(text.rlike(r"[|\\/>]"), decoded).otherwise(text)
+        decoded = F.when(text.contains("|") | text.contains("/") | text.contains(">"), decoded).otherwise(text)
         return F.when(text.rlike(r"[0-9@$!|\\/>]"), F.translate(decoded, *LEET)).otherwise(text)
     return F.translate(decoded, *LEET)
 
 
-def words_replaced(text: Column, pairs: list[tuple[str, str]], gated: bool = False) -> Column:
+def words_replaced(text: Column, pairs: list[tuple[str, str]], gated: bool = False, lowered: bool = False) -> Column:
     """Whole words by their repairs, one after another; every pattern is of word characters.
 
     Gated, only texts that have one of the words are worked, and only those are searched that hold one's letters.
@@ -86,14 +86,8 @@ def words_replaced(text: Column, pairs: list[tuple[str, str]], gated: bool = Fal
         repaired = F.regexp_replace(repaired, rf"(?i)(?<!\w)(?:{pattern})(?!\w)", to)
     if not gated:
         return repaired
-    low = F.lower(text)
-    held = reduce(lambda a, b: a | b, [low.contains(x) for x in HELD[id(pairs)]])
     any_word = text.rlike(rf"(?i)(?<!\w)(?:{'|'.join(p for p, _ in pairs)})(?!\w)")
-    return F.when(held & any_word, repaired).otherwise(text)
-
-
-def collapsed(text: Column, gated: bool = False) -> Column:
-    return F.when(text.rlike(f"  |[{SPACE_JAVA.replace(' ', '', 1)}]"), collapse(text)).otherwise(text) if gated else collapse(text)
+    return F.when(holds_any(text if lowered else F.lower(text), HELD[id(pairs)]) & any_word, repaired).otherwise(text)
 
 
 def steps(options: Normalization | dict | bool | None = None, gated: bool = False) -> list[Callable[[Column], Column]]:
@@ -103,10 +97,10 @@ def steps(options: Normalization | dict | bool | None = None, gated: bool = Fals
     if not o.enabled:
         return [trim]
     every = [
-        (True, nfkc), (o.fold_homoglyphs, lambda x: fold_homoglyphs(x, gated)), (o.strip_invisible, strip_invisible), (o.collapse_whitespace, lambda x: collapsed(x, gated)),
+        (True, nfkc), (o.fold_homoglyphs, lambda x: fold_homoglyphs(x, gated)), (o.strip_invisible, lambda x: strip_invisible(x, gated)), (o.collapse_whitespace, lambda x: collapse(x, gated)),
         (o.join_separated_letters, join_letters), (o.normalize_case, F.lower), (o.decode_leetspeak, lambda x: decode_leet(x, gated)),
-        (o.repair_typos, lambda x: words_replaced(x, TYPOS, gated)), (o.repair_phonetics, lambda x: words_replaced(x, PHONETICS, gated)),
-        (o.collapse_whitespace, lambda x: collapsed(x, gated)), (True, trim),
+        (o.repair_typos, lambda x: words_replaced(x, TYPOS, gated, o.normalize_case)), (o.repair_phonetics, lambda x: words_replaced(x, PHONETICS, gated, o.normalize_case)),
+        (o.collapse_whitespace, lambda x: collapse(x, gated)), (True, trim),
     ]
     return [step for on, step in every if on]
 
@@ -120,7 +114,8 @@ def normalize(text: Column, options: Normalization | dict | bool | None = None)
 
 def normalized(df: DataFrame, text_col: str = "text", out: str = "norm", options: Normalization | dict | bool | None = None) -> DataFrame:
     """``df`` with a column ``out``; each step is a projection of its own and skips texts it can't change."""
-    df = df.withColumn(out, F.col(text_col))
+    name = inner(df)("norm")
+    rows = df.withColumn(name, F.col(text_col))
     for step in steps(options, gated=True):
-        df = df.withColumn(out, step(F.col(out)))
-    return df
+        rows = rows.withColumn(name, step(F.col(name)))
+    return rows.withColumn(out, F.col(name)).drop(name)

@@ -2,69 +2,92 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from guardframe.functions.jsregex import SPACE_JAVA
 
-SPACES = f"[{SPACE_JAVA}]+"
+#: Printable ASCII but the space is let go first, before the class, which is slow, is tried.
+SPACES = f"(?![!-~])[{SPACE_JAVA}]+"
+#: White space of ECMAScript, character by character.
+SPACE_CHARS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 ASTRAL = "[\\x{10000}-\\x{10FFFF}]"
-#: Ranges of characters that NFKC leaves alone and that join nothing before them, as the inside
-#: of a character class: Latin, Greek, Cyrillic, Hebrew and Arabic letters, plain marks, kana, Han, Hangul, pictures.
-STABLE = (
-    r"\x{0}-\x{9F}\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{180}-\x{1C3}\x{1CD}-\x{1F0}\x{1F4}-\x{2AF}"
-    r"\x{391}-\x{3CE}\x{400}-\x{482}\x{48A}-\x{52F}\x{5D0}-\x{5EA}\x{620}-\x{64A}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{2030}-\x{2032}\x{2039}-\x{203B}\x{20AC}\x{2190}-\x{21FF}\x{2500}-\x{27BF}"
-    r"\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}\x{1F300}-\x{1FAFF}"
-)
-#: With any other character a text may change under NFKC.
-UNSTABLE = f"[^{STABLE}]"
-
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units."""
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
-def utf16_substring(text: Column, start: int, length: int) -> Column:
+def utf16_substring(text: Column, start: Column | int, length: Column | int) -> Column:
     """``length`` UTF-16 units from ``start`` (0-based); halves of surrogate pairs at the ends go."""
+    start, length = (x if isinstance(x, Column) else F.lit(x) for x in (start, length))
     plain = F.substring(text, start + 1, length)
-    raw = F.substring(F.encode(text, "UTF-16BE"), 2 * start + 1, 2 * length)
+    # as many code points reach as far at least
+    raw = F.substring(F.encode(F.substring(text, F.lit(1), start + length), "UTF-16BE"), start * 2 + 1, length * 2)
     digits = F.hex(raw)
     tail = F.substring(digits, -4, 4).between("D800", "DBFF") & (F.length(digits) >= 4)
     head = F.substring(digits, 1, 4).between("DC00", "DFFF")
     kept = F.when(tail, F.regexp_replace(digits, "....$", "")).otherwise(digits)
     kept = F.when(head, F.regexp_replace(kept, "^....", "")).otherwise(kept)
-    return F.when(text.rlike(ASTRAL), F.decode(F.unhex(kept), "UTF-16BE")).otherwise(plain)
+    astral = ~ascii_only(text) & F.substring(text, F.lit(1), start + length).rlike(ASTRAL)
+    return F.when(astral, F.decode(F.unhex(kept), "UTF-16BE")).otherwise(plain)
+
+
+def ascii_only(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def utf16_prefix(text: Column, length: int) -> Column:
-    return F.when(F.length(text) * 2 <= length, text).otherwise(utf16_substring(text, 0, length))
+    """A text has no more UTF-16 units than bytes of UTF-8."""
+    return F.when(F.octet_length(text) <= length, text).otherwise(utf16_substring(text, 0, length))
 
 
-def trim(text: Column) -> Column:
-    """Without ECMAScript white space at both ends."""
-    return F.regexp_replace(text, f"^{SPACES}|{SPACES}$", "")
+def utf16_pieces(text: str, size: int, overlap: int = 0) -> Column:
+    """Structs of no, piece and before (units of overlap): UTF-16 units no * size - overlap to no * size + size of the column ``text``.
 
+    A border within a surrogate pair stands before the pair, so no pair is cut; pieces that are empty so are left
+    out.  The text is encoded once, and a piece is found by its place.
+    """
+    raw = f"encode({text}, 'UTF-16BE')"
+    border = lambda b: f"({b} - if(s.astral AND hex(substring(s.raw, 2 * ({b}) - 1, 2)) BETWEEN 'D800' AND 'DBFF' AND {b} > 0, 1, 0))"
+    units = "octet_length(s.raw) div 2"
+    begin, end = border(f"greatest(0, k * {size} - {overlap})"), border(f"least({units}, k * {size} + {size})")
+    own = f"{border(f'k * {size}')} < {end}"  # something but the overlap
+    one = f"named_struct('no', cast(k as int), 'before', cast({border(f'k * {size}')} - {begin} as int), 'piece', if({own}, decode(substring(s.raw, cast(2 * {begin} + 1 as int), cast(2 * ({end} - {begin}) as int)), 'UTF-16BE'), ''))"
+    numbers = f"if({units} > 0, sequence(0, cast(({units} - 1) div {size} as int)), cast(array() as array<int>))"
+    state = f"array(named_struct('raw', coalesce({raw}, x''), 'astral', coalesce({text} rlike {text_sql(ASTRAL)}, false)))"
+    return F.expr(f"filter(flatten(transform({state}, s -> transform({numbers}, k -> {one}))), p -> p.piece <> '')")
 
-def collapse(text: Column) -> Column:
-    return F.regexp_replace(text, SPACES, " ")
 
+def trim(text: Column) -> Column:
+    """Without ECMAScript white space at both ends."""
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
-@F.pandas_udf(T.StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+def collapse(text: Column, gated: bool = False) -> Column:
+    """Each run of white space as one space; single spaces are left alone."""
+    plain = F.regexp_replace(text, r"[ \t\n\x0B\f\r]{2,}|[\t\n\x0B\f\r]", " ")
+    every = F.regexp_replace(text, f"(?![!-~])(?: [{SPACE_JAVA}]+|[{SPACE_JAVA.replace(' ', '', 1)}][{SPACE_JAVA}]*)", " ")
+    return F.when(ascii_only(text), plain).otherwise(every) if gated else every
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC.  Spark has no such function; only texts that may change are handed to Python."""
-    return F.coalesce(_nfkc(F.when(text.rlike(UNSTABLE), text)), text)
+    """NFKC, by the ICU library that Spark ships."""
+    return F.when(text.isNotNull(), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True)))
 
 
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters, digits and underscores of the text in small letters."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), 1)
+    return F.array_remove(F.split(F.lower(text), "\\W+"), "")
+
+
+def ngrams_sql(words: str, n: str) -> str:
+    """As ``ngrams``, in SQL over expressions: lambdas made in Python cost many calls for each plan."""
+    return f"array_distinct(transform(if(size({words}) >= {n}, sequence(0, size({words}) - {n}), cast(array() as array<int>)), i -> array_join(slice({words}, i + 1, {n}), ' ')))"
+
+
+def text_sql(value: str) -> str:
+    """A string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def ngrams(words: Column, n: Column) -> Column:
@@ -83,3 +106,11 @@ def settled(value: Column) -> Column:
     """``value``, marked so that the optimizer neither copies its expression into filters above nor
     computes it twice.  Filters on other columns should come before."""
     return F.when(F.spark_partition_id() >= 0, value)
+
+
+def inner(*tables: DataFrame):
+    """Names for working columns: a function from a wish to a name that no column of ``tables`` begins like."""
+    prefix, taken = "_gf_", [c.lower() for t in tables for c in t.columns]
+    while any(c.startswith(prefix) for c in taken):
+        prefix = "_" + prefix
+    return lambda wish: prefix + wish

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from guardframe.functions.detect import DetectOptions, categories, detect_columns
 from guardframe.functions.errors import injection_error, leak_error
 from guardframe.functions.harden import HardenOptions, harden
-from guardframe.functions.leak import LeakOptions, leak_columns, sanitize_object, sanitize_values
+from guardframe.functions.leak import LeakOptions, leak_columns, sanitize_json, sanitize_object
 from guardframe.operators.messages import FORMATS, content_text, text_of
+from guardframe.functions.text import inner
 
 
 @dataclass(frozen=True)
@@ -96,7 +97,7 @@ def screened(messages: DataFrame, options: GuardOptions | None = None) -> DataFr
     if o.source == "ai-sdk-auto":  # each part by itself; plain strings aren't scanned
         if "parts" not in messages.columns:
             user = user.withColumn("parts", F.array().cast("array<struct<type:string,text:string>>"))
-        user = user.select("conv_id", "turn", F.posexplode("parts").alias("part", "_gf_part")).filter("_gf_part.type = 'text'").select("conv_id", "turn", "part", F.col("_gf_part.text").alias("text"))
+        user = user.select("conv_id", "turn", F.posexplode("parts").alias("part", "piece")).filter("piece.type = 'text'").select("conv_id", "turn", "part", F.col("piece.text").alias("text"))
     else:
         user = user.select("conv_id", "turn", F.lit(0).alias("part"), text_of(messages).alias("text"))
     return detect_columns(user.filter("text <> ''"), "text", rules)
@@ -154,8 +155,8 @@ def leak_audit(messages: DataFrame, options: GuardOptions | None = None) -> Data
 def guarded_blocks(responses: DataFrame, found_prompts: DataFrame, options: GuardOptions | None = None) -> DataFrame:
     """Responses of content blocks, each text block and each tool's input sanitized by itself.
 
-    ``responses``: conv_id and content (array of structs with type, text and maybe input, a struct, array or
-    map).  The result has ``reports``: of each leaking block its confidence, number of fragments and message, for
+    ``responses``: conv_id and content (array of structs with type, text and maybe input: a struct, array or
+    map, or a JSON text of any shape).  The result has ``reports``: of each leaking block its confidence, number of fragments and message, for
     a tool's input 1 and 0, and the sanitized text (of an input, as JSON).  Blocks are rows meanwhile.
     """
     o = options or GuardOptions(source="anthropic")
@@ -163,23 +164,29 @@ def guarded_blocks(responses: DataFrame, found_prompts: DataFrame, options: Guar
         return responses.withColumn("reports", F.array().cast("array<struct<confidence:double,fragments:int,message:string,sanitized:string>>"))
     rules = o.sanitize if isinstance(o.sanitize, LeakOptions) else LeakOptions()
     kind = responses.schema["content"].dataType.elementType
-    rows = responses.withColumn("_gf_row", F.monotonically_increasing_id())
-    each = rows.join(found_prompts, "conv_id", "left").select("_gf_row", "system_prompt", F.posexplode("content").alias("_gf_at", "_gf_block"))
-    each = leak_columns(each.withColumn("_gf_text", F.when(F.col("_gf_block.type") == "text", F.col("_gf_block.text"))), "_gf_text", "system_prompt", rules, "_gf_leak")
-    leak, block = F.col("_gf_leak"), F.col("_gf_block")
+    at = {c: f"c{i}" for i, c in enumerate(responses.columns)}
+    # a row for each block; the first carries the whole response, so that nothing is joined back
+    whole = F.struct(*(F.col(f"r.`{c}`").alias(n) for c, n in at.items()))
+    asked = found_prompts.select("conv_id", F.col("system_prompt").alias("prompt")).alias("p")
+    rows = responses.alias("r").join(asked, F.col("r.conv_id") == F.col("p.conv_id"), "left").select(F.monotonically_increasing_id().alias("row"), F.col("p.prompt").alias("prompt"), whole.alias("whole"))
+    each = rows.select("row", "prompt", "whole", F.posexplode_outer(F.col("whole")[at["content"]]).alias("at", "block"))
+    each = each.withColumns({"whole": F.when(F.coalesce("at", F.lit(0)) == 0, F.col("whole")), "text": F.when(F.col("block.type") == "text", F.col("block.text"))})
+    each = leak_columns(each, "text", "prompt", rules, "leak")
+    leak, block = F.col("leak"), F.col("block")
     new = block.withField("text", F.when(leak["leaked"], leak["sanitized"]).otherwise(block["text"]))
     told = F.when(leak["leaked"], report(leak["confidence"], F.size(leak["fragments"]), leak["sanitized"]))
     if "input" in kind.names:
-        each = each.withColumn("_gf_input", F.when(block["type"] == "tool_use", block["input"]))
-        each = sanitize_object(each, "_gf_input", "system_prompt", rules, "_gf_had")
-        new = new.withField("input", F.when(F.col("_gf_had"), F.col("_gf_input")).otherwise(block["input"]))
-        told = F.coalesce(told, F.when(F.col("_gf_had"), report(F.lit(1.0), F.lit(0), F.to_json("_gf_input"))))
-    listed = F.collect_list(F.struct("_gf_at", new.alias("block"), told.alias("told")))
+        each = each.withColumn("input", F.when(block["type"] == "tool_use", block["input"]))
+        untyped = isinstance(kind["input"].dataType, T.StringType)
+        each = (sanitize_json if untyped else sanitize_object)(each, "input", "prompt", rules, "had")
+        new = new.withField("input", F.when(F.col("had"), F.col("input")).otherwise(block["input"]))
+        told = F.coalesce(told, F.when(F.col("had"), report(F.lit(1.0), F.lit(0), F.col("input") if untyped else F.to_json("input"))))
+    listed = F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", new.alias("block"), told.alias("told"))))
     # by place alone: blocks with maps have no order
-    back = each.groupBy("_gf_row").agg(F.array_sort(listed, lambda a, b: a["_gf_at"] - b["_gf_at"]).alias("_gf_all"))
-    back = back.select("_gf_row", F.transform("_gf_all", lambda x: x["block"]).alias("_gf_new"), F.filter(F.transform("_gf_all", lambda x: x["told"]), lambda x: x.isNotNull()).alias("reports"))
-    out = rows.join(back, "_gf_row", "left").withColumn("content", F.coalesce("_gf_new", "content"))
-    return out.withColumn("reports", F.coalesce("reports", F.array().cast(back.schema["reports"].dataType))).drop("_gf_row", "_gf_new")
+    back = each.groupBy("row").agg(F.first("whole", ignorenulls=True).alias("whole"), F.array_sort(listed, lambda a, b: a["at"] - b["at"]).alias("all"))
+    content = F.when(F.col("whole")[at["content"]].isNotNull(), F.transform("all", lambda x: x["block"]))
+    reports = F.filter(F.transform("all", lambda x: x["told"]), lambda x: x.isNotNull())
+    return back.select(*(content.alias(c) if c == "content" else F.col("whole")[n].alias(c) for c, n in at.items() if c != "reports"), reports.alias("reports"))
 
 
 def report(confidence: Column, fragments: Column, sanitized: Column) -> Column:
@@ -193,12 +200,12 @@ def guarded_responses(responses: DataFrame, found_prompts: DataFrame, options: G
     """
     o = options or GuardOptions()
     rules = o.sanitize if isinstance(o.sanitize, LeakOptions) else LeakOptions()
-    rows = responses.join(found_prompts, "conv_id", "left").withColumn("_gf_key", F.monotonically_increasing_id())
-    rows = leak_columns(rows, "content", "system_prompt", rules, "_gf_leak")
-    content = F.when(F.col("_gf_leak")["leaked"], F.col("_gf_leak")["sanitized"]).otherwise(content_text(F.col("content")))
-    rows = rows.withColumns({"content": content, "content_leaked": F.col("_gf_leak")["leaked"]}).drop("_gf_leak")
-    out = sanitize_values(rows, "tool_arguments", "system_prompt", "_gf_key", rules)
-    return out.withColumnRenamed("had_leak", "arguments_leaked").drop("_gf_key", "system_prompt")
+    name = inner(responses, found_prompts)("leak")
+    rows = leak_columns(responses.join(found_prompts, "conv_id", "left"), "content", "system_prompt", rules, name)
+    leak = F.col(name)
+    content = F.when(leak["leaked"], leak["sanitized"]).otherwise(content_text(F.col("content")))
+    rows = rows.withColumns({"content": content, "content_leaked": leak["leaked"]}).drop(name)
+    return sanitize_object(rows, "tool_arguments", "system_prompt", rules, "arguments_leaked").drop("system_prompt")
 
 
 def audit(messages: DataFrame, options: GuardOptions | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from guardframe.functions import catalog, detect as dt, normalize as nz, text as
 from guardframe.functions.detect import DetectOptions
 from guardframe.functions.errors import injection_error, leak_error
 from guardframe.functions.harden import HardenOptions, harden
-from guardframe.functions.leak import LeakOptions, effective_size, fragments, leak_columns, sanitize_object, small_size
+from guardframe.functions.leak import LeakOptions, effective_size, fragments_at, leak_columns, sanitize_json, sanitize_object, shared_places, small_size, word_numbers
 from guardframe.operators import conversations as cv
 from guardframe.operators.messages import delta_text, parts_text
 from guardframe.plans import planted as pl, sql
@@ -123,8 +123,10 @@ register("tokens", f"SELECT doc_id, array_to_string({sql.tokens('text')}, ' ') A
 def all_fragments(spark: SparkSession, sf: str) -> DataFrame:
     rows = pl.pairs(spark, sf).withColumns({"ot": tx.tokens(F.col("output")), "pt": tx.tokens(F.col("prompt"))})
     rows = rows.withColumn("n", effective_size(F.col("pt"), 4)).withColumn("s", small_size(F.col("n")))
-    rows = rows.withColumns({"pg": tx.ngrams(F.col("pt"), F.col("n")), "sg": F.when((F.col("s") >= 2) & (F.size("pt") >= F.col("s")), tx.ngrams(F.col("pt"), F.col("s"))).otherwise(F.array().cast("array<string>"))})
-    return rows.select("doc_id", F.array_join(fragments(F.col("ot"), F.col("pg"), F.col("n")), "|").alias("fragments"), F.array_join(fragments(F.col("ot"), F.col("sg"), F.col("s")), "|").alias("small_fragments"))
+    rows = rows.withColumns({"both": F.array_intersect("pt", "ot"), "pg": tx.ngrams(F.col("pt"), F.col("n")), "sg": F.when((F.col("s") >= 2) & (F.size("pt") >= F.col("s")), tx.ngrams(F.col("pt"), F.col("s"))).otherwise(F.array().cast("array<string>"))})
+    rows = rows.withColumn("ids", word_numbers("ot", "both"))
+    rows = rows.withColumns({"at": shared_places("ot", "ids", "pg", "n"), "sat": shared_places("ot", "ids", "sg", "s")})
+    return rows.select("doc_id", F.array_join(fragments_at("ot", "at", "n"), "|").alias("fragments"), F.array_join(fragments_at("ot", "sat", "s"), "|").alias("small_fragments"))
 
 
 register("fragments", _leak + "SELECT doc_id, array_to_string(f, '|') AS fragments, array_to_string(sf, '|') AS small_fragments FROM leaks", all_fragments)
@@ -341,7 +343,7 @@ def codes(spark: SparkSession, sf: str) -> DataFrame:
     return found.unionByName(leaked).select("conv_id", "error.code", "error.message")
 
 
-# leaks in nested values and under other names: the same work over the same whole texts
+# leaks in nested values: the same work over the same whole texts
 def whole_objects(spark: SparkSession, sf: str) -> DataFrame:
     """Whole outputs in structs, arrays and maps of one object."""
     o = F.col("output")
@@ -352,8 +354,28 @@ def whole_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 register("whole_sanitize_object", _leak + "SELECT doc_id, leaked AS had_leak, sanitized AS query, sanitized AS note, sanitized || '|fine' AS named FROM leaks", whole_objects)
 register("whole_redact", _leak + "SELECT doc_id, leaked, sanitized FROM leaks", lambda spark, sf: leaks(spark, sf).select("doc_id", "leak.leaked", "leak.sanitized"))
-for _name in ("leak_decision", "redact_custom", "redact_detect_only", "set_overlaps", "fragments", "error_messages", "guarded_responses", "content_text", "stream_sanitized"):
-    register("whole_" + _name, ORACLES[_name], QUERIES[_name])
+
+
+# JSON without a schema, and texts beyond the basic plane
+def json_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Outputs within JSON objects, arrays and nested values: another shape by document."""
+    o, n = F.col("output"), F.col("doc_id")
+    shapes = [F.to_json(F.struct(o.alias("query"), n.alias("n"))), F.concat(F.lit('[{"deep": {"note": '), F.substring(F.to_json(F.array(o)), F.lit(2), F.length(F.to_json(F.array(o))) - 2), F.lit('}}, "fine", null]')),
+              F.concat(F.lit('{ "list" : [1.50, {"\\u0061": '), F.substring(F.to_json(F.array(o)), F.lit(2), F.length(F.to_json(F.array(o))) - 2), F.lit("}] }"))]
+    made = pl.pairs(spark, sf).select("doc_id", "prompt", F.when(n % 3 == 0, shapes[0]).when(n % 3 == 1, shapes[1]).otherwise(shapes[2]).alias("args"))
+    out = sanitize_json(made, "args", "prompt")
+    value = lambda path: F.get_json_object("args", path)
+    rest = F.when(n % 3 == 0, value("$.n")).when(n % 3 == 1, value("$[1]")).otherwise(value("$.list[0]"))
+    return out.select("doc_id", "had_leak", F.when(n % 3 == 0, value("$.query")).when(n % 3 == 1, value("$[0].deep.note")).otherwise(value("$.list[1].a")).alias("said"), rest.alias("rest"))
+
+
+register("sanitize_json", _leak + "SELECT doc_id, leaked AS had_leak, sanitized AS said, CASE doc_id % 3 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN 'fine' ELSE '1.5' END AS rest FROM leaks", json_rows)
+ASTRAL = "\U0001f600"
+# every 50th character of the first 3000 or so is beyond the basic plane; a character belongs to the piece of its last UTF-16 unit
+_wide = f"SELECT doc_id, regexp_replace(text, '(.{{49}})', '\\1{ASTRAL}', 'g') AS text FROM documents"
+_units = f"SELECT *, i + sum(CASE WHEN c = '{ASTRAL}' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS unit FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(1, length(text) + 1)) AS i FROM ({_wide}))"
+register("chunk_string_utf16", f"SELECT doc_id, (unit // 64)::INT AS piece_no, string_agg(c, '' ORDER BY i) AS piece FROM ({_units}) GROUP BY ALL",
+         lambda spark, sf: ch.chunk_string(pl.documents(spark, sf).withColumn("text", F.regexp_replace("text", "([^\n]{49})", "$1" + ASTRAL))).select("doc_id", "piece_no", "piece"))
 
 
 def queries() -> dict:

@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from guardframe.functions.errors import leak_error
 from guardframe.functions.leak import LeakOptions, leak_columns
+from guardframe.functions.text import inner, utf16_pieces, utf16_substring
 
 EMIT = 64
 OVERLAP = 64
@@ -28,28 +29,31 @@ def buffered(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("stream_id").agg(F.array_join(F.transform(pieces, lambda p: F.coalesce(p["delta"], F.lit(""))), "").alias("text"))
 
 
+def cut(df: DataFrame, text_col: str, size: int, overlap: int, number: str, piece: str, before: str | None = None) -> DataFrame:
+    name = inner(df)("pieces")
+    rows = df.withColumn(name, F.explode(utf16_pieces(f"`{text_col}`", size, overlap)))
+    return rows.withColumns({number: F.col(name)["no"], piece: F.col(name)["piece"]} | ({before: F.col(name)["before"]} if before else {})).drop(name)
+
+
 def chunk_string(df: DataFrame, text_col: str = "text", size: int = EMIT) -> DataFrame:
-    """``df`` with a row for each piece of ``size`` characters: piece_no, piece."""
-    text = F.col(text_col)
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return df.withColumn("piece_no", F.explode(starts)).withColumn("piece", F.substring(text, F.col("piece_no") * size + 1, F.lit(size)))
+    """``df`` with a row for each piece of ``size`` UTF-16 units: piece_no, piece.  Surrogate pairs stay whole."""
+    return cut(df, text_col, size, 0, "piece_no", "piece")
 
 
 def chunked(df: DataFrame, text_col: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``df`` with a row for each chunk: chunk_no and chunk, the end of the chunk before in front."""
-    text, k = F.col(text_col), F.col("chunk_no")
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
-    begin = F.greatest(F.lit(0), k * size - overlap)
-    return df.withColumn("chunk_no", F.explode(starts)).withColumn("chunk", F.substring(text, begin + 1, k * size + size - begin))
+    """``df`` with a row for each chunk of ``size`` UTF-16 units: chunk_no and chunk, the end of what came before in front."""
+    return cut(df, text_col, size, overlap, "chunk_no", "chunk")
 
 
 def sanitized_chunks(df: DataFrame, prompt_col: str, text_col: str = "text", size: int = CHUNK, options: LeakOptions | None = None, dedupe_overlap: bool = False) -> DataFrame:
     """Chunks with ``leaked`` and ``output``.  Overlaps are given out twice, unless told otherwise."""
-    rows = leak_columns(chunked(df, text_col, size), "chunk", prompt_col, options, "_gf_leak")
-    output = F.when(F.col("_gf_leak")["leaked"], F.col("_gf_leak")["sanitized"]).otherwise(F.col("chunk"))
+    name, before = inner(df)("leak"), inner(df)("before")
+    rows = leak_columns(cut(df, text_col, size, OVERLAP, "chunk_no", "chunk", before), "chunk", prompt_col, options, name)
+    leak = F.col(name)
+    output = F.when(leak["leaked"], leak["sanitized"]).otherwise(F.col("chunk"))
     if dedupe_overlap:
-        output = F.when(F.col("_gf_leak")["leaked"] | (F.col("chunk_no") == 0), output).otherwise(F.substring(output, OVERLAP + 1, 1 << 30))
-    return rows.withColumns({"leaked": F.col("_gf_leak")["leaked"], "output": output}).drop("_gf_leak")
+        output = F.when(leak["leaked"] | (F.col(before) == 0), output).otherwise(utf16_substring(output, F.col(before), F.lit(1 << 28)))
+    return rows.withColumns({"leaked": leak["leaked"], "output": output}).drop(name, before)
 
 
 def passed(deltas: DataFrame) -> DataFrame:
@@ -67,6 +71,12 @@ def chunk_report(chunks: DataFrame, key: str = "stream_id") -> DataFrame:
     return hit.select(key, "leaks", leak_error(F.lit(1.0), F.lit(0))["message"].alias("leak_message"))
 
 
+def border(raw: bytes, start: int, at: int) -> int:
+    """UTF-16 unit ``at`` (``raw`` begins at ``start``), or the one before it where it would part a pair."""
+    place = 2 * (at - start)
+    return at - (1 if 2 <= place < len(raw) and 0xD8 <= raw[place - 1] <= 0xDB else 0)
+
+
 def stream_chunks(deltas: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, timeout_ms: int = FOREVER_MS) -> DataFrame:
     """The streaming form of ``chunked``: deltas (stream_id, seq, delta, is_end) to stream_id, chunk_no, chunk, timed_out.
 
@@ -76,35 +86,41 @@ def stream_chunks(deltas: DataFrame, size: int = CHUNK, overlap: int = OVERLAP,
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, tail, number, last = state.get if state.exists else ("", "", 0, None)
+        # what is kept of the text begins at UTF-16 unit ``start``; ``number`` is that of the next chunk
+        kept, start, number, last = state.get if state.exists else ("", 0, 0, None)
         out: list[tuple] = []
+
+        def give(raw: bytes, end: int, timed_out: bool = False) -> None:
+            begin, end = border(raw, start, max(0, number * size - overlap)), border(raw, start, end)
+            if border(raw, start, number * size) < end:
+                out.append((key[0], number, raw[2 * (begin - start) : 2 * (end - start)].decode("utf-16-le"), timed_out))
+
+        raw = kept.encode("utf-16-le")
         if state.hasTimedOut:
             state.remove()
-            if held:
-                yield pd.DataFrame([(key[0], number, tail + held, True)], columns=names)
-            return
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        if last is not None and int(rows["seq"].iloc[0]) < last:
-            raise ValueError(f"stream {key[0]}: seq {rows['seq'].iloc[0]} comes after {last}")
-        held += "".join(rows["delta"].dropna())
-        while size and len(held) >= size:
-            piece, held = tail + held[:size], held[size:]
-            tail = piece[len(piece) - overlap :] if overlap else ""
-            out.append((key[0], number, piece, False))
-            number += 1
-        if bool(rows["is_end"].fillna(False).any()):
-            if held:
-                out.append((key[0], number, tail + held, False))
-            state.remove()
+            give(raw, start + len(raw) // 2, True)
         else:
-            state.update((held, tail, number, int(rows["seq"].iloc[-1])))
-            state.setTimeoutDuration(timeout_ms)
+            rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+            if last is not None and int(rows["seq"].iloc[0]) < last:
+                raise ValueError(f"stream {key[0]}: seq {rows['seq'].iloc[0]} comes after {last}")
+            raw += "".join(rows["delta"].dropna()).encode("utf-16-le")
+            while size and start + len(raw) // 2 >= (number + 1) * size:
+                give(raw, (number + 1) * size)
+                number += 1
+                keep = border(raw, start, max(0, number * size - max(overlap, 1)))
+                raw, start = raw[2 * (keep - start) :], keep
+            if bool(rows["is_end"].fillna(False).any()):
+                give(raw, start + len(raw) // 2)
+                state.remove()
+            else:
+                state.update((raw.decode("utf-16-le"), start, number, int(rows["seq"].iloc[-1])))
+                state.setTimeoutDuration(timeout_ms)
         if out:
             yield pd.DataFrame(out, columns=names)
 
     names = ["stream_id", "chunk_no", "chunk", "timed_out"]
     kind = dict(deltas.dtypes)["stream_id"]
-    return deltas.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, chunk_no int, chunk string, timed_out boolean", "held string, tail string, number int, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return deltas.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, chunk_no int, chunk string, timed_out boolean", "kept string, start long, number int, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def sanitized_stream(deltas: DataFrame, prompts: DataFrame, size: int = CHUNK, options: LeakOptions | None = None) -> DataFrame:

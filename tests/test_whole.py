@@ -47,7 +47,7 @@ def test_whole_leaks(spark, sf):
         half = len(docs[doc]) // 2
         assert docs[doc][:half] in output and docs[doc][half:] in output, doc
     want = {doc: leak(*x) for doc, x in pairs.items()}
-    got = {r.doc_id: (r.leaked, r.confidence, r.fragments) for r in registry.QUERIES["whole_leak_decision"](spark, sf).collect()}
+    got = {r.doc_id: (r.leaked, r.confidence, r.fragments) for r in registry.QUERIES["leak_decision"](spark, sf).collect()}
     assert got == {d: (a, round(c, 9), "|".join(f)) for d, (a, c, f, _) in want.items()} and 0 < sum(x[0] for x in want.values()) < len(want)
     late = [d for d, (o, _) in pairs.items() if want[d][3][:1080] == o[:1080] and want[d][3] != o]
     assert late  # found beyond the first characters
