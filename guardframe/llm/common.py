@@ -165,11 +165,12 @@ def row_key(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     """``df`` with a column that is unique and never null, and its name.
 
     That is the id itself where a count shows so; else the rows are stored with numbers of their own,
-    which follow the ids (nulls first).
+    which follow the ids (nulls first), and among equal ids a hash of the text, then the text.
     """
     sizes = df.agg(F.count("*").alias("n"), F.count(id_col).alias("ids")).first()
     if sizes["n"] == sizes["ids"] == df.select(id_col).distinct().count():
         return df, id_col
     name = free_name(df.columns, "_gf_row")
-    ordered = df.repartitionByRange(id_col, F.xxhash64("text")).sortWithinPartitions(id_col, "text")
+    mark = free_name([*df.columns, name], "_gf_mark")
+    ordered = df.withColumn(mark, F.xxhash64("text")).repartitionByRange(id_col, mark).sortWithinPartitions(id_col, mark, "text").drop(mark)
     return materialize(ordered.withColumn(name, F.monotonically_increasing_id()), "rows"), name

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from guardframe.llm.common import blocks, map_arrow
 from guardframe.llm.words import Block, per_doc, same_ranges
@@ -204,13 +204,17 @@ def base_failed() -> Column:
 def sample_of(df: DataFrame, labels: DataFrame, target: str, id_col: str = "doc_id", limit: int = SAMPLE, where: Column | None = None) -> DataFrame:
     """Text and label of at most ``limit`` labelled rows, the smallest by a hash of their id.
 
-    The bound holds at every size of the corpus; the model alone is fitted on it.
+    Of the rows of one id one is taken, so the bound holds however often ids are repeated, and at every size of
+    the corpus; the model alone is fitted on it.
     """
     chosen = labels.select(F.col(id_col).alias("_gf_id"), F.col(target).cast("int").alias("_gf_y")).filter("_gf_id IS NOT NULL AND _gf_y IS NOT NULL")
     if where is not None:
         chosen = chosen.filter(where)
     chosen = chosen.orderBy(F.xxhash64("_gf_id"), "_gf_id", "_gf_y").limit(limit)
-    return df.select(F.col(id_col).alias("_gf_id"), F.col("text").alias("_gf_text")).join(F.broadcast(chosen), "_gf_id").select("_gf_text", "_gf_y")
+    rows = df.select(F.col(id_col).alias("_gf_id"), F.col("text").alias("_gf_text")).join(F.broadcast(chosen.distinct()), "_gf_id")
+    # each task lets go of all but one row of an id before they are dealt out
+    first = F.row_number().over(Window.partitionBy("_gf_id", "_gf_y").orderBy(F.xxhash64("_gf_text"), "_gf_text"))
+    return rows.withColumn("_gf_first", first).filter("_gf_first = 1").select("_gf_text", "_gf_y")
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", limit: int = SAMPLE) -> Forest | None:

@@ -21,7 +21,7 @@ anchors, as a sample of the documents shows them, are treated so from the start
 their rows don't meet in one task.  Which anchors these are doesn't change what is removed.
 
 Defined cases: null and empty texts have no bytes and nothing is removed; matches never cross rows;
-repeated rows or ids and null ids are documents one after another, ordered by (id, text), nulls first;
+repeated rows or ids and null ids are documents one after another, by id (nulls first), a hash of the text, text;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -429,14 +429,21 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def report(found: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay)."""
-    spans = F.col("spans")
-    raw = F.col("text").cast("binary")
-    n = F.octet_length("text").cast("long")
-    removed = F.expr("coalesce(aggregate(spans, 0L, (n, s) -> n + s.end - s.start), 0L)")
-    # what stays: from each span's end (or 0) to the next one's start (or the end of the text)
-    edges = F.expr("concat(array(0), transform(spans, s -> s.end))"), F.expr("concat(transform(spans, s -> s.start), array(octet_length(text)))")
-    kept = F.expr("aggregate(arrays_zip(_gf_from, _gf_to), cast('' as binary), (acc, p) -> concat(acc, substring(_gf_raw, p._gf_from + 1, p._gf_to - p._gf_from)))")
-    work = found.withColumns({"_gf_raw": raw, "_gf_from": edges[0], "_gf_to": edges[1]})
-    digest = F.when(spans.isNull(), F.sha2(F.col("_gf_raw"), 256)).otherwise(F.sha2(kept, 256))
-    return work.select("doc_id", n.alias("n_bytes"), removed.alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), digest.alias("kept_sha256"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay), in one pass over each text."""
+    schema = T.StructType([found.schema["doc_id"], *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string")])
+
+    def run(batch: pa.RecordBatch):
+        size, removed, count, digest = [], [], [], []
+        for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+            raw, at, gone, kept = memoryview(text.as_buffer() or b""), 0, 0, hashlib.sha256()
+            for s in spans or ():
+                kept.update(raw[at : s["start"]])
+                at, gone = s["end"], gone + s["end"] - s["start"]
+            kept.update(raw[at:])
+            size.append(len(raw))
+            removed.append(gone)
+            count.append(len(spans or ()))
+            digest.append(kept.hexdigest())
+        yield {"doc_id": batch.column("doc_id"), "n_bytes": size, "n_removed": removed, "n_spans": count, "kept_sha256": digest}
+
+    return map_arrow(found.select("doc_id", "text", "spans"), run, schema)

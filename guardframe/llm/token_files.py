@@ -6,7 +6,7 @@ a Bloom filter on ``doc_id``), ``read_tokens`` and ``lookup`` read them back, st
 with pruning from file, stripe and row-group metadata.
 
 Defined cases: null and empty texts give the end id alone; a null document id sorts first and is
-kept; repeated rows are all kept; an empty table gives an empty file set; other columns are ignored.
+kept; rows of one id follow a hash of their text, then the text; repeated rows are all kept; an empty table gives an empty file set; other columns are ignored.
 
 Encoding memo: a single space between two non-space characters always starts a new pre-token of
 byte-level BPE, so a text may be cut in front of such spaces and each distinct piece be encoded
@@ -185,9 +185,12 @@ class Encoder:
 
 
 def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END) -> DataFrame:
-    """Rows of FILES for each row of ``df``, in ascending id order over all partitions."""
-    ordered = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    """Rows of FILES for each row of ``df``, in ascending id order over all partitions.
+
+    Equal ids follow the hash that ranges are dealt by too, so their order doesn't depend on the partitions.
+    """
+    ordered = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    ordered = ordered.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
 
     bound_batches(df.sparkSession)
 

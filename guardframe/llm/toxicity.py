@@ -3,7 +3,8 @@
 Texts are folded first: small letters, compatibility forms and look-alike letters of other scripts
 to Latin ones, digits and signs inside words to the letters they stand for.  The lexicon consists of
 word beginnings and whole words.  It is learned, with its weights, from a bounded sample of labelled
-rows (``SAMPLE``): log odds of a document being toxic.  Words that begin like a lexicon entry, and pairs of
+rows (``SAMPLE``): log odds of a document being toxic; every feature whose counts chance doesn't explain, even as
+the oddest of all features (likelihood ratio above FACTOR times the log of their number), is an entry, unless it is a form of another one that says as much.  Words that begin like a lexicon entry, and pairs of
 words with one of them, that are as common in clean documents are exception phrases: an entry inside one
 doesn't count.  The summed
 weights are normalised by the number of words and calibrated to a probability.
@@ -28,7 +29,7 @@ from guardframe.llm.quality import sample_of
 
 SAMPLE = 12_000
 LEAST, MOST = 3, 8  # letters of a word's beginning
-ENTRIES = 300
+FACTOR = 1.5  # of the log of the number of features, which an entry's likelihood ratio exceeds
 EXCEPTION = 5
 BLOCK_BYTES = 4 << 20
 CUTOFF = 0.3
@@ -156,15 +157,21 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", limit: int =
         sample.unpersist()
         return Lexicon({}, frozenset())
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
-    least = max(3, bad // 200)
-    ranked = document_counts(sample).filter(F.col("toxic") >= least).withColumn("odds", odds).filter("odds > 1.0")
-    top = ranked.orderBy((F.col("toxic") * F.col("odds")).desc(), F.length("feature").desc(), "feature").limit(ENTRIES * 4).collect()
+    t, c, share = F.col("toxic"), F.col("clean"), bad / (bad + good)
+    surprise = 2 * (t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0))
+    counted = document_counts(sample.dropDuplicates(["_gf_text", "_gf_y"])).withColumns({"odds": odds, "surprise": surprise}).persist()
+    sure = counted.filter((F.col("odds") > 1.0) & (F.col("surprise") > FACTOR * float(np.log(max(counted.count(), 1)))))
+    ranked = sure.orderBy((F.col("toxic") * F.col("odds")).desc(), F.length("feature").desc(), "feature").toLocalIterator()
     weights: dict[str, float] = {}
-    for r in top:  # a shorter or longer form of an entry adds nothing where it holds about the same documents
-        f = r["feature"]
+    longer: dict[str, float] = {}  # of every beginning of an entry the heaviest entry
+    for r in ranked:  # a shorter or longer form of an entry adds nothing where it holds about the same documents
+        f, w = r["feature"], float(r["odds"])
         kin = [weights[f[:n]] for n in range(LEAST + 1, len(f)) if f[:n] in weights]
-        if len(weights) < ENTRIES and all(r["odds"] > w + 0.5 for w in kin) and not any(k.startswith(f) and weights[k] >= r["odds"] for k in weights):
-            weights[f] = float(r["odds"])
+        if all(w > k + 0.5 for k in kin) and longer.get(f, -1.0) < w:
+            weights[f] = w
+            for n in range(LEAST + 1, len(f)):
+                longer[f[:n]] = max(w, longer.get(f[:n], w))
+    counted.unpersist()
     lexicon = Lexicon(weights, find_exceptions(sample, weights, bad, good))
     x, y = measured(sample, lexicon)
     sample.unpersist()

@@ -11,8 +11,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from guardframe.llm import exact, merkle, queries, ranked, registry
-from guardframe.llm.common import materialize, table
+from guardframe.llm import exact, merkle, quality, queries, ranked, registry, substrings, token_files, toxicity
+from guardframe.llm.common import row_key, table
 
 
 def docs_of(spark, sf, *columns):
@@ -230,3 +230,73 @@ def test_exact_is_native(spark, sf):
     """No Python in the plan; texts aren't part of what is stored or dealt but where hashes are shared."""
     plan = queries.op13_exact_dedup(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# rows of one id, over partitions that aren't coalesced
+def uncoalesced(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+
+
+@pytest.fixture
+def apart(spark):
+    uncoalesced(spark)
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_row_key_ties(apart):
+    rows = [(i % 2 if i % 7 else None, f"text {i * 7919 % 101}") for i in range(400)]
+    keyed, key = row_key(apart.createDataFrame(rows, "doc_id long, text string").repartition(5), "doc_id")
+    got = [(r.doc_id, r.text) for r in keyed.orderBy(key).collect()]
+    mark = {r.text: r.m for r in keyed.select("text", F.xxhash64("text").alias("m")).distinct().collect()}
+    assert got == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, mark[r[1]], r[1])) and keyed.select(key).distinct().count() == 400
+
+
+def test_token_ties(apart):
+    """Starts of rows of one id don't depend on the number of partitions."""
+    import public_tokenizers
+
+    rows = [(i % 2 if i % 5 else None, f"word {'x ' * (i % 11)}{i}") for i in range(60)]
+    made = []
+    for n in (1, 8):
+        apart.conf.set("spark.sql.shuffle.partitions", n)
+        made.append(sorted((tuple(r) for r in token_files.round_trip(apart.createDataFrame(rows, "doc_id long, text string").repartition(n), public_tokenizers.path("byte_bpe_50k.json")).collect()), key=str))
+    apart.conf.set("spark.sql.shuffle.partitions", 8)
+    assert made[0] == made[1] and sum(r[2] for r in made[0]) == max(r[1] + r[2] for r in made[0])
+
+
+def test_report_of_many_spans(spark):
+    """A text with 160,000 spans takes no more than its length asks for."""
+    import time
+
+    text, n = "ab" * 4_000_000, 160_000
+    spans = [(50 * i + 3, 50 * i + 40) for i in range(n)]
+    frame = spark.createDataFrame([(1, text, spans), (2, "é", None), (3, "", [])], "doc_id long, text string, spans array<struct<start:int,end:int>>")
+    began = time.perf_counter()
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.report(frame).collect()}
+    assert time.perf_counter() - began < 20
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(text[at:a])
+        at = b
+    assert got[1] == (len(text), 37 * n, n, sha(*kept, text[at:])) and got[2] == (2, 0, 0, sha("é")) and got[3] == (0, 0, 0, sha(""))
+
+
+def test_sample_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"t{i % 50}") for i in range(20_000)] + [(i, "x") for i in range(2, 30)] + [(None, "y")], "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] * 3, "doc_id long, quality int, toxic int")
+    assert quality.sample_of(docs, labels, "quality", limit=25).count() <= 25
+    assert quality.sample_of(docs, labels, "quality").count() == 29
+
+
+def test_rare_toxic_terms(spark):
+    """Terms of few documents are learned, however many others there are."""
+    rnd = random.Random(4)
+    plain = [f"plain{i}" for i in range(300)]
+    bad = [f"q{a}{b}vex" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    rows = [(i, " ".join([*(rnd.choice(plain) for _ in range(30)), *([bad[i // 4 % 400]] if i % 4 == 0 else [])])) for i in range(15_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = toxicity.learn(docs, spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int"))
+    assert len(made.weights) > 300
+    found = [made.score(f"plain1 plain2 {w} plain3") >= toxicity.CUTOFF for w in bad]
+    assert sum(found[300:]) > 90 and sum(found) > 380 and made.score("plain1 plain2 plain3 plain4") < toxicity.CUTOFF
