@@ -294,8 +294,13 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     """
     described = materialize(describe(df, id_col, text_col, size, percent), "sets")
     grouped = described.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    classes = materialize(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    buckets = materialize(shared_buckets(classes), "buckets")
+    keyed = materialize(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    # sketches and keys are most of what is stored: they go as soon as the next table has what it needs of them
+    sizes_of = materialize(described.select("doc_id", "n", "s1", "s2"), "sizes")
+    discard(described)
+    buckets = materialize(shared_buckets(keyed), "buckets")
+    classes = materialize(keyed.drop("keys"), "classes")
+    discard(keyed)
     facts = classes.select("cls", "n", "sketch")
     roots = known = tried = sets = None
     stored: list[DataFrame] = []
@@ -348,6 +353,6 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     smallest = materialize(least.groupBy("root").agg(F.min("first").alias("component")), "smallest")
     table = materialize(least.join(smallest, "root").select("n", "s1", "s2", "cls", "component"), "labels")
     discard(classes, buckets, least, smallest, *stored)
-    out = described.select("doc_id", "n", "s1", "s2").join(table, ["n", "s1", "s2"], "left")
+    out = sizes_of.join(table, ["n", "s1", "s2"], "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), own.alias("component_id"))
