@@ -83,6 +83,9 @@ def stream_chunks(deltas: DataFrame, size: int = CHUNK, overlap: int = OVERLAP,
     Deltas of a stream must arrive in order of seq over micro-batches, else the query fails; within one
     they are sorted.  ``size`` 0 buffers until the end of the stream.  What a stream without an end still holds
     after the timeout is given out with ``timed_out`` true; what comes later begins a stream anew.
+
+    Run with the trigger ``availableNow``, such a query only stops where the session has
+    spark.sql.streaming.noDataMicroBatches.enabled set to false: else empty batches go on waiting for timeouts.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

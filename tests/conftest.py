@@ -15,7 +15,8 @@ def spark():
     from pyspark.sql import SparkSession
 
     session = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-               .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate())
+               .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
+               .config("spark.sql.streaming.noDataMicroBatches.enabled", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
