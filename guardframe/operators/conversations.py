@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from guardframe.functions.detect import DetectOptions, categories, detect_columns
 from guardframe.functions.errors import injection_error, leak_error
@@ -213,3 +213,16 @@ def audit(messages: DataFrame, options: GuardOptions | None = None) -> DataFrame
     o = options or GuardOptions()
     hit = screened(messages, o).filter("detection.detected")
     return hit.select("conv_id", "turn", F.col("detection.risk").alias("risk"), F.array_join(categories(F.col("detection")), ",").alias("categories"), F.lit(o.on_detection).alias("reaction"))
+
+
+def observed(rows: DataFrame, told: Observation | str) -> DataFrame:
+    """``rows`` as they are, counted on their way: ``rows``, and ``detected`` or ``leaks`` where they have a verdict.
+
+    ``told`` is filled by the first action; for a stream it is the name under which listeners get the counts of each batch.
+    """
+    counts = [F.count(F.lit(1)).alias("rows")]
+    if "detection" in rows.columns:
+        counts.append(F.count_if("detection.detected").alias("detected"))
+    if "leaked" in rows.columns:
+        counts.append(F.count_if("leaked").alias("leaks"))
+    return rows.observe(told, *counts)

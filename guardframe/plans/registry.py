@@ -9,12 +9,16 @@ from guardframe.functions.detect import DetectOptions
 from guardframe.functions.errors import injection_error, leak_error
 from guardframe.functions.harden import HardenOptions, harden
 from guardframe.functions.leak import LeakOptions, effective_size, fragments_at, leak_columns, sanitize_json, sanitize_object, shared_places, small_size, word_numbers
+from guardframe.functions.secondary import outside
 from guardframe.operators import conversations as cv
 from guardframe.operators.messages import delta_text, parts_text
 from guardframe.plans import planted as pl, sql
 from guardframe.plans.planted import quote
+from guardframe.plans.replay import replayed
+from guardframe.sources.events import any_delta, parsed
 from guardframe.sources.tables import read
 from guardframe.streaming import chunks as ch
+from guardframe.streaming.ordered import guarded_turns, ordered_chunks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -378,6 +382,54 @@ register("chunk_string_utf16", f"SELECT doc_id, (unit // 64)::INT AS piece_no, s
          lambda spark, sf: ch.chunk_string(pl.documents(spark, sf).withColumn("text", F.regexp_replace("text", "([^\n]{49})", "$1" + ASTRAL))).select("doc_id", "piece_no", "piece"))
 
 
+# a second detector outside, logs of events, and streams replayed
+def ask(given: list[dict]) -> list[dict | None]:
+    """Stands for a service: it takes back what holds a name, and keeps the rest."""
+    return [{"detected": False, "risk": "none", "matches": []} if "DAN" in g["text"] else None for g in given]
+
+
+register("detect_outside", f"""SELECT d.doc_id, d.detected AND NOT contains(p.text, 'DAN') AS detected, CASE WHEN contains(p.text, 'DAN') THEN 'none' ELSE d.risk END AS risk
+FROM ({sql.detect(pl.planted_sql())}) d JOIN ({pl.planted_sql()}) p USING (doc_id)""",
+         lambda spark, sf: dt.detect_columns(pl.planted(spark, sf), "text", DetectOptions(secondary=outside(ask))).select("doc_id", "detection.detected", "detection.risk"))
+
+
+def event_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as lines of a log, in a shape by turn; lines of user turns 4, 8, ... are broken off."""
+    said, turn = F.col("text"), F.col("turn")
+    openai = F.to_json(F.struct(F.array(F.struct(F.struct(said.alias("content")).alias("delta"))).alias("choices")))
+    anthropic = F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct(said.alias("text")).alias("delta")))
+    ai_sdk = F.to_json(F.struct(F.when(F.col("role") == "assistant", "text-delta").otherwise("finish").alias("type"), said.alias("textDelta")))
+    line = F.when(turn % 3 == 0, openai).when(turn % 3 == 1, anthropic).otherwise(ai_sdk)
+    broken = (F.col("role") == "user") & (turn % 4 == 0)
+    lines = read(spark, sf, "conversations").withColumn("line", line)
+    lines = lines.select("conv_id", "turn", F.when(broken, F.expr("substring(line, 1, length(line) - 2)")).otherwise(F.col("line")).alias("value"))
+    rows = parsed(lines).withColumn("delta", any_delta(F.col("event")))
+    return rows.filter("corrupt OR delta IS NOT NULL").select("conv_id", "turn", "corrupt", "delta")
+
+
+_broken = "(role = 'user' AND turn % 4 = 0)"
+register("event_log", f"SELECT conv_id, turn, {_broken} AS corrupt, CASE WHEN NOT {_broken} THEN text END AS delta FROM conversations WHERE {_broken} OR turn % 3 = 0 OR (turn % 3 = 1 AND text <> '') OR (turn % 3 = 2 AND role = 'assistant')", event_log)
+
+
+def spoken(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as deltas of one stream for each conversation, in no order; every fifth one comes twice."""
+    rows = read(spark, sf, "conversations")
+    ends = rows.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    rows = rows.join(ends, "conv_id").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("delta"), (F.col("turn") == F.col("last")).alias("is_end"))
+    twice = rows.filter("pmod(stream_id + seq, 5) = 0 AND NOT is_end")
+    return rows.unionByName(twice).repartition(2, F.xxhash64("stream_id", "seq"))
+
+
+register("stream_ordered", "SELECT stream_id, k::INT AS chunk_no, substring(text, greatest(0, k * 300 - 64) + 1, k * 300 + 300 - greatest(0, k * 300 - 64)) AS chunk FROM (SELECT stream_id, text, unnest(range(0, (length(text) + 299) // 300)) AS k FROM (SELECT conv_id AS stream_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id))",
+         lambda spark, sf: replayed(spoken(spark, sf), lambda d: ordered_chunks(d, 300)).filter("NOT timed_out").select("stream_id", "chunk_no", "chunk"))
+_heard = f"SELECT c.conv_id, c.turn, c.text AS output, p.said AS prompt FROM ({pl.chats_sql()}) c LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS said FROM conversations WHERE role = 'system' GROUP BY conv_id) p ON c.conv_id = p.conv_id WHERE role = 'assistant'"
+register("stream_guarded", f"""SELECT conv_id, turn, blocked, CASE WHEN blocked THEN error END AS error, leaked AND NOT blocked AS leaked, CASE WHEN blocked THEN NULL WHEN leaked THEN sanitized ELSE text END AS output FROM (
+SELECT c.conv_id, c.turn, c.text, coalesce(c.turn >= v.at, false) AS blocked, v.error, coalesce(l.leaked, false) AS leaked, l.sanitized FROM ({pl.chats_sql()}) c
+LEFT JOIN (WITH {_verdict} SELECT conv_id, min(turn) AS at, 'Prompt injection detected (' || arg_min(risk, turn) || ' risk): ' || arg_min({_cats.format(', ')}, turn) AS error FROM hit GROUP BY conv_id) v ON c.conv_id = v.conv_id
+LEFT JOIN ({sql.leak(_heard, 'conv_id, turn, output')}SELECT * FROM leaks) l ON c.conv_id = l.conv_id AND c.turn = l.turn)""",
+         lambda spark, sf: replayed(pl.chats(spark, sf), guarded_turns).select("conv_id", "turn", "blocked", "error", "leaked", "output"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

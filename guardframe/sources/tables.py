@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 FORMATS = ("parquet", "orc", "json", "csv", "text")
 
@@ -16,7 +17,7 @@ def read(spark: SparkSession, path: str, name: str | None = None, source: str =
     return reader.format(source).load(f"{path}/{name}.{source}" if name else path)
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, source: str = "parquet", files_per_batch: int = 64) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: str | StructType, source: str = "parquet", files_per_batch: int = 64) -> DataFrame:
     return spark.readStream.schema(schema).format(source).option("maxFilesPerTrigger", files_per_batch).load(path)
 
 
@@ -29,10 +30,10 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, source: str = "parqu
     return df.writeStream.format(source).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
-def audit_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Detected rows to an audit table, batch by batch; a repeated batch overwrites its own folder."""
+def audit_stream(df: DataFrame, path: str, checkpoint: str, where: str = "detection.detected") -> StreamingQuery:
+    """Detected rows (or those ``where``: "leaked") to an audit table, batch by batch; a repeated batch overwrites its own folder."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.filter("detection.detected").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.filter(where).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
