@@ -47,7 +47,7 @@ def gram(words: str, i: str, n: str) -> str:
     return f"array_join(slice({words}, {i} + 1, {n}), ' ')"
 
 
-def shared_places(words: str, numbers: str, prompt_ngrams: str, n: str) -> Column:
+def shared_places_sql(words: str, numbers: str, prompt_ngrams: str, n: str) -> str:
     """Where an n-gram of the prompt begins among ``words``.
 
     ``numbers`` are those of the words that the prompt has too, 0 for others: only where n words in a row have one
@@ -55,22 +55,34 @@ def shared_places(words: str, numbers: str, prompt_ngrams: str, n: str) -> Colum
     """
     places = f"if(size({words}) >= {n}, sequence(0, size({words}) - {n}), cast(array() as array<int>))"
     known = f"filter({places}, i -> get({numbers}, i) > 0 AND forall(slice({numbers}, i + 1, {n}), k -> k > 0))"
-    return F.expr(f"filter({known}, i -> array_contains({prompt_ngrams}, {gram(words, 'i', n)}))")
+    return f"filter({known}, i -> array_contains({prompt_ngrams}, {gram(words, 'i', n)}))"
 
 
-def fragments_at(words: str, hits: str, n: str) -> Column:
+def shared_places(words: str, numbers: str, prompt_ngrams: str, n: str) -> Column:
+    return F.expr(shared_places_sql(words, numbers, prompt_ngrams, n))
+
+
+def fragments_at_sql(words: str, hits: str, n: str) -> str:
     """From left to right, windows of n + EXTRA words that begin at ``hits``; not where a fragment so far has
     the n-gram among its characters."""
     held = f"exists(found, f -> contains(f, {gram(words, 'i', n)}))"
-    return F.expr(f"aggregate({hits}, cast(array() as array<string>), (found, i) -> if({held}, found, array_append(found, {gram(words, 'i', f'{n} + {EXTRA}')})))")
+    return f"aggregate({hits}, cast(array() as array<string>), (found, i) -> if({held}, found, array_append(found, {gram(words, 'i', f'{n} + {EXTRA}')})))"
 
 
-def word_numbers(words: str, shared: str) -> Column:
+def fragments_at(words: str, hits: str, n: str) -> Column:
+    return F.expr(fragments_at_sql(words, hits, n))
+
+
+def word_numbers_sql(words: str, shared: str) -> str:
     """The place of each word in ``shared`` (from 1), 0 where it isn't there."""
-    return F.expr(f"if(size({shared}) > 0, transform({words}, w -> cast(array_position({shared}, w) as int)), cast(array() as array<int>))")
+    return f"if(size({shared}) > 0, transform({words}, w -> cast(array_position({shared}, w) as int)), cast(array() as array<int>))"
 
 
-def redact(text: str, found: str, least: str, replacement: str) -> Column:
+def word_numbers(words: str, shared: str) -> Column:
+    return F.expr(word_numbers_sql(words, shared))
+
+
+def redact_sql(text: str, found: str, least: str, replacement: str) -> str:
     """Each fragment's beginnings, longest first, down to ``least`` words, out of the text.
 
     A fragment whose shortest beginning no longer occurs is done with: no longer one can occur.
@@ -79,7 +91,11 @@ def redact(text: str, found: str, least: str, replacement: str) -> Column:
     pattern = lambda k: f"concat('(?i)', array_join(slice(words, 1, {k}), {gap}))"
     cut = f"if(k = size(words) OR rlike(t, {pattern(least)}), regexp_replace(t, {pattern('k')}, {text_sql(replacement)}), t)"
     shorter = f"aggregate(sequence(size(words), {least}, -1), text, (t, k) -> {cut})"
-    return F.expr(f"aggregate(transform({found}, f -> split(f, ' ')), {text}, (text, words) -> if(size(words) >= {least} AND rlike(text, {pattern(least)}), {shorter}, text))")
+    return f"aggregate(transform({found}, f -> split(f, ' ')), {text}, (text, words) -> if(size(words) >= {least} AND rlike(text, {pattern(least)}), {shorter}, text))"
+
+
+def redact(text: str, found: str, least: str, replacement: str) -> Column:
+    return F.expr(redact_sql(text, found, least, replacement))
 
 
 def leak_columns(df: DataFrame, output_col: str, prompt_col: str, options: LeakOptions | None = None, out: str = "leak") -> DataFrame:

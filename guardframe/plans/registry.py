@@ -10,6 +10,7 @@ from guardframe.functions.errors import injection_error, leak_error
 from guardframe.functions.harden import HardenOptions, harden
 from guardframe.functions.leak import LeakOptions, effective_size, fragments_at, leak_columns, sanitize_json, sanitize_object, shared_places, small_size, word_numbers
 from guardframe.functions.secondary import outside
+from guardframe.functions.sqlfunctions import create_functions
 from guardframe.operators import conversations as cv
 from guardframe.operators.messages import delta_text, parts_text
 from guardframe.plans import planted as pl, sql
@@ -382,6 +383,25 @@ register("chunk_string_utf16", f"SELECT doc_id, (unit // 64)::INT AS piece_no, s
          lambda spark, sf: ch.chunk_string(pl.documents(spark, sf).withColumn("text", F.regexp_replace("text", "([^\n]{49})", "$1" + ASTRAL))).select("doc_id", "piece_no", "piece"))
 
 
+# the functions of SQL
+def in_sql(query: str, rows, *only: str):
+    """The query over ``rows`` as {rows}, where the functions are made."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        create_functions(spark, only=only)
+        return spark.sql(query, rows=rows(spark, sf))
+
+    return run
+
+
+register("sql_detect", f"SELECT d.*, n.norm FROM ({sql.detect(pl.planted_sql())}) d JOIN (SELECT doc_id, {sql.normalize('text')} AS norm FROM ({pl.planted_sql()})) n USING (doc_id)",
+         in_sql("""SELECT doc_id, d.detected, d.risk, array_join(transform(d.matches, m -> m.category || '|' || m.pattern), ';') AS matches,
+coalesce(array_min(transform(d.matches, m -> m.confidence)), 0D) AS least_confidence, norm FROM (SELECT doc_id, guard_detect(text) AS d, guard_normalize(text) AS norm FROM {rows})""", pl.planted, "normalize", "detect"))
+register("sql_leak", _leak + "SELECT doc_id, leaked, round(confidence, 9) AS confidence, sanitized FROM leaks",
+         in_sql("SELECT doc_id, l.leaked, round(l.confidence, 9) AS confidence, l.sanitized FROM (SELECT doc_id, guard_leak(output, prompt) AS l FROM {rows})", pl.pairs, "leak"))
+register("sql_harden", f"SELECT conv_id, turn, {sql.hardened('text')} AS prompt FROM conversations WHERE role = 'system'",
+         in_sql("SELECT conv_id, turn, guard_harden(text) AS prompt FROM {rows} WHERE role = 'system'", lambda spark, sf: read(spark, sf, "conversations"), "harden"))
+
+
 # a second detector outside, logs of events, and streams replayed
 def ask(given: list[dict]) -> list[dict | None]:
     """Stands for a service: it takes back what holds a name, and keeps the rest."""
